@@ -1,6 +1,8 @@
 """Column functions; all stay inside the JVM."""
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,13 @@ def utc_commit_date(date: Column, offset: Column | None = None) -> Column:
     return F.to_utc_timestamp(moment, F.coalesce(offset, F.lit("UTC")))
 
 
+def moment(at: datetime | Column) -> Column:
+    """A point in time as a column; datetimes without a zone are UTC."""
+    if isinstance(at, Column):
+        return at.cast("timestamp")
+    return F.lit(at if at.tzinfo else at.replace(tzinfo=timezone.utc))
+
+
 def lines_changed(added: Column, deleted: Column) -> Column:
     """Null when either side is unknown, so sums leave the row out."""
     return added + deleted
@@ -81,8 +90,27 @@ def shorten_path(path: Column) -> Column:
     return F.when(F.size(parts) >= 2, F.concat_ws("/", F.slice(parts, -2, 2))).otherwise(path)
 
 
+def exact_round(value: Column, decimals: int) -> Column:
+    """Round the exact binary value, ties to even; SQL ``round`` and ``bround`` start from its decimal text.
+
+    ``low`` is what the product with the power of ten lost, by Dekker's splitting (1971).
+    """
+    power = F.lit(float(10**decimals))
+    head = value * F.lit(134217729.0) - (value * F.lit(134217729.0) - value)
+    product = value * power
+    low = (head * power - product) + (value - head) * power
+    whole = F.floor(product)
+    above_half = (product - whole) - F.lit(0.5) + low
+    up = (above_half > 0) | ((above_half == 0) & (whole % 2 != 0))
+    return (whole + up.cast("bigint")) / power
+
+
+def fixed_text(value: Column, decimals: int) -> Column:
+    return F.format_string(f"%.{decimals}f", exact_round(value, decimals))
+
+
 def risk_score(probability: Column) -> Column:
-    return F.round(probability * 100, 1)
+    return exact_round(probability * 100, 1)
 
 
 def risk_band(score: Column) -> Column:

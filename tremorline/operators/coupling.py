@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tremorline.operators.history import file_touches
 from tremorline.operators.scaling import attach, running_totals
 from tremorline.schemas import COUPLING_FEATURES, KEYS
+from tremorline.session import materialize
 
 # Row limit of a commit, partners averaged, partners checked, quantile of high churn.
 MAX_FILES = 30
@@ -169,4 +170,5 @@ def coupling_features(facts: DataFrame, churn: DataFrame, max_files: int = MAX_F
     The divisor counts all commits of the repository, skipped mass commits included.
     """
     touches = file_touches(facts.drop("author_name"))
+    churn = materialize(churn.select(*KEYS, "total_lines_changed"), "churn")
     return coupling_of(touches, churn, mass_commit_report(facts, max_files), max_files)

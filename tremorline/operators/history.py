@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremorline.functions.scalars import (
-    code_file_flag, is_bugfix_message, lines_changed, resolve_path, utc_commit_date,
+    code_file_flag, is_bugfix_message, lines_changed, moment, resolve_path, utc_commit_date,
 )
 from tremorline.operators.scaling import attach, running_totals
 from tremorline.session import materialize
@@ -108,7 +108,7 @@ def history_before(facts: DataFrame, as_of: datetime | Column | None) -> DataFra
     """History strictly before ``as_of``; the whole of it when ``as_of`` is None."""
     if as_of is None:
         return facts
-    return facts.filter(F.col("commit_date") < as_of)
+    return facts.filter(F.col("commit_date") < moment(as_of))
 
 
 def file_touches(facts: DataFrame) -> DataFrame:

@@ -6,13 +6,17 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tremorline.operators.attribution import attribute_files, leaf_table, staged_margins
+from tremorline.operators.attribution import (
+    LEAF_TABLE, attribute_files, leaf_frame, leaf_table, staged_margins,
+)
 from tremorline.operators.evaluation import roc_auc, score_curve
 from tremorline.operators.report import global_importance, top_drivers
 from tremorline.operators.scaling import attach
@@ -20,6 +24,13 @@ from tremorline.schemas import FEATURES, KEYS, SCORED_FILES
 from tremorline.session import scratch_path, shared_dir
 
 
+BEST_ROUND = T.StructType([
+    T.StructField("repo", T.StringType()),
+    T.StructField("best_iteration", T.IntegerType()),
+    T.StructField("best_auc", T.DoubleType()),
+])
+
+
 @dataclass(frozen=True)
 class BoostingParams:
     """Fixed values as defaults; fewer rounds trade accuracy for time."""
@@ -113,41 +124,61 @@ def constant_fallback(matrix: DataFrame, balance: DataFrame) -> DataFrame:
     )
 
 
-def _kept_leaves(matrix: DataFrame, leaves: list[dict], patience: int) -> list[dict]:
-    """Leaves up to the best round; all of them when the test labels cannot tell."""
-    best = best_iteration(staged_auc(matrix, leaves), patience).collect()
-    if not best or best[0]["best_auc"] <= 0.0:
-        return leaves
-    return [leaf for leaf in leaves if leaf["tree_id"] <= best[0]["best_iteration"]]
+@dataclass(frozen=True)
+class FittedRun:
+    """Scores of all test files, and the leaves and kept round of each repository's model."""
+
+    scored: DataFrame
+    leaves: DataFrame
+    best: DataFrame
 
 
-def fit_and_score(matrix: DataFrame, params: BoostingParams = BoostingParams()) -> DataFrame:
+def fit_and_score(matrix: DataFrame, params: BoostingParams = BoostingParams()) -> FittedRun:
     """One model per repository; probability and attributions of every test file.
 
     ``matrix`` has to be a stored table (see ``materialize``), ideally laid out by repository: each
     fit reads its own repository's rows. Repositories are taken one at a time from an iterator and
-    fitted a few at once; each writes its scores to a folder of its own under one shared root.
+    fitted a few at once; each writes to folders of its own under one shared root.
     """
     spark = matrix.sparkSession
     balance = class_balance(matrix)
-    target = scratch_path(spark, "scored")
+    root = scratch_path(spark, "models")
 
     def run(row):
         own = matrix.filter(F.col("repo") == row["repo"])
         model = train_model(own.filter("in_train"), row["scale_pos_weight"], row["pos"] + row["neg"], params)
-        leaves = _kept_leaves(own, leaf_table(spark, model), params.patience)
-        attribute_files(own.filter("in_test"), leaves).write.parquet(f"{target}/{uuid.uuid4().hex}")
+        leaves = leaf_table(spark, model)
+        found = best_iteration(staged_auc(own, leaves), params.patience).collect()  # at most this repository
+        # Test labels of a single class cannot tell rounds apart: all are kept.
+        last = found[0]["best_iteration"] if found and found[0]["best_auc"] > 0 else params.rounds - 1
+        auc = found[0]["best_auc"] if found else 0.0
+        kept = [leaf for leaf in leaves if leaf["tree_id"] <= last]
+        name = uuid.uuid4().hex
+        attribute_files(own.filter("in_test"), kept).write.parquet(f"{root}/scored/{name}")
+        leaf_frame(spark, leaves).select(
+            F.lit(row["repo"]).alias("repo"), "*", (F.col("tree_id") <= last).alias("kept")
+        ).write.parquet(f"{root}/leaves/{name}")
+        spark.createDataFrame([(row["repo"], last, auc)], BEST_ROUND).write.parquet(f"{root}/best/{name}")
 
     run_here = inheritable_thread_target(spark)(run)
     pool = ThreadPool(params.parallel_repos)
     try:
-        trainable = balance.filter("trainable").toLocalIterator()
-        for _ in pool.imap_unordered(run_here, trainable):
+        for _ in pool.imap_unordered(run_here, balance.filter("trainable").toLocalIterator()):
             pass
     finally:
         pool.close()
-    constant_fallback(matrix, balance).write.parquet(f"{target}/untrained")
-    return spark.read.schema(SCORED_FILES).option("recursiveFileLookup", True).parquet(target)
+    constant_fallback(matrix, balance).write.parquet(f"{root}/scored/untrained")
+
+    def read(kind, schema):
+        # The empty frame stands in for a folder that exists only once some repository was trained.
+        stored = spark.read.schema(schema).option("recursiveFileLookup", True)
+        try:
+            return stored.parquet(f"{root}/{kind}")
+        except AnalysisException:
+            return spark.createDataFrame([], schema)
+
+    model_leaves = T.StructType([SCORED_FILES["repo"], *LEAF_TABLE.fields, T.StructField("kept", T.BooleanType())])
+    return FittedRun(read("scored", SCORED_FILES), read("leaves", model_leaves), read("best", BEST_ROUND))
 
 
 def explain_predictions(scored: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremorline.functions.scalars import (
-    HIGH_FROM, is_critical, risk_band, risk_colour, risk_score, shorten_path,
+    HIGH_FROM, exact_round, fixed_text, is_critical, risk_band, risk_colour, risk_score, shorten_path,
 )
 from tremorline.operators.scaling import running_totals
 from tremorline.schemas import FEATURES, KEYS
@@ -40,10 +40,6 @@ DRIVER_TEXTS = {
 }
 
 
-def _fixed(value: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", F.bround(value, decimals))
-
-
 def driver_text(feature: Column, value: Column) -> Column:
     """Sentence for a feature and its value; unknown features read ``name: 0.00``."""
     by_decimals = {}
@@ -52,12 +48,12 @@ def driver_text(feature: Column, value: Column) -> Column:
     number = F.lit("")
     for decimals, names in by_decimals.items():
         if decimals is not None:
-            number = F.when(feature.isin(names), _fixed(value, decimals)).otherwise(number)
+            number = F.when(feature.isin(names), fixed_text(value, decimals)).otherwise(number)
     before = F.create_map(*[F.lit(x) for name, (text, _, _) in DRIVER_TEXTS.items() for x in (name, text)])
     after = F.create_map(*[F.lit(x) for name, (_, _, text) in DRIVER_TEXTS.items() for x in (name, text)])
     return F.when(
         feature.isin(list(DRIVER_TEXTS)), F.concat(before[feature], number, after[feature])
-    ).otherwise(F.concat(feature, F.lit(": "), _fixed(value, 2)))
+    ).otherwise(F.concat(feature, F.lit(": "), fixed_text(value, 2)))
 
 
 def attribution_rows(contributions: DataFrame) -> DataFrame:
@@ -107,8 +103,8 @@ def ranked_with_drivers(predictions: DataFrame, drivers: DataFrame, features: Da
             F.coalesce("top_drivers", F.array().cast("array<string>")).alias("top_drivers"),
             F.coalesce("total_commits", F.lit(0)).cast("bigint").alias("total_commits"),
             F.coalesce("churn_30d", F.lit(0)).cast("bigint").alias("churn_30d"),
-            F.round(F.coalesce("bus_factor_score", F.lit(0.0)), 4).alias("bus_factor_score"),
-            F.round(F.coalesce("coupling_score_max", F.lit(0.0)), 4).alias("coupling_score_max"),
+            exact_round(F.coalesce("bus_factor_score", F.lit(0.0)), 4).alias("bus_factor_score"),
+            exact_round(F.coalesce("coupling_score_max", F.lit(0.0)), 4).alias("coupling_score_max"),
         )
     )
 
@@ -153,7 +149,7 @@ def risk_summary(results: DataFrame) -> DataFrame:
 
 def prediction_spread(predictions: DataFrame) -> DataFrame:
     """Distinct probabilities at three decimals; a single one means the model said nothing."""
-    distinct = predictions.select("repo", F.round("probability", 3).alias("p")).distinct()
+    distinct = predictions.select("repo", exact_round(F.col("probability"), 3).alias("p")).distinct()
     return distinct.groupBy("repo").agg(F.count(F.lit(1)).alias("distinct_probabilities")).withColumn(
         "uniform", F.col("distinct_probabilities") == 1
     )

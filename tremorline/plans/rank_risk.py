@@ -10,7 +10,7 @@ from tremorline.operators.evaluation import evaluate_curve, pr_curve, score_curv
 from tremorline.operators.history import (
     MAX_COMMITS, MIN_ROWS, commit_file_rows, file_touches, label_bugfix, settled_stats,
 )
-from tremorline.operators.model import BoostingParams, explain_predictions, fit_and_score
+from tremorline.operators.model import BoostingParams, FittedRun, explain_predictions, fit_and_score
 from tremorline.operators.report import rank_files, ranked_with_drivers
 from tremorline.operators.scaling import attach
 from tremorline.plans.feature_matrix import matrix_from_touches
@@ -27,7 +27,7 @@ class RiskAnalysis:
     pr_curve: DataFrame
     importance: DataFrame
     matrix: DataFrame
-    scored: DataFrame
+    fitted: FittedRun
     rejected: DataFrame
 
 
@@ -48,7 +48,8 @@ def rank_risk(
 
     by_repo = matrix_from_touches(eligible, stats, sources).repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     matrix = materialize(by_repo, "matrix")
-    scored = fit_and_score(matrix, params)
+    fitted = fit_and_score(matrix, params)
+    scored = fitted.scored
     curve = score_curve(
         scored.join(matrix.select(*KEYS, "label"), KEYS).select(
             "repo", F.col("label").alias("y"), F.col("probability").alias("score")
@@ -61,6 +62,6 @@ def rank_risk(
         pr_curve=pr_curve(curve),
         importance=importance,
         matrix=matrix,
-        scored=scored,
+        fitted=fitted,
         rejected=rejected,
     )

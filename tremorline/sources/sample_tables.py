@@ -110,7 +110,7 @@ def formula_contributions(matrix: DataFrame) -> DataFrame:
         F.struct(
             F.lit(name).alias("feature"),
             F.col(name).cast("double").alias("value"),
-            ((F.floor(F.col(name) * 16).cast("bigint") * (at + 3) % 41 - 20) / F.lit(16.0)).alias("phi"),
+            ((F.floor(F.round(F.col(name).cast("double"), 6) * 16) * (at + 3) % 41 - 20) / F.lit(16.0)).alias("phi"),
         )
         for at, name in enumerate(FEATURES)
     ]
