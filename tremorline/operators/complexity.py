@@ -12,9 +12,13 @@ from tremorline.schemas import COMPLEXITY_FEATURES, KEYS
 def file_complexity(sources: DataFrame) -> DataFrame:
     """Mean block complexity of every parseable ``.py`` text.
 
-    Texts are parsed where they are read; only paths and numbers go on to the join.
+    Texts are parsed where they are read; only paths and numbers go on to the join. An input of fewer
+    pieces than there are cores is spread out first, since parsing is the cost.
     """
     python_texts = sources.filter(F.col("file_path").endswith(".py"))
+    cores = sources.sparkSession.sparkContext.defaultParallelism
+    if python_texts.rdd.getNumPartitions() < cores:
+        python_texts = python_texts.repartition(cores, *KEYS)
     return python_texts.select(
         *KEYS, mean_complexity_udf("source").alias("cyclomatic_complexity")
     ).filter(F.col("cyclomatic_complexity").isNotNull())

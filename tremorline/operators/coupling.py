@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tremorline.operators.history import file_touches
+from tremorline.operators.history import file_touches, repo_stats
 from tremorline.operators.scaling import attach, running_totals
 from tremorline.schemas import COUPLING_FEATURES, KEYS
 from tremorline.session import materialize
@@ -167,8 +167,11 @@ def coupling_of(touches: DataFrame, churn: DataFrame, commits: DataFrame, max_fi
 def coupling_features(facts: DataFrame, churn: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     """Mean and maximum coupling, high-churn coupling and partner count; zeros for files that change alone.
 
-    The divisor counts all commits of the repository, skipped mass commits included.
+    The divisor counts all commits of the repository, skipped mass commits included. Touches and churn
+    are stored first, as each is read more than once.
     """
-    touches = file_touches(facts.drop("author_name"))
+    touches = materialize(
+        file_touches(facts.select(*KEYS, "commit_hash", "commit_date", "lines_added", "lines_deleted")), "touches"
+    )
     churn = materialize(churn.select(*KEYS, "total_lines_changed"), "churn")
-    return coupling_of(touches, churn, mass_commit_report(facts, max_files), max_files)
+    return coupling_of(touches, churn, repo_stats(touches), max_files)

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from tremorline.operators.evaluation import roc_auc, score_curve
 from tremorline.operators.report import global_importance, top_drivers
 from tremorline.operators.scaling import attach
 from tremorline.schemas import FEATURES, KEYS, SCORED_FILES
-from tremorline.session import scratch_path, shared_dir
+from tremorline.session import materialize, scratch_path, shared_dir
 
 
 BEST_ROUND = T.StructType([
@@ -44,6 +44,7 @@ class BoostingParams:
     patience: int = 20
     parallel_repos: int = 4
     rows_per_partition: int = 50_000
+    pooled: bool = False
 
 
 def class_balance(matrix: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def _assembled(matrix: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(matrix)
 
 
-def train_model(train: DataFrame, pos_weight: float, n_rows: int,
+def train_model(train: DataFrame, pos_weight: Column, n_rows: int,
                 params: BoostingParams = BoostingParams(), features: list[str] = FEATURES):
     """Fit boosted trees on one training set (repo, features, label), positives weighted up.
 
@@ -73,7 +74,7 @@ def train_model(train: DataFrame, pos_weight: float, n_rows: int,
     weighted = _assembled(train, features).select(
         "features",
         F.col("label").cast("double").alias("label"),
-        F.when(F.col("label") == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)).alias("weight"),
+        F.when(F.col("label") == 1, pos_weight).otherwise(F.lit(1.0)).alias("weight"),
     )
     classifier = GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight",
@@ -134,43 +135,58 @@ class FittedRun:
 
 
 def fit_and_score(matrix: DataFrame, params: BoostingParams = BoostingParams()) -> FittedRun:
-    """One model per repository; probability and attributions of every test file.
+    """Probability and attributions of every test file.
 
-    ``matrix`` has to be a stored table (see ``materialize``), ideally laid out by repository: each
-    fit reads its own repository's rows. Repositories are taken one at a time from an iterator and
-    fitted a few at once; each writes to folders of its own under one shared root.
+    One model per repository by default: repositories are taken one at a time from an iterator,
+    a few are fitted at once, and each model writes to folders of its own. ``matrix`` has to be a stored
+    table (see ``materialize``) sorted by repository, so that a fit reads its own rows only.
+    ``params.pooled`` fits a single model over all trainable repositories instead; the number of
+    jobs then does not grow with the number of repositories.
     """
     spark = matrix.sparkSession
     balance = class_balance(matrix)
     root = scratch_path(spark, "models")
 
-    def run(row):
-        own = matrix.filter(F.col("repo") == row["repo"])
-        model = train_model(own.filter("in_train"), row["scale_pos_weight"], row["pos"] + row["neg"], params)
+    def run(name, own, pos_weight, n_rows):
+        model = train_model(own.filter("in_train"), pos_weight, n_rows, params)
         leaves = leaf_table(spark, model)
-        found = best_iteration(staged_auc(own, leaves), params.patience).collect()  # at most this repository
+        everything = own.withColumn("repo", F.lit(name))  # rounds are judged on all rows of the model together
+        found = best_iteration(staged_auc(everything, leaves), params.patience).collect()  # one row
         # Test labels of a single class cannot tell rounds apart: all are kept.
         last = found[0]["best_iteration"] if found and found[0]["best_auc"] > 0 else params.rounds - 1
         auc = found[0]["best_auc"] if found else 0.0
         kept = [leaf for leaf in leaves if leaf["tree_id"] <= last]
-        name = uuid.uuid4().hex
-        attribute_files(own.filter("in_test"), kept).write.parquet(f"{root}/scored/{name}")
+        folder = uuid.uuid4().hex
+        attribute_files(own.filter("in_test"), kept).write.parquet(f"{root}/scored/{folder}")
         leaf_frame(spark, leaves).select(
-            F.lit(row["repo"]).alias("repo"), "*", (F.col("tree_id") <= last).alias("kept")
-        ).write.parquet(f"{root}/leaves/{name}")
-        spark.createDataFrame([(row["repo"], last, auc)], BEST_ROUND).write.parquet(f"{root}/best/{name}")
-
-    run_here = inheritable_thread_target(spark)(run)
-    pool = ThreadPool(params.parallel_repos)
-    try:
-        for _ in pool.imap_unordered(run_here, balance.filter("trainable").toLocalIterator()):
-            pass
-    finally:
-        pool.close()
+            F.lit(name).alias("repo"), "*", (F.col("tree_id") <= last).alias("kept")
+        ).write.parquet(f"{root}/leaves/{folder}")
+        spark.createDataFrame([(name, last, auc)], BEST_ROUND).write.parquet(f"{root}/best/{folder}")
+
+    def run_repo(row):
+        own = matrix.filter(F.col("repo") == row["repo"])
+        run(row["repo"], own, F.lit(row["scale_pos_weight"]), row["pos"] + row["neg"])
+
+    if params.pooled:
+        weights = balance.filter("trainable").select("repo", "scale_pos_weight")
+        n_rows = balance.filter("trainable").agg(F.sum(F.col("pos") + F.col("neg"))).first()[0]
+        if n_rows:
+            pooled = materialize(attach(matrix, weights, on=["repo"], spread=["file_path"], how="inner"), "pooled")
+            run("*", pooled, F.col("scale_pos_weight"), n_rows)
+    else:
+        pool = ThreadPool(params.parallel_repos)
+        try:
+            jobs = pool.imap_unordered(
+                inheritable_thread_target(spark)(run_repo), balance.filter("trainable").toLocalIterator()
+            )
+            for _ in jobs:
+                pass
+        finally:
+            pool.close()
     constant_fallback(matrix, balance).write.parquet(f"{root}/scored/untrained")
 
     def read(kind, schema):
-        # The empty frame stands in for a folder that exists only once some repository was trained.
+        # The empty frame stands in for a folder that exists only once some model was trained.
         stored = spark.read.schema(schema).option("recursiveFileLookup", True)
         try:
             return stored.parquet(f"{root}/{kind}")
