@@ -1,7 +1,7 @@
 """Churn and authorship features per file, and the split and label flags.
 
-Everything here is a sum, minimum or maximum over the touches of a file, so each feature set is one
-aggregation, and ``file_profile`` gets all of them from a single two-level one.
+Everything here is a sum, minimum or maximum over the touches of a file, so a feature set is one
+aggregation that combines before it shuffles.
 """
 from __future__ import annotations
 
@@ -56,10 +56,6 @@ def _fold(folds: list[Fold]) -> list[Column]:
     return [aggregate(expression).alias(name) for name, aggregate, expression in folds]
 
 
-def _refold(folds: list[Fold]) -> list[Column]:
-    return [aggregate(F.col(name)).alias(name) for name, aggregate, _ in folds]
-
-
 def _whole_days(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("DAY", earlier, later)
 
@@ -122,23 +118,21 @@ def churn_features(facts: DataFrame, bounds: DataFrame | None = None, as_of=None
 
 def author_counts(facts: DataFrame) -> DataFrame:
     """Commits of each named author to each file."""
-    return _by_author(file_touches(facts), []).filter(F.col("author_name").isNotNull()).select(
+    return _by_author(file_touches(facts)).filter(F.col("author_name").isNotNull()).select(
         *KEYS, "author_name", "n_commits"
     )
 
 
-def _by_author(touches: DataFrame, folds: list[Fold]) -> DataFrame:
+def _by_author(touches: DataFrame) -> DataFrame:
     return touches.groupBy(*KEYS, "author_name").agg(
-        F.count(F.lit(1)).alias("n_commits"),
-        F.max("commit_date").alias("author_last_change"),
-        *_fold(folds),
+        F.count(F.lit(1)).alias("n_commits"), F.max("commit_date").alias("author_last_change")
     )
 
 
-def _author_folds(by_author_ref: Column) -> list[Column]:
+def _author_folds(ref_date: Column) -> list[Column]:
     named = F.col("author_name").isNotNull()
     n = F.when(named, F.col("n_commits"))
-    recent = named & (F.col("author_last_change") >= by_author_ref - _days(RECENT_DAYS))
+    recent = named & (F.col("author_last_change") >= ref_date - _days(RECENT_DAYS))
     return [
         F.count_if(named).alias("n_authors"),
         F.count_if(recent).alias("n_recent_authors"),
@@ -166,7 +160,7 @@ def _author_columns() -> list[Column]:
 def _authorship(facts: DataFrame, bounds: DataFrame | None, as_of) -> DataFrame:
     facts = history_before(facts, as_of)
     bounds = history_bounds(facts) if bounds is None else bounds
-    by_author = anchor_to_ref(_by_author(file_touches(facts), []), bounds)
+    by_author = anchor_to_ref(_by_author(file_touches(facts)), bounds)
     return by_author.groupBy(*KEYS).agg(*_author_folds(F.col("ref_date"))).select(*KEYS, *_author_columns())
 
 
@@ -185,7 +179,7 @@ def author_entropy(facts: DataFrame) -> DataFrame:
 
 
 def _without_ref(facts: DataFrame) -> DataFrame:
-    by_author = _by_author(file_touches(facts), [])
+    by_author = _by_author(file_touches(facts))
     return (
         by_author.groupBy(*KEYS)
         .agg(*_author_folds(F.col("author_last_change")))
@@ -220,11 +214,17 @@ def split_flags(labelled: DataFrame, bounds: DataFrame | None = None) -> DataFra
 
 
 def file_profile(touches: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Churn, authorship and split flags of every file from one chain of two aggregations."""
+    """Churn, authorship and split flags of every file.
+
+    Two aggregations over the stored touches: one per file, one per file and author. Only the second
+    grows with the authors, so it carries nothing but their counts. Both end partitioned by file
+    and join without another shuffle.
+    """
     folds = _window_folds() + _lifetime_folds() + _split_folds() + _label_folds()
-    by_author = _by_author(anchor_to_ref(touches, bounds), folds)
-    folded = by_author.groupBy(*KEYS).agg(*_refold(folds), *_author_folds(F.col("anchor")))
-    return folded.select(
+    per_file = anchor_to_ref(touches.drop("author_name"), bounds).groupBy(*KEYS).agg(*_fold(folds))
+    per_author = anchor_to_ref(_by_author(touches), bounds)
+    authors = per_author.groupBy(*KEYS).agg(*_author_folds(F.col("ref_date")))
+    return per_file.join(authors, KEYS).select(
         *KEYS,
         *_window_columns(),
         _spike_column(),
