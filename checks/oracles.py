@@ -249,8 +249,8 @@ ORACLES = {name: _with(sql) for name, sql in {
         'def f(x):' || chr(10) || '    pass' || chr(10)
         || repeat('    if x:' || chr(10) || '        pass' || chr(10), p_size % 50) end as source
         from part, (values ('repo0'), ('repo1'), ('repo2')) r(repo) where p_size % 5 = 0""",
-    "history_round_trip": f"select {_FACT_COLUMNS} from facts where repo in ('repo0', 'repo2')",
-    "results_round_trip": "select *, epoch_us(timestamp '2024-03-01') as computed_at from results",
+    "read_history": f"select {_FACT_COLUMNS} from facts where repo in ('repo0', 'repo2')",
+    "write_results": "select *, epoch_us(timestamp '2024-03-01') as computed_at from results",
     "fresh_results": """select repo, file_path, total_lines_changed, epoch_us(computed_at) as computed_at from stamped
         where total_lines_changed * 400 % 172800 < 86400""",
     "stale_repos": "select distinct repo from facts where cast(substr(repo, 5, 1) as int) * 12 * 3600 >= 86400",

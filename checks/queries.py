@@ -140,13 +140,13 @@ def read_source_files(i: Inputs):
     return IO.read_source_files(i.spark, path)
 
 
-def history_round_trip(i: Inputs):
+def read_history(i: Inputs):
     path = scratch_path(i.spark, "history")
     IO.write_history(i.facts, path)
     return IO.read_history(i.spark, path, ["repo0", "repo2"])
 
 
-def results_round_trip(i: Inputs):
+def write_results(i: Inputs):
     path = scratch_path(i.spark, "results")
     IO.write_results(i.results, path, NOW)
     return IO.read_results(i.spark, path)
@@ -223,7 +223,7 @@ def merged_features(i: Inputs):
     )
 
 
-def train_model(i: Inputs):
+def model_trees(i: Inputs):
     leaves = analysis_of(i).fitted.leaves
     return leaves.groupBy("repo", "tree_id", "kept").agg(
         F.count(F.lit(1)).alias("n_leaves"), F.max(F.size("path")).alias("longest_path")
@@ -244,8 +244,8 @@ SPECS = {
     # sources and sinks
     "read_change_records": read_change_records,
     "read_source_files": read_source_files,
-    "history_round_trip": history_round_trip,
-    "results_round_trip": results_round_trip,
+    "read_history": read_history,
+    "write_results": write_results,
     "fresh_results": lambda i: IO.fresh_results(i.stamped, NOW),
     "stale_repos": stale_repos,
     # history
@@ -326,7 +326,7 @@ SPECS = {
     # model
     "class_balance": lambda i: L.class_balance(A.split_flags(i.labelled)),
     "constant_fallback": event_fallback,
-    "train_model": train_model,
+    "train_model": model_trees,
     "best_iteration": lambda i: analysis_of(i).fitted.best,
     "score_files": lambda i: analysis_of(i).fitted.scored.select(*KEYS, "probability"),
     "tree_attributions": lambda i: R.attribution_rows(analysis_of(i).fitted.scored),

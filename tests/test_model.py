@@ -49,7 +49,7 @@ def test_class_balance(spark):
 
 def test_leaf_table_scores_like_the_model(fitted):
     own, model, leaves = fitted
-    ours = dict(rows_of(AT.attribute_files(own.filter("in_test"), leaves), "file_path", "probability"))
+    ours = dict(rows_of(AT.tree_attributions(own.filter("in_test"), leaves), "file_path", "probability"))
     theirs = dict(rows_of(L.score_files(model, own), "file_path", "probability"))
     assert ours.keys() == theirs.keys()
     assert all(ours[k] == pytest.approx(theirs[k], abs=1e-12) for k in ours)
@@ -58,7 +58,7 @@ def test_leaf_table_scores_like_the_model(fitted):
 def test_attributions_add_up_to_the_margin(fitted):
     own, _, leaves = fitted
     base = AT.base_margin(leaves)
-    for row in AT.attribute_files(own, leaves).limit(60).collect():
+    for row in AT.tree_attributions(own, leaves).limit(60).collect():
         margin = math.log(row["probability"] / (1 - row["probability"])) / 2
         assert base + sum(c["phi"] for c in row["contributions"]) == pytest.approx(margin, abs=1e-9)
         assert [c["feature"] for c in row["contributions"]] == FEATURES
@@ -81,7 +81,7 @@ def test_attributions_equal_the_definition_of_shapley_values(fitted):
     used = sorted({t["feature"] for leaf in leaves if leaf["tree_id"] == 0 for t in leaf["path"]})
     tree = [leaf for leaf in leaves if leaf["tree_id"] == 0]
     assert 2 <= len(used) <= 9
-    for row in AT.attribute_files(own, tree).limit(3).collect():
+    for row in AT.tree_attributions(own, tree).limit(3).collect():
         x = [c["value"] for c in row["contributions"]]
         for j in used:
             others = [f for f in used if f != j]
@@ -96,7 +96,7 @@ def test_attributions_equal_the_definition_of_shapley_values(fitted):
 def test_staged_margins_end_at_the_margin(fitted):
     own, _, leaves = fitted
     staged = {r["file_path"]: r["margins"] for r in AT.staged_margins(own, leaves).collect()}
-    final = dict(rows_of(AT.attribute_files(own, leaves), "file_path", "probability"))
+    final = dict(rows_of(AT.tree_attributions(own, leaves), "file_path", "probability"))
     for path, margins in staged.items():
         assert len(margins) == 6
         assert 1 / (1 + np.exp(-2 * margins[-1])) == pytest.approx(final[path], abs=1e-12)
@@ -123,6 +123,15 @@ def test_fit_and_score(matrix):
     assert set(top) == {FEATURES[0], FEATURES[7]}
 
 
+def test_training_repeats_exactly(spark, matrix):
+    def scores(frame):
+        model = L.train_model(frame, F.lit(2.0), 400, L.BoostingParams(rounds=3))
+        return rows_of(L.score_files(model, matrix.filter("repo = 'learns'")), "file_path", "probability")
+
+    own = matrix.filter("repo = 'learns'")
+    assert scores(own) == scores(own.repartition(7, F.rand(1)))
+
+
 def test_pooled_model_covers_the_same_files(matrix):
     run = L.fit_and_score(matrix, L.BoostingParams(rounds=2, pooled=True))
     assert rows_of(run.scored.groupBy("repo").count(), "repo", "count") == [("flat", 15), ("learns", 200)]

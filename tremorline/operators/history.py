@@ -24,6 +24,11 @@ def non_merge_changes(records: DataFrame) -> DataFrame:
     return records.filter(~F.col("is_merge"))
 
 
+def _utc_date(records: DataFrame) -> Column:
+    offset = F.col("utc_offset") if "utc_offset" in records.columns else None
+    return utc_commit_date(F.col("commit_date"), offset)
+
+
 def latest_commits(records: DataFrame, n: int = MAX_COMMITS) -> DataFrame:
     """All rows of the ``n`` most recent commits of each repository.
 
@@ -37,7 +42,7 @@ def latest_commits(records: DataFrame, n: int = MAX_COMMITS) -> DataFrame:
     if "commit_seq" in records.columns:
         age, slot = F.col("commit_seq").cast("bigint"), F.shiftright(F.col("age"), 10)
     else:
-        age = -F.unix_micros(F.col("commit_date").cast("timestamp"))
+        age = -F.unix_micros(_utc_date(records))
         slot = F.floor(F.col("age") / F.lit(86_400_000_000))
     commits = (
         records.groupBy("repo", "commit_hash").agg(F.min(age).alias("age")).withColumn("slot", slot)
@@ -76,7 +81,6 @@ def commit_file_rows(records: DataFrame, max_commits: int | None = MAX_COMMITS)
     changes = non_merge_changes(records)
     if max_commits is not None:
         changes = latest_commits(changes, max_commits)
-    offset = F.col("utc_offset") if "utc_offset" in records.columns else None
     path = resolve_path(F.col("new_path"), F.col("old_path"))
     return (
         changes.withColumn("file_path", path)
@@ -84,7 +88,7 @@ def commit_file_rows(records: DataFrame, max_commits: int | None = MAX_COMMITS)
         .select(
             "repo",
             "commit_hash",
-            utc_commit_date(F.col("commit_date"), offset).alias("commit_date"),
+            _utc_date(records).alias("commit_date"),
             "author_name",
             "message",
             "file_path",

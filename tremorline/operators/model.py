@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorline.operators.attribution import (
-    LEAF_TABLE, attribute_files, leaf_frame, leaf_table, staged_margins,
+    LEAF_TABLE, tree_attributions, leaf_frame, leaf_table, staged_margins,
 )
 from tremorline.operators.evaluation import roc_auc, score_curve
 from tremorline.operators.report import global_importance, top_drivers
@@ -66,12 +66,14 @@ def _assembled(matrix: DataFrame, features: list[str]) -> DataFrame:
 
 def train_model(train: DataFrame, pos_weight: Column, n_rows: int,
                 params: BoostingParams = BoostingParams(), features: list[str] = FEATURES):
-    """Fit boosted trees on one training set (repo, features, label), positives weighted up.
+    """Fit boosted trees on one training set (keys, features, label), positives weighted up.
 
+    Rows are put in a fixed order, so that the row samples of a seed are always the same.
     Checkpoints every ten rounds, in the shared folder, keep the lineage short.
     """
     shared_dir(train.sparkSession)
     weighted = _assembled(train, features).select(
+        *KEYS,
         "features",
         F.col("label").cast("double").alias("label"),
         F.when(F.col("label") == 1, pos_weight).otherwise(F.lit(1.0)).alias("weight"),
@@ -82,7 +84,8 @@ def train_model(train: DataFrame, pos_weight: Column, n_rows: int,
         subsamplingRate=params.row_share, featureSubsetStrategy=str(params.column_share),
         seed=params.seed, checkpointInterval=10,
     )
-    return classifier.fit(weighted.repartition(max(1, -(-n_rows // params.rows_per_partition))))
+    pieces = max(1, -(-n_rows // params.rows_per_partition))
+    return classifier.fit(weighted.repartitionByRange(pieces, *KEYS).sortWithinPartitions(*KEYS))
 
 
 def score_files(model, matrix: DataFrame, features: list[str] = FEATURES) -> DataFrame:
@@ -157,7 +160,7 @@ def fit_and_score(matrix: DataFrame, params: BoostingParams = BoostingParams())
         auc = found[0]["best_auc"] if found else 0.0
         kept = [leaf for leaf in leaves if leaf["tree_id"] <= last]
         folder = uuid.uuid4().hex
-        attribute_files(own.filter("in_test"), kept).write.parquet(f"{root}/scored/{folder}")
+        tree_attributions(own.filter("in_test"), kept).write.parquet(f"{root}/scored/{folder}")
         leaf_frame(spark, leaves).select(
             F.lit(name).alias("repo"), "*", (F.col("tree_id") <= last).alias("kept")
         ).write.parquet(f"{root}/leaves/{folder}")

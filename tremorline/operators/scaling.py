@@ -38,6 +38,12 @@ def attach(
     )
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a plain file scan of fewer splits than cores, as of one row group; larger ones pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def running_totals(
     df: DataFrame,
     group: Sequence[str],

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorline.operators.scaling import spread_small
 from tremorline.schemas import FEATURES, KEYS
 
 
@@ -29,9 +30,9 @@ def _part_path():
 def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change records: an order is a commit, a line a modified file; orders without lines have no paths."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread_small(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"
-    )
+    ))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), _part_path().alias("old_path"))
     message = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "Fixed crash in module")
@@ -83,7 +84,7 @@ def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     repos = F.explode(F.array(F.lit("repo0"), F.lit("repo1"), F.lit("repo2")))
-    return table(spark, sf_dir, "part").filter(F.col("p_size") % 5 == 0).select(
+    return spread_small(table(spark, sf_dir, "part").filter(F.col("p_size") % 5 == 0)).select(
         repos.alias("repo"), _part_path().alias("file_path"), text.alias("source")
     )
 
