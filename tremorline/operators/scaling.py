@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tremorline.session import materialize
+from tremorline.session import materialize, materialize_counted
 
 BROADCAST_MAX_ROWS = 200_000
 SALTS = 64
@@ -27,8 +27,8 @@ def attach(
     The lookup is written first, so its row count is known: up to ``max_rows`` it is broadcast.
     A larger one joins on the key plus a salt taken from the ``spread`` columns of ``df``.
     """
-    lookup = materialize(lookup, "lookup")
-    if lookup.count() <= max_rows:
+    lookup, rows = materialize_counted(lookup, "lookup")
+    if rows <= max_rows:
         return df.join(F.broadcast(lookup), list(on), how)
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (

@@ -4,7 +4,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,3 +57,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``materialize``, with the number of rows as counted by the writing job itself."""
+    written = Observation()
+    stored = materialize(df.observe(written, F.count(F.lit(1)).alias("rows")), name)
+    return stored, written.get["rows"]
