@@ -11,7 +11,9 @@ from tremorline.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
+        # Small inputs stay in several partitions, as large ones would.
+        "spark.sql.shuffle.partitions": "3", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.driver.memory": "6g",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
     })
     session.sparkContext.setLogLevel("ERROR")

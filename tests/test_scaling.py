@@ -16,6 +16,12 @@ def test_salted_attach_equals_broadcast(spark):
         assert sorted(map(str, broadcast.collect())) == sorted(map(str, salted.collect()))
 
 
+def test_a_hot_group_is_spread_over_slices(spark):
+    df = spark.range(600).select(F.lit("hot").alias("repo"), "id")
+    ranged = df.repartitionByRange("repo", "id").groupBy(F.spark_partition_id().alias("slice")).count().collect()
+    assert len(ranged) > 1 and max(r["count"] for r in ranged) < 400
+
+
 def test_running_totals_over_a_hot_group(spark):
     rng = random.Random(5)
     rows = [("hot" if n < 400 else f"r{n % 5}", n, rng.randint(0, 50), rng.randint(0, 9)) for n in range(600)]

@@ -103,7 +103,10 @@ def staged_auc(matrix: DataFrame, leaves: list[dict]) -> DataFrame:
 
 
 def best_iteration(auc_by_round: DataFrame, patience: int = 20) -> DataFrame:
-    """The round kept when training stops after ``patience`` rounds without a better AUC."""
+    """The round kept when training stops after ``patience`` rounds without a better AUC.
+
+    Test labels of a single class give the same AUC to every round, so the first one stays.
+    """
     rounds = F.sort_array(F.collect_list(F.struct("tree_id", "auc_roc")))  # one entry per round
     start = F.struct(F.lit(-1).alias("tree_id"), F.lit(-1.0).alias("auc_roc"))
     best = F.aggregate(
@@ -155,9 +158,8 @@ def fit_and_score(matrix: DataFrame, params: BoostingParams = BoostingParams())
         leaves = leaf_table(spark, model)
         everything = own.withColumn("repo", F.lit(name))  # rounds are judged on all rows of the model together
         found = best_iteration(staged_auc(everything, leaves), params.patience).collect()  # one row
-        # Test labels of a single class cannot tell rounds apart: all are kept.
-        last = found[0]["best_iteration"] if found and found[0]["best_auc"] > 0 else params.rounds - 1
-        auc = found[0]["best_auc"] if found else 0.0
+        # Without test files there is nothing to stop on (and nothing to score).
+        last, auc = (found[0]["best_iteration"], found[0]["best_auc"]) if found else (params.rounds - 1, 0.0)
         kept = [leaf for leaf in leaves if leaf["tree_id"] <= last]
         folder = uuid.uuid4().hex
         tree_attributions(own.filter("in_test"), kept).write.parquet(f"{root}/scored/{folder}")
