@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import re
 
-from tremorline.operators.report import DRIVER_TEXTS
+from tremorline.operators.report import DRIVER_TEXTS, driver_parts
 from tremorline.schemas import AUTHORSHIP_FEATURES, CHURN_FEATURES, COUPLING_FEATURES, FEATURES
 
 EXT = "case p_size % 5 when 0 then '.py' when 1 then '.js' when 2 then '.GO' when 3 then '.md' else '' end"
@@ -91,7 +91,8 @@ def _coupling(edges: str, nearest: str) -> str:
 
 def _driver_case() -> str:
     branches = []
-    for name, (before, decimals, after) in DRIVER_TEXTS.items():
+    for name, template in DRIVER_TEXTS.items():
+        before, decimals, after = driver_parts(template)
         number = "" if decimals is None else f" || printf('%.{decimals}f', value)"
         branches.append(f"when '{name}' then '{before}'{number} || '{after}'")
     return "case feature " + " ".join(branches) + " end"

@@ -1,6 +1,8 @@
 """Ranked, explained results and the tables behind the report views."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,44 +15,51 @@ from tremorline.schemas import FEATURES, KEYS
 
 TOP_DRIVERS = 3
 
-# Text before the number, decimals (None: no number), text after it.
+# The sentence for each feature; the placeholder takes the feature's value.
 DRIVER_TEXTS = {
-    "lines_changed_30d": ("high recent churn (", 0, " lines in 30d)"),
-    "lines_changed_60d": ("elevated 60d churn (", 0, " lines)"),
-    "lines_changed_90d": ("elevated 90d churn (", 0, " lines)"),
-    "commit_count_30d": ("frequent recent changes (", 0, " commits in 30d)"),
-    "commit_count_60d": ("frequent changes in 60d (", 0, " commits)"),
-    "commit_count_90d": ("frequent changes in 90d (", 0, " commits)"),
-    "churn_spike_ratio": ("churn spike ratio: ", 1, "x"),
-    "total_commits": ("high total commit count (", 0, ")"),
-    "total_lines_changed": ("large lifetime churn (", 0, " lines total)"),
-    "file_age_days": ("file age: ", 0, " days"),
-    "days_since_last_change": ("last changed ", 0, " days ago"),
-    "coupling_score_mean": ("tightly coupled to other files (mean score: ", 2, ")"),
-    "coupling_score_max": ("max coupling score: ", 2, ""),
-    "coupled_high_churn": ("coupled to high-churn files", None, ""),
-    "unique_coupling_partners": ("co-changes with ", 0, " unique files"),
-    "unique_authors_total": ("touched by ", 0, " authors total"),
-    "unique_authors_30d": ("active authors recently: ", 0, ""),
-    "bus_factor_score": ("single author dominates (bus factor: ", 2, ")"),
-    "author_entropy": ("author entropy: ", 2, ""),
-    "cyclomatic_complexity": ("cyclomatic complexity: ", 1, ""),
-    "complexity_rank": ("complexity grade: ", 0, "/6"),
-    "is_high_complexity": ("high code complexity (grade C or above)", None, ""),
+    "lines_changed_30d": "high recent churn (%.0f lines in 30d)",
+    "lines_changed_60d": "elevated 60d churn (%.0f lines)",
+    "lines_changed_90d": "elevated 90d churn (%.0f lines)",
+    "commit_count_30d": "frequent recent changes (%.0f commits in 30d)",
+    "commit_count_60d": "frequent changes in 60d (%.0f commits)",
+    "commit_count_90d": "frequent changes in 90d (%.0f commits)",
+    "churn_spike_ratio": "churn spike ratio: %.1fx",
+    "total_commits": "high total commit count (%.0f)",
+    "total_lines_changed": "large lifetime churn (%.0f lines total)",
+    "file_age_days": "file age: %.0f days",
+    "days_since_last_change": "last changed %.0f days ago",
+    "coupling_score_mean": "tightly coupled to other files (mean score: %.2f)",
+    "coupling_score_max": "max coupling score: %.2f",
+    "coupled_high_churn": "coupled to high-churn files",
+    "unique_coupling_partners": "co-changes with %.0f unique files",
+    "unique_authors_total": "touched by %.0f authors total",
+    "unique_authors_30d": "active authors recently: %.0f",
+    "bus_factor_score": "single author dominates (bus factor: %.2f)",
+    "author_entropy": "author entropy: %.2f",
+    "cyclomatic_complexity": "cyclomatic complexity: %.1f",
+    "complexity_rank": "complexity grade: %.0f/6",
+    "is_high_complexity": "high code complexity (grade C or above)",
 }
 
 
+def driver_parts(template: str) -> tuple[str, int | None, str]:
+    """Text before the value, its decimals (None without a value), text after it."""
+    found = re.fullmatch(r"(.*)%\.(\d)f(.*)", template)
+    return (found[1], int(found[2]), found[3]) if found else (template, None, "")
+
+
 def driver_text(feature: Column, value: Column) -> Column:
     """Sentence for a feature and its value; unknown features read ``name: 0.00``."""
+    parts = {name: driver_parts(template) for name, template in DRIVER_TEXTS.items()}
     by_decimals = {}
-    for name, (_, decimals, _) in DRIVER_TEXTS.items():
+    for name, (_, decimals, _) in parts.items():
         by_decimals.setdefault(decimals, []).append(name)
     number = F.lit("")
     for decimals, names in by_decimals.items():
         if decimals is not None:
             number = F.when(feature.isin(names), fixed_text(value, decimals)).otherwise(number)
-    before = F.create_map(*[F.lit(x) for name, (text, _, _) in DRIVER_TEXTS.items() for x in (name, text)])
-    after = F.create_map(*[F.lit(x) for name, (_, _, text) in DRIVER_TEXTS.items() for x in (name, text)])
+    before = F.create_map(*[F.lit(x) for name, (text, _, _) in parts.items() for x in (name, text)])
+    after = F.create_map(*[F.lit(x) for name, (_, _, text) in parts.items() for x in (name, text)])
     return F.when(
         feature.isin(list(DRIVER_TEXTS)), F.concat(before[feature], number, after[feature])
     ).otherwise(F.concat(feature, F.lit(": "), fixed_text(value, 2)))
