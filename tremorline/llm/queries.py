@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import mixing, sharding
+from tremorline.llm import mixing, quality, secrets, sharding
 
 SHARDS = 16
 
@@ -26,7 +26,22 @@ def op2_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan_secrets(docs, carry=["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
+
+
+def op8_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.clean_lines(docs, texts=False, carry=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "n_lost_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
     "op2_poisson_mixture": op2_poisson_mixture,
+    "op5_zstd_novelty_secrets": op5_zstd_novelty_secrets,
+    "op8_line_first_cleaning": op8_line_first_cleaning,
 }
