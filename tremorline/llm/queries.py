@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import mixing, quality, secrets, sharding
+from tremorline.llm import mixing, quality, secrets, sharding, substring_dedup
 
 SHARDS = 16
 
@@ -26,6 +26,11 @@ def op2_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_doubling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs, carry=["doc_id"])
@@ -42,6 +47,7 @@ def op8_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
     "op2_poisson_mixture": op2_poisson_mixture,
+    "op4_doubling_windows": op4_doubling_windows,
     "op5_zstd_novelty_secrets": op5_zstd_novelty_secrets,
     "op8_line_first_cleaning": op8_line_first_cleaning,
 }
