@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import mixing, quality, secrets, sharding, substring_dedup
+from tremorline.llm import jaccard_join, mixing, quality, secrets, sharding, substring_dedup
 
 SHARDS = 16
 
@@ -44,10 +44,16 @@ def op8_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_lost_words")
 
 
+def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_join(docs).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
     "op2_poisson_mixture": op2_poisson_mixture,
     "op4_doubling_windows": op4_doubling_windows,
     "op5_zstd_novelty_secrets": op5_zstd_novelty_secrets,
     "op8_line_first_cleaning": op8_line_first_cleaning,
+    "op10_chosen_path_join": op10_chosen_path_join,
 }
