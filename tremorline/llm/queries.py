@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import jaccard_join, mixing, quality, secrets, sharding, substring_dedup
+from tremorline.llm import decontamination, jaccard_join, mixing, quality, secrets, sharding, substring_dedup
 
 SHARDS = 16
 
@@ -44,6 +44,13 @@ def op8_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_lost_words")
 
 
+def op9_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", (F.size("leaks") > 0).alias("leaked"),
+                        F.array_sort(F.array_distinct("leaks.item_id")).alias("item_ids"), "leaks")
+
+
 def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.jaccard_join(docs).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
@@ -55,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_doubling_windows": op4_doubling_windows,
     "op5_zstd_novelty_secrets": op5_zstd_novelty_secrets,
     "op8_line_first_cleaning": op8_line_first_cleaning,
+    "op9_qgram_leaks": op9_qgram_leaks,
     "op10_chosen_path_join": op10_chosen_path_join,
 }
