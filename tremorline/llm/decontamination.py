@@ -195,7 +195,7 @@ def _blocks(benchmark: DataFrame, rule: LeakRule) -> Iterator[Items]:
     yield Items(block, rule)
 
 
-LEAKS = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
+LEAKS = StructType.fromDDL("leaks array<struct<item_id:bigint,start:int,end:int,edits:int>>")["leaks"]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(), carry: Sequence[str] | None = None) -> DataFrame:
@@ -230,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(made, kind)], [*names, "leaks"])
 
         schema = StructType([docs.schema[c] for c in names])
-        return rows.mapInArrow(run, schema.add("leaks", LEAKS))
+        return rows.mapInArrow(run, schema.add(LEAKS))
 
     waiting, rows, first = None, docs, True
     for items in _blocks(benchmark, rule):
