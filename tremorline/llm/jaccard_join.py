@@ -131,6 +131,26 @@ def _missed(ends: DataFrame, rule: JaccardJoin, runs: int) -> float:
     return math.exp(max(plain * runs, plain * runs if worst is None else worst))
 
 
+def _unmet(ends: DataFrame, runs: int) -> DataFrame:
+    """The rows of buckets where some pair may meet for the first time, with ``paths``: the text's bucket in each run, 0 if alone.
+
+    A bucket whose texts all share one bucket of an earlier run has no such pair.
+    """
+    def of_run(r: Column) -> Column:
+        return F.coalesce(F.get(F.filter("_ends", lambda e: e["run"] == r), F.lit(0))["path"], F.lit(0))
+
+    by_text = ends.groupBy("tid").agg(F.collect_list(F.struct("run", "path", "size")).alias("_ends"))
+    rows = materialize(by_text.withColumn("paths", F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), of_run)).select(
+        "tid", "paths", F.explode("_ends").alias("_end")).select("tid", "paths", "_end.*"), "ends")
+    least = F.array(*[F.min(F.get("paths", F.lit(r))) for r in range(runs)])
+    most = F.array(*[F.max(F.get("paths", F.lit(r))) for r in range(runs)])
+    together = F.exists(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: (
+        (r < F.col("run")) & (F.get("_least", r) == F.get("_most", r)) & (F.get("_least", r) != 0)))
+    fresh = rows.groupBy("run", "path").agg(least.alias("_least"), most.alias("_most")).filter(~together)
+    key = F.bitwise_not("path")
+    return rows.withColumn("_key", key).join(fresh.select(key.alias("_key")), "_key", "left_semi").drop("_key")
+
+
 class _Union:
     def __init__(self, n: int):
         self.parent = list(range(n))
@@ -272,10 +292,8 @@ def jaccard_join(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFram
         if _missed(ends, rule, runs) <= 1 - rule.recall:
             break
 
-    at = F.map_from_entries(F.collect_list(F.struct("run", F.struct("path", "size"))))
-    members = ends.groupBy("tid").agg(at.alias("_at")).select(
-        "tid", F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.get(F.map_values(F.map_filter(
-            "_at", lambda k, v: k == r)), F.lit(0))["path"], F.lit(0))).alias("paths"), "_at")
+    members = _unmet(ends, runs).groupBy("tid").agg(
+        F.collect_list(F.struct("run", "path", "size")).alias("_ends"), F.first("paths").alias("paths"))
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -291,8 +309,8 @@ def jaccard_join(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFram
     own = F.pmod(F.xxhash64("tid"), F.col("_blocks")).cast("int")
     tiles = (
         met.mapInArrow(shingle_sets, schema)
-        .select("tid", "n", "paths", "shingles", F.explode("_at").alias("run", "_end"))
-        .select("tid", "n", "paths", "shingles", "run", F.col("_end.path").alias("path"), F.col("_end.size").alias("size"))
+        .select("tid", "n", "paths", "shingles", F.explode("_ends").alias("_end"))
+        .select("tid", "n", "paths", "shingles", "_end.run", "_end.path", "_end.size")
         .withColumn("_blocks", blocks).withColumn("block", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("one", F.col("_other") == F.col("block"))
