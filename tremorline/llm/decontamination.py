@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from tremorline.llm.text import without
 from tremorline.llm.words import pieces
@@ -195,7 +195,10 @@ def _blocks(benchmark: DataFrame, rule: LeakRule) -> Iterator[Items]:
     yield Items(block, rule)
 
 
-LEAKS = StructType.fromDDL("leaks array<struct<item_id:bigint,start:int,end:int,edits:int>>")["leaks"]
+LEAKS = T.StructField("leaks", T.ArrayType(T.StructType([
+    T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+    T.StructField("edits", T.IntegerType()),
+])))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(), carry: Sequence[str] | None = None) -> DataFrame:
@@ -229,7 +232,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
                 kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(made, kind)], [*names, "leaks"])
 
-        schema = StructType([docs.schema[c] for c in names])
+        schema = T.StructType([docs.schema[c] for c in names])
         return rows.mapInArrow(run, schema.add(LEAKS))
 
     waiting, rows, first = None, docs, True
