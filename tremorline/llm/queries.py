@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import decontamination, jaccard_join, mixing, quality, secrets, sharding, substring_dedup
+from tremorline.llm import decontamination, jaccard_join, mixing, quality, secrets, sharding, substring_dedup, toxicity
 
 SHARDS = 16
 
@@ -26,6 +26,12 @@ def op2_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model, carry=["doc_id"])
+
+
 def op4_doubling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -59,6 +65,7 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
     "op2_poisson_mixture": op2_poisson_mixture,
+    "op3_ordinal_toxicity": op3_ordinal_toxicity,
     "op4_doubling_windows": op4_doubling_windows,
     "op5_zstd_novelty_secrets": op5_zstd_novelty_secrets,
     "op8_line_first_cleaning": op8_line_first_cleaning,
