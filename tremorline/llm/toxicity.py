@@ -225,5 +225,5 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, rule: ToxicityRule = To
             ], [*carry, *added])
 
     schema = StructType([docs.schema[c] for c in carry])
-    schema = schema.add("severity", "double").add("toxic_chance", "double").add("grade", "int").add("toxic", "boolean")
+    schema = schema.add("severity", "double").add("toxic_chance", "double").add("grade", "integer").add("toxic", "boolean")
     return docs.mapInArrow(run, schema)
