@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,9 @@ class JaccardJoin:
     dense: float = 0.7
     #: A bucket that is still larger after so many splits is compared in tiles.
     depth: int = 6
+    #: Pairs that agree in a smaller share of the sampled tokens are not compared; a pair at the threshold falls short of one half
+    #: with a probability under one in 100,000.
+    sketch: float = 0.5
     seed: int = 11
 
 
@@ -131,24 +134,53 @@ def _missed(ends: DataFrame, rule: JaccardJoin, runs: int) -> float:
     return math.exp(max(plain * runs, plain * runs if worst is None else worst))
 
 
-def _unmet(ends: DataFrame, runs: int) -> DataFrame:
-    """The rows of buckets where some pair may meet for the first time, with ``paths``: the text's bucket in each run, 0 if alone.
-
-    A bucket whose texts all share one bucket of an earlier run has no such pair.
-    """
+def _with_paths(ends: DataFrame, runs: int) -> DataFrame:
+    """The bucket rows with ``paths``: the text's bucket in each run, 0 if alone."""
     def of_run(r: Column) -> Column:
         return F.coalesce(F.get(F.filter("_ends", lambda e: e["run"] == r), F.lit(0))["path"], F.lit(0))
 
     by_text = ends.groupBy("tid").agg(F.collect_list(F.struct("run", "path", "size")).alias("_ends"))
-    rows = materialize(by_text.withColumn("paths", F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), of_run)).select(
-        "tid", "paths", F.explode("_ends").alias("_end")).select("tid", "paths", "_end.*"), "ends")
-    least = F.array(*[F.min(F.get("paths", F.lit(r))) for r in range(runs)])
-    most = F.array(*[F.max(F.get("paths", F.lit(r))) for r in range(runs)])
-    together = F.exists(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: (
-        (r < F.col("run")) & (F.get("_least", r) == F.get("_most", r)) & (F.get("_least", r) != 0)))
-    fresh = rows.groupBy("run", "path").agg(least.alias("_least"), most.alias("_most")).filter(~together)
-    key = F.bitwise_not("path")
-    return rows.withColumn("_key", key).join(fresh.select(key.alias("_key")), "_key", "left_semi").drop("_key")
+    return by_text.withColumn("paths", F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), of_run)).select(
+        "tid", "paths", F.explode("_ends").alias("_end")).select("tid", "paths", "_end.*")
+
+
+def _tiled(rows: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """Bucket rows dealt and sorted by tile: a whole bucket or, of one over ``rule.bucket``, two of its blocks (or one, with itself)."""
+    return (
+        rows.withColumn("_blocks", F.ceil(F.col("size") / rule.bucket).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("tid"), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .withColumn("one", F.col("_other") == F.col("block"))
+        .withColumn("tile", F.xxhash64("path", F.least("block", "_other"), F.greatest("block", "_other")))
+        .drop("_blocks", "_other")
+        .repartition("tile").sortWithinPartitions("tile")
+    )
+
+
+class _Tile:
+    """The texts of one tile by tid, its two sides, and which pairs meet here first."""
+
+    def __init__(self, rows: dict[str, list]):
+        self.order = np.argsort(np.array(rows["tid"], dtype=object), kind="stable")
+        self.rows = rows
+        self.tid = self.column("tid")
+        block = np.array(self.column("block"))
+        sides = np.unique(block)
+        self.alone = bool(rows["one"][0])
+        self.left = np.flatnonzero(block == sides[0])
+        self.right = self.left if self.alone else np.flatnonzero(block == sides[1]) if len(sides) > 1 else self.left[:0]
+        run = rows["run"][0]
+        met = np.array([p[:run] for p in self.column("paths")], np.int64).reshape(len(self.tid), run)
+        self.fresh = np.ones((len(self.left), len(self.right)), bool)
+        if self.alone:
+            self.fresh = np.triu(self.fresh, 1)
+        for r in range(run):
+            a, b = met[self.left, r][:, None], met[self.right, r][None, :]
+            self.fresh &= (a != b) | (a == 0)
+
+    def column(self, name: str) -> list:
+        values = self.rows[name]
+        return [values[i] for i in self.order]
 
 
 class _Union:
@@ -187,30 +219,32 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _compare(rows: dict[str, list], threshold: float) -> Iterator[tuple[str, str, int, int]]:
+def _likely(rows: dict[str, list], least: int) -> Iterator[tuple]:
+    """(tid, paths, run, path, size) of the texts of a tile that agree in ``least`` sampled tokens with one they meet here first."""
+    tile = _Tile(rows)
+    tokens = np.array(tile.column("tokens"), np.int32)
+    agree = np.zeros(tile.fresh.shape, np.int16)
+    if tile.fresh.any():
+        for k in range(tokens.shape[1]):
+            agree += tokens[tile.left, k][:, None] == tokens[tile.right, k][None, :]
+    pairs = tile.fresh & (agree >= least)
+    some = np.unique(np.concatenate([tile.left[pairs.any(1)], tile.right[pairs.any(0)]]))
+    paths, run, path, size = (tile.column(c) for c in ("paths", "run", "path", "size"))
+    for i in some.tolist():
+        yield tile.tid[i], paths[i], run[i], path[i], size[i]
+
+
+def _linked(rows: dict[str, list], threshold: float) -> Iterator[tuple]:
     """(tid, root, linked documents, linked texts) of the texts of one tile that have a link there.
 
     A pair that already met in an earlier run is left to that run, so that each link counts once.
     """
-    order = np.argsort(np.array(rows["tid"], dtype=object), kind="stable")
-    tid = [rows["tid"][i] for i in order]
-    n = np.array(rows["n"], np.int64)[order]
-    sets = [np.frombuffer(rows["shingles"][i], np.uint64) for i in order]
-    sizes = np.array([len(s) for s in sets])
-    block = np.array(rows["block"])[order]
-    run = rows["run"][0]
-    met = np.array([rows["paths"][i][:run] for i in order], np.int64).reshape(len(order), run)
-    sides = np.unique(block)
-    left = np.flatnonzero(block == sides[0])
-    right = left if rows["one"][0] else np.flatnonzero(block == sides[-1])
-    if not rows["one"][0] and len(sides) == 1:
-        return
-    small, large = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
-    fresh = small >= threshold * large
-    if rows["one"][0]:
-        fresh &= np.triu(np.ones_like(fresh), 1)
-    for r in range(run):
-        fresh &= (met[left, r][:, None] != met[right, r][None, :]) | (met[left, r] == 0)[:, None]
+    tile = _Tile(rows)
+    tid, left, right = tile.tid, tile.left, tile.right
+    n = np.array(tile.column("n"), np.int64)
+    sets = [np.frombuffer(x, np.uint64) for x in tile.column("shingles")]
+    sizes = np.array([len(x) for x in sets])
+    fresh = tile.fresh & (np.minimum.outer(sizes[left], sizes[right]) >= threshold * np.maximum.outer(sizes[left], sizes[right]))
     i, j = np.flatnonzero(fresh.any(1)), np.flatnonzero(fresh.any(0))
     if not len(i):
         return
@@ -231,15 +265,15 @@ def _compare(rows: dict[str, list], threshold: float) -> Iterator[tuple[str, str
         yield tid[x], tid[union.find(x)], int(docs[x]), int(texts[x])
 
 
-def _tiles(threshold: float):
+def _by_tile(judge: Callable[[dict[str, list]], Iterator[tuple]], kinds: dict[str, pa.DataType]):
+    """A function over batches sorted by tile that gives ``judge`` the rows of each tile, and returns what it yields."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         out: list[tuple] = []
 
         def packed() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [[], [], [], []]
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["v", "u", "links", "text_links"])
+            columns = list(zip(*out)) or [[] for _ in kinds]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
             out.clear()
             return batch
 
@@ -251,13 +285,13 @@ def _tiles(threshold: float):
                     continue
                 part = batch.slice(a, b - a).to_pydict()
                 if held and held["tile"][0] != part["tile"][0]:
-                    out += _compare(held, threshold)
+                    out += judge(held)
                     held = {}
                 held = {c: held.get(c, []) + values for c, values in part.items()}
             if len(out) > 4096:
                 yield packed()
         if held:
-            out += _compare(held, threshold)
+            out += judge(held)
         yield packed()
 
     return run
@@ -274,7 +308,8 @@ def jaccard_join(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFram
     Each run puts every distinct text on a path: buckets are split by the value of one sampled token after another (a minimum
     of a seeded hash over the shingles, equal in two texts with probability of their similarity) until small enough for brute force.
     A bucket of texts that mostly resemble each other is not split, but compared in tiles of two blocks. Runs are
-    repeated in batches until the recall at the threshold is reached for all texts. Links are checked on the whole shingle
+    repeated in batches until the recall at the threshold is reached for all texts. Tiles are first judged by the sampled tokens, so that
+    shingle sets are sent only for pairs that may be links. Links are checked on the whole shingle
     sets (64-bit hashes); a link is counted in the first run in which its texts meet, so pairs are never listed. Every tile gives
     the links of a text as a count and its local root, which ``components`` connects.
     Input columns named like results are replaced.
@@ -292,8 +327,12 @@ def jaccard_join(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFram
         if _missed(ends, rule, runs) <= 1 - rule.recall:
             break
 
-    members = _unmet(ends, runs).groupBy("tid").agg(
-        F.collect_list(F.struct("run", "path", "size")).alias("_ends"), F.first("paths").alias("paths"))
+    least = int(rule.sketch * rule.tokens)
+    meeting = _with_paths(ends, runs).join(records.select("tid", "tokens"), "tid")
+    kinds = {"tid": pa.string(), "paths": pa.list_(pa.int64()), "run": pa.int32(), "path": pa.int64(), "size": pa.int64()}
+    likely = _tiled(meeting, rule).mapInArrow(
+        _by_tile(lambda rows: _likely(rows, least), kinds), "tid string, paths array<long>, run int, path long, size long")
+    members = likely.groupBy("tid").agg(F.collect_set(F.struct("run", "path", "size")).alias("_ends"), F.first("paths").alias("paths"))
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -305,20 +344,12 @@ def jaccard_join(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFram
     distinct = plain.groupBy("tid").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
     met = distinct.join(members, "tid")
     schema = met.drop("text").schema.add("shingles", "binary")
-    blocks = F.ceil(F.col("size") / rule.bucket).cast("int")
-    own = F.pmod(F.xxhash64("tid"), F.col("_blocks")).cast("int")
-    tiles = (
-        met.mapInArrow(shingle_sets, schema)
-        .select("tid", "n", "paths", "shingles", F.explode("_ends").alias("_end"))
-        .select("tid", "n", "paths", "shingles", "_end.run", "_end.path", "_end.size")
-        .withColumn("_blocks", blocks).withColumn("block", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .withColumn("one", F.col("_other") == F.col("block"))
-        .withColumn("tile", F.xxhash64("path", F.least("block", "_other"), F.greatest("block", "_other")))
-        .select("tile", "tid", "n", "paths", "shingles", "run", "block", "one")
-        .repartition("tile").sortWithinPartitions("tile")
-    )
-    linked = materialize(tiles.mapInArrow(_tiles(rule.threshold), "v string, u string, links long, text_links long"), "links")
+    sets = met.mapInArrow(shingle_sets, schema).select("tid", "n", "paths", "shingles", F.explode("_ends").alias("_end")).select(
+        "tid", "n", "paths", "shingles", "_end.*")
+    kinds = {"v": pa.string(), "u": pa.string(), "links": pa.int64(), "text_links": pa.int64()}
+    links = _tiled(sets, rule).mapInArrow(
+        _by_tile(lambda rows: _linked(rows, rule.threshold), kinds), "v string, u string, links long, text_links long")
+    linked = materialize(links, "links")
     counts = linked.groupBy("v").agg(F.sum("links").alias("_links"), F.sum("text_links").alias("_texts"))
     roots = components(linked.select("v", "u"))
     of_text = (
