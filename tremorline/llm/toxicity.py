@@ -23,7 +23,7 @@ _LOWER[0x41:0x5B] += 32
 @dataclass(frozen=True)
 class ToxicityRule:
     #: Labelled documents used for fitting: those with the lowest hash of doc_id, at most so many.
-    labelled: int = 20_000
+    labelled: int = 6_000
     #: Features are hashed to 2**bits weights.
     bits: int = 18
     #: Besides words, their beginnings of these lengths in bytes are features.
@@ -34,12 +34,14 @@ class ToxicityRule:
     grades: int = 3
     #: Rows with the average share of grades above 0 that each feature's log-odds start from.
     prior: float = 5.0
+    #: Features whose log-odds are smaller are left out.
+    telling: float = 0.5
     #: Strength of the L2 penalty for each labelled document, number of steps and their size.
     penalty: float = 1e-5
     steps: int = 300
     rate: float = 0.1
     #: Documents with at least this probability of a grade above 0 are toxic.
-    threshold: float = 0.5
+    threshold: float = 0.35
     seed: int = 3
 
 
@@ -106,7 +108,8 @@ def fit_ordinal(begins: np.ndarray, number: np.ndarray, value: np.ndarray, grade
     yes = np.bincount(number[grade[row] > 0], minlength=len(used))
     no = np.bincount(number, minlength=len(used)) - yes
     odds = np.log((yes + rule.prior * share) / (no + rule.prior * (1 - share)) * (1 - share) / share)
-    value = value * odds[number]
+    telling = np.abs(odds)[number] >= rule.telling
+    row, number, value = row[telling], number[telling], (value * odds[number])[telling]
     weights, first, gaps = np.zeros(len(used)), 1.0, np.zeros(top - 1)
     n = len(grade)
     state = [np.zeros(len(used) + top) for _ in range(2)]
