@@ -19,7 +19,7 @@ _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A batch is worked off in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
