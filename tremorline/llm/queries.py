@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import decontamination, html_text, jaccard_join, mixing, quality, secrets, sharding, substring_dedup, toxicity
+from tremorline.llm import decontamination, html_text, jaccard_join, lm, mixing, quality, secrets, sharding, substring_dedup, toxicity
 
 SHARDS = 16
 
@@ -43,6 +43,11 @@ def op5_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
 
 
+def op6_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_corpus(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_dom_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     found = html_text.extract_pages(pages, html_text.fit_pages(pages), carry=["page_id", "url"])
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ordinal_toxicity": op3_ordinal_toxicity,
     "op4_doubling_windows": op4_doubling_windows,
     "op5_zstd_novelty_secrets": op5_zstd_novelty_secrets,
+    "op6_gru_scores": op6_gru_scores,
     "op7_dom_marginals": op7_dom_marginals,
     "op8_line_first_cleaning": op8_line_first_cleaning,
     "op9_qgram_leaks": op9_qgram_leaks,
