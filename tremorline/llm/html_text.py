@@ -349,11 +349,11 @@ def fit_pages(pages: DataFrame, rule: PageRule = PageRule()) -> TreeModel:
     Tasks count their own pages; the counts are summed per key before they reach the driver. Keys are made of element names and
     the kinds above; element names outside the block list do not occur, so their number is fixed.
     """
-    chosen = (
-        pages.select("page_id", whole("html").alias("html")).filter(F.lower("html").rlike("<(article|main)[\\s>]"))
-        .select(F.xxhash64(F.lit(rule.seed), "page_id").alias("_key"), "html")
-        .orderBy("_key").limit(rule.labelled).repartition(F.col("_key"))
-    )
+    own = pages.select(F.xxhash64(F.lit(rule.seed), "page_id").alias("_key"), whole("html").alias("html")).filter(
+        F.lower("html").rlike("<(article|main)[\\s>]"))
+    # Only keys are ranked; at most rule.labelled of them, so they may be broadcast.
+    keys = own.select("_key").distinct().orderBy("_key").limit(rule.labelled)
+    chosen = own.join(F.broadcast(keys), "_key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = TreeModel({})
