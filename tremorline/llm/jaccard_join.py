@@ -298,12 +298,13 @@ def _by_tile(judge: Callable[[dict[str, list]], Iterator[tuple]], kinds: dict[st
 
 
 def jaccard_join(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFrame:
-    """``docs`` with class_id, n_links, n_text_links, n_copies; one row in, one row out, whole texts.
+    """``docs`` with class_id, n_links, n_text_links, n_copies, first_of_class; one row in, one row out, whole texts.
 
     Two documents are linked if the Jaccard similarity of their sets of ``shingle``-word runs reaches ``threshold``. A text
     of fewer words is one shingle; a text without words (or null) is linked to none, not even to its copies. ``class_id`` is
     the least doc_id of the connected component (own doc_id without links; null if none is known), ``n_links`` counts the linked
-    documents, copies included, ``n_text_links`` the linked different texts and ``n_copies`` the documents of the same text.
+    documents, copies included, ``n_text_links`` the linked different texts and ``n_copies`` the documents of the same text. ``first_of_class`` holds for one text of the class, in its documents with the least
+    doc_id, and for every text without words.
 
     Each run puts every distinct text on a path: buckets are split by the value of one sampled token after another (a minimum
     of a seeded hash over the shingles, equal in two texts with probability of their similarity) until small enough for brute force.
@@ -314,7 +315,7 @@ def jaccard_join(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFram
     the links of a text as a count and its local root, which ``components`` connects.
     Input columns named like results are replaced.
     """
-    added = ["class_id", "n_links", "n_text_links", "n_copies"]
+    added = ["class_id", "n_links", "n_text_links", "n_copies", "first_of_class"]
     docs = without(docs, *added, "_tid")
     keyed = docs.withColumn("_tid", F.md5(whole("text").cast("binary")))
     plain = keyed.select(F.col("_tid").alias("tid"), whole("text").alias("text"))
@@ -360,13 +361,26 @@ def jaccard_join(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFram
     )
     firsts = keyed.groupBy("_tid").agg(F.min("doc_id").alias("_first"))
     of_text = of_text.join(firsts, F.col("tid") == F.col("_tid")).drop("_tid")
-    classes = of_text.groupBy("root").agg(F.min("_first").alias("_class"))
+    least = F.min(F.struct(F.col("_first").isNull().alias("unknown"), F.col("_first").alias("id"), F.col("tid").alias("tid")))
+    classes = of_text.groupBy("root").agg(least.alias("_class"))
     of_text = materialize(of_text.join(classes, "root"), "classes")
     kept = [F.col(f"`{c}`") for c in docs.columns]
     return keyed.join(of_text, F.col("_tid") == F.col("tid"), "left").select(
         *kept,
-        F.when(F.col("tid").isNull(), F.col("doc_id")).otherwise(F.col("_class")).alias("class_id"),
+        F.when(F.col("tid").isNull(), F.col("doc_id")).otherwise(F.col("_class.id")).alias("class_id"),
         F.coalesce(F.col("_links") + F.col("n") - 1, F.lit(0)).alias("n_links"),
         F.coalesce(F.col("_texts"), F.lit(0)).alias("n_text_links"),
         F.coalesce(F.col("n"), F.lit(1)).alias("n_copies"),
+        (F.col("tid").isNull() | ((F.col("tid") == F.col("_class.tid")) & F.col("doc_id").eqNullSafe(F.col("_first")))).alias("first_of_class"),
     )
+
+
+def first_of_each(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFrame:
+    """``docs`` with one row for each class of ``jaccard_join``, that of the least doc_id; texts without words all stay.
+
+    Repeated rows and documents without an id count as copies, of which one stays.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first = jaccard_join(docs, rule).filter("first_of_class")
+    lone = first.filter("n_copies = 1").select(*columns)
+    return lone.unionByName(first.filter("n_copies > 1").dropDuplicates(["text"]).select(*columns))
