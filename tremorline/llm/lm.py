@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tremorline.llm import gru
 from tremorline.llm.text import whole, without
@@ -250,7 +251,7 @@ def fit_language_model(docs: DataFrame, counted: DataFrame, rule: LmRule = LmRul
     return model
 
 
-_ROWS = ("_row long, main boolean, n_tokens long, n_known long, base double, score double, hash long, grp int, n long")
+_ROW = {"n_tokens": "long", "n_known": "long", "base": "double", "score": "double", "hash": "long", "grp": "integer", "n": "long"}
 
 
 def _in_order(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -278,7 +279,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, counted: DataFrame) -
     rule, shape = model.rule, model.rule.shape
     added = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = without(docs, *added, "_row")
-    kept = [c for c in docs.columns if c != "text"]
+    carried = {c: f"_c{i}" for i, c in enumerate(x for x in docs.columns if x != "text")}
     base_log = math.log10(model.total + 0.5 * (model.distinct + 1))
     group_log = np.log10(model.group_total + 0.5 * (model.group_distinct + 1))
 
@@ -301,11 +302,11 @@ def score_documents(docs: DataFrame, model: LanguageModel, counted: DataFrame) -
             score += np.bincount(owner[rare], logs[rare] - group_log[groups[rare]], len(sizes))
             known = np.bincount(owner, here, len(sizes)).astype(np.int64)
             rows = some.column("_row")
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.int64()]
-            names = ["_row", "main", "n_tokens", "n_known", "base", "score", "hash", "grp", "n"]
+            names = ["_row", *carried.values(), *_ROW]
+            own = [some.column(c) for c in carried.values()]
             # A main row joins with nothing: its hash only deals it out.
             yield pa.RecordBatch.from_arrays([
-                rows, pa.array(np.ones(len(sizes), bool)), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score),
+                rows, *own, pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score),
                 pa.array(mix(rows.to_numpy().astype(np.uint64)).view(np.int64)), pa.nulls(len(sizes), pa.int32()), pa.array(np.zeros(len(sizes), np.int64)),
             ], names)
             away = np.flatnonzero(~here)
@@ -318,12 +319,19 @@ def score_documents(docs: DataFrame, model: LanguageModel, counted: DataFrame) -
             for at in range(0, len(order), 100_000):
                 part = order[at:at + 100_000]
                 yield pa.RecordBatch.from_arrays([
-                    rows.take(pa.array(owner[part])), pa.array(np.zeros(len(part), bool)), *[pa.nulls(len(part), k) for k in kinds[2:6]],
+                    rows.take(pa.array(owner[part])), *[pa.nulls(len(part), c.type) for c in own],
+                    *[pa.nulls(len(part), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())],
                     pa.array(hashes[part].view(np.int64)), pa.array(groups[part].astype(np.int32)), pa.array(times[at:at + 100_000].astype(np.int64)),
                 ], names)
 
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = numbered.select("_row", whole("text").alias("text")).mapInArrow(run, _ROWS)
+    # The other columns travel on a document's main row: its number holds for one evaluation only, so nothing is joined back by it.
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), whole("text").alias("text"),
+                           *[F.col(f"`{c}`").alias(k) for c, k in carried.items()])
+    schema = numbered.drop("text").schema
+    for name, kind in _ROW.items():
+        schema = schema.add(name, kind)
+    schema = StructType([StructField(f.name, f.dataType) for f in schema])
+    rows = numbered.mapInArrow(run, schema)
     floor = int(model.counts.min()) if len(model.counts) else 1
     rarest = counted.filter(F.col("c") < floor).select("hash", F.col("c").alias("_c"))
     by_group = F.get(F.array(*[F.lit(float(x)) for x in group_log]), F.col("grp"))
@@ -331,13 +339,14 @@ def score_documents(docs: DataFrame, model: LanguageModel, counted: DataFrame) -
     logs = F.log10(c + F.lit(0.5))
     tail = F.col("n") > 0
     joined = rows.join(rarest, "hash", "left").groupBy("_row").agg(
+        *[F.first(k, ignorenulls=True).alias(k) for k in carried.values()],
         F.max("n_tokens").alias("n_tokens"),
         (F.sum(F.coalesce("n_known", F.lit(0))) + F.sum(F.when(tail & (c > 0), F.col("n")).otherwise(0))).alias("n_known"),
         (F.sum(F.coalesce("base", F.lit(0.0))) + F.sum(F.when(tail, F.col("n") * (logs - F.lit(base_log))).otherwise(0.0))).alias("base_score"),
         (F.sum(F.coalesce("score", F.lit(0.0))) + F.sum(F.when(tail, F.col("n") * (logs - by_group)).otherwise(0.0))).alias("score"),
     )
-    return numbered.select("_row", *kept).join(joined, "_row").select(
-        *[F.col(f"`{x}`") for x in kept], held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+    return joined.select(
+        *[F.col(k).alias(c) for c, k in carried.items()], held_out(F.col(carried["doc_id"])).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
