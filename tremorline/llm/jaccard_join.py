@@ -25,8 +25,10 @@ class JaccardJoin:
     runs: int = 8
     #: Sampled tokens (minima of seeded hashes over the shingles) kept for each document.
     tokens: int = 48
-    #: Buckets up to this size are compared by brute force; larger dense ones in tiles of such blocks.
-    bucket: int = 256
+    #: Buckets up to this size are compared by brute force, larger ones are split.
+    bucket: int = 4096
+    #: Buckets are compared in tiles of two such blocks.
+    block: int = 256
     #: A bucket whose pairs agree in so many sampled tokens on average is mostly links: it is compared, not split.
     dense: float = 0.7
     #: A bucket that is still larger after so many splits is compared in tiles.
@@ -145,9 +147,9 @@ def _with_paths(ends: DataFrame, runs: int) -> DataFrame:
 
 
 def _tiled(rows: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """Bucket rows dealt and sorted by tile: a whole bucket or, of one over ``rule.bucket``, two of its blocks (or one, with itself)."""
+    """Bucket rows dealt and sorted by tile: a whole bucket or, of one over ``rule.block``, two of its blocks (or one, with itself)."""
     return (
-        rows.withColumn("_blocks", F.ceil(F.col("size") / rule.bucket).cast("int"))
+        rows.withColumn("_blocks", F.ceil(F.col("size") / rule.block).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("tid"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("one", F.col("_other") == F.col("block"))
@@ -321,12 +323,16 @@ def jaccard_join(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFram
     plain = keyed.select(F.col("_tid").alias("tid"), whole("text").alias("text"))
     records = materialize(_tokens(plain, rule), "records")
 
-    runs, ends = 0, None
-    while True:
-        batch = _batch_of_runs(records, rule, range(runs, runs + rule.runs))
-        ends, runs = batch if ends is None else ends.unionByName(batch), runs + rule.runs
-        if _missed(ends, rule, runs) <= 1 - rule.recall:
-            break
+    runs = rule.runs
+    ends = _batch_of_runs(records, rule, range(runs))
+    # Texts that were only in small buckets have met their like; the others, and all that was with them, go on.
+    again = None
+    while _missed(ends, rule, runs) > 1 - rule.recall:
+        if again is None:
+            deep = ends.filter("depth > 1").select("tid").distinct()
+            again = materialize(records.join(deep, "tid", "left_semi"), "again")
+        ends = ends.unionByName(_batch_of_runs(again, rule, range(runs, runs + rule.runs)))
+        runs += rule.runs
 
     least = int(rule.sketch * rule.tokens)
     meeting = _with_paths(ends, runs).join(records.select("tid", "tokens"), "tid")
