@@ -53,7 +53,7 @@ def test_groups_of_near_copies(docs_of):
     # A frequent passage, no near copies: one large bucket that has to be split.
     rows += [(1000 + i, " ".join(base[:50] + [str(r.randrange(9999)) for _ in range(50)])) for i in range(60)]
     rows += [(2000 + i, rows[3][1]) for i in range(5)] + [(3000, "x " * 500), (3001, "x " * 9), (3002, "a b c"), (3003, "a  b\nc"), (3004, "a b")]
-    assert got(docs_of(rows), JaccardJoin(bucket=16)) == brute(rows)
+    assert got(docs_of(rows), JaccardJoin(bucket=16, block=7)) == brute(rows)
 
 
 def test_edges(docs_of, edge_rows):
