@@ -4,7 +4,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
@@ -36,6 +35,7 @@ IDENTIFIERS = (
     "refresh_token", "token_type", "private_key", "public_key", "secret_key", "api_key", "example.com", "https://www.", "http://",
     "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "00000000000000000000", "xxxxxxxxxxxxxxxxxxxx",
 )
+_PRIMER = "\n".join(IDENTIFIERS).encode()
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
 _NEAR = re.compile("|".join(re.escape(w) for w in SENSITIVE), re.IGNORECASE | re.ASCII)
 #: What any text with a span must match, for RE2: documents without it need no closer look.
@@ -70,14 +70,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-@lru_cache(maxsize=1)
-def _identifiers() -> bytes:
-    return "\n".join(IDENTIFIERS).encode()
-
-
 def marginal_bytes(candidate: str, around: str) -> int:
     """Compressed bytes that the candidate adds to nothing, with identifiers and the text around it as the dictionary."""
-    primer = zstandard.ZstdCompressionDict(_identifiers() + around.encode("utf-8", "replace"),
+    primer = zstandard.ZstdCompressionDict(_PRIMER + around.encode("utf-8", "replace"),
                                            dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=6, dict_data=primer, write_content_size=False, write_dict_id=False)
     return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
