@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.llm.text import key_text, uniform, whole, without
+from tremorline.session import materialize
 
 #: A larger mean is drawn as a sum of equal parts of at most this mean, so that exp(-mean) keeps its digits.
 PART_MEAN = 16.0
@@ -65,6 +66,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: float
     parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
     rates = rates.select(F.col("source").alias("_source"), "rate", parts.alias("_parts")).withColumn(
         "_cdf", _cumulative(F.col("rate") / F.col("_parts").cast("double")))
+    # Stored, its size is known before the join is planned: a small table is broadcast and the documents stay where they are.
+    rates = materialize(rates, "rates")
 
     def draw(part: Column) -> Column:
         u = uniform(F.lit(f"copies {seed}"), F.col("doc_id"), part)
