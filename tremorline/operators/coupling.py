@@ -124,7 +124,7 @@ def high_churn_files(churn: DataFrame, quantile: float = HIGH_CHURN_QUANTILE) ->
     """Files at or above their repository's churn quantile."""
     return (
         attach(churn.select(*KEYS, "total_lines_changed"), churn_threshold(churn, quantile),
-               on=["repo"], spread=["file_path"])
+               on=["repo"])
         .filter(F.col("total_lines_changed") >= F.col("threshold"))
     )
 
@@ -137,7 +137,7 @@ def coupled_high_churn(edges: DataFrame, churn: DataFrame, k: int = CHECKED_PART
 def _coupled(ranked: DataFrame, churn: DataFrame) -> DataFrame:
     hot = high_churn_files(churn).select("repo", F.col("file_path").alias("partner"), F.lit(1).alias("hot"))
     return (
-        attach(ranked, hot, on=["repo", "partner"], spread=["file_path"], salts=8)
+        attach(ranked, hot, on=["repo", "partner"])
         .groupBy(*KEYS)
         .agg(F.coalesce(F.max(F.when(F.col("position") <= CHECKED_PARTNERS, F.col("hot"))), F.lit(0))
              .alias("coupled_high_churn"),
@@ -155,7 +155,7 @@ def coupling_of(touches: DataFrame, churn: DataFrame, commits: DataFrame, max_fi
     nearest = _coupled(top_partners(edges, MEAN_PARTNERS), churn)
     files = churn.select(*KEYS).join(partners, KEYS, "left").join(nearest, KEYS, "left")
     total = F.col("total_commits")
-    return attach(files, commits.select("repo", "total_commits"), on=["repo"], spread=["file_path"]).select(
+    return attach(files, commits.select("repo", "total_commits"), on=["repo"]).select(
         *KEYS,
         F.coalesce(F.col("mean_commits") / total, F.lit(0.0)).alias("coupling_score_mean"),
         F.coalesce(F.col("max_commits") / total, F.lit(0.0)).alias("coupling_score_max"),

@@ -21,7 +21,8 @@ LABEL_DAYS = 30
 
 
 def non_merge_changes(records: DataFrame) -> DataFrame:
-    return records.filter(~F.col("is_merge"))
+    """Rows of ordinary commits; a row that does not say counts as one."""
+    return records.filter(~F.coalesce(F.col("is_merge"), F.lit(False)))
 
 
 def _utc_date(records: DataFrame) -> Column:
@@ -39,13 +40,14 @@ def latest_commits(records: DataFrame, n: int = MAX_COMMITS) -> DataFrame:
     sequence numbers) narrows it to one slot, the commits in that slot are ranked, and every
     row is then compared with that one commit. The rows themselves are not shuffled by repository.
     """
-    if "commit_seq" in records.columns:
-        age, slot = F.col("commit_seq").cast("bigint"), F.shiftright(F.col("age"), 10)
-    else:
-        age = -F.unix_micros(_utc_date(records))
-        slot = F.floor(F.col("age") / F.lit(86_400_000_000))
-    commits = (
-        records.groupBy("repo", "commit_hash").agg(F.min(age).alias("age")).withColumn("slot", slot)
+    age = -F.unix_micros(_utc_date(records))
+    slot = F.floor(F.col("age") / F.lit(86_400_000_000))
+    if "commit_seq" in records.columns:  # null where the source does not have it
+        age = F.coalesce(F.col("commit_seq").cast("bigint"), age)
+        slot = F.when(F.col("age") >= 0, F.shiftright(F.col("age"), 10)).otherwise(slot)
+    # The narrow commit table is read three times, the records twice: to make it and to be filtered.
+    commits = materialize(
+        records.groupBy("repo", "commit_hash").agg(F.min(age).alias("age")).withColumn("slot", slot), "commits"
     )
     through = W.partitionBy("repo").orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
     last_slot = (
@@ -55,7 +57,7 @@ def latest_commits(records: DataFrame, n: int = MAX_COMMITS) -> DataFrame:
         .select("repo", F.col("slot").alias("last_slot"),
                 (n - F.col("reached") + F.col("in_slot")).alias("wanted"))
     )
-    candidates = attach(commits, last_slot, on=["repo"], spread=["commit_hash"], how="inner").filter(
+    candidates = attach(commits, last_slot, on=["repo"], how="inner").filter(
         F.col("slot") == F.col("last_slot")
     )
     ranked = running_totals(
@@ -70,14 +72,17 @@ def latest_commits(records: DataFrame, n: int = MAX_COMMITS) -> DataFrame:
         | ((age == F.col("kept_age")) & (F.col("commit_hash") >= F.col("kept_hash")))
     )
     return (
-        attach(records, oldest_kept, on=["repo"], spread=["commit_hash"])
+        attach(records, oldest_kept, on=["repo"])
         .filter(kept)
         .drop("kept_age", "kept_hash")
     )
 
 
-def commit_file_rows(records: DataFrame, max_commits: int | None = MAX_COMMITS) -> DataFrame:
-    """One row per (commit, modified file): merges dropped, paths resolved, dates in UTC."""
+def commit_file_rows(records: DataFrame, max_commits: int | None = None) -> DataFrame:
+    """One row per (commit, modified file): merges dropped, paths resolved, dates in UTC.
+
+    The whole history counts; ``max_commits`` keeps the latest ones of each repository (``latest_commits``).
+    """
     changes = non_merge_changes(records)
     if max_commits is not None:
         changes = latest_commits(changes, max_commits)
@@ -119,12 +124,13 @@ def file_touches(facts: DataFrame) -> DataFrame:
     """One row per (file, commit): the shared base of all history features.
 
     Keyed on file and commit together, so neither a hot file nor a mass commit fills one task.
-    Date, author and label belong to the commit and are the same on all its rows; the author is
-    therefore a key, which keeps the aggregation hash-based. Drop ``author_name`` if it is not needed.
+    Rows of a commit that disagree on the date or author give the earliest date and the last author by name, known
+    before unknown. Text makes this a sorting aggregation: drop ``author_name`` if it is not needed.
     """
-    author = ["author_name"] if "author_name" in facts.columns else []
+    author = [F.max("author_name").alias("author_name")] if "author_name" in facts.columns else []
     bugfix = [F.max("is_bugfix").alias("is_bugfix")] if "is_bugfix" in facts.columns else []
-    return facts.groupBy("repo", "file_path", "commit_hash", *author).agg(
+    return facts.groupBy("repo", "file_path", "commit_hash").agg(
+        *author,
         F.min("commit_date").alias("commit_date"),
         *bugfix,
         F.count(F.lit(1)).alias("n_rows"),
@@ -169,7 +175,7 @@ def anchor_to_ref(facts: DataFrame, bounds: DataFrame | None = None) -> DataFram
     """Attach the repository's time bounds to every row."""
     bounds = history_bounds(facts) if bounds is None else bounds
     return attach(
-        facts, bounds.select("repo", "ref_date", "cutoff", "label_end"), on=["repo"], spread=["file_path"]
+        facts, bounds.select("repo", "ref_date", "cutoff", "label_end"), on=["repo"]
     )
 
 
@@ -184,7 +190,7 @@ def history_sizes(facts: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 def enough_history(facts: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """Facts of repositories with at least ``min_rows`` commit-file rows."""
     passing = history_sizes(facts, min_rows).filter(F.col("reason").isNull()).select("repo")
-    return attach(facts, passing, on=["repo"], spread=["commit_hash", "file_path"], how="inner")
+    return attach(facts, passing, on=["repo"], how="inner")
 
 
 def short_history(facts: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from itertools import batched
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -42,9 +43,14 @@ class BoostingParams:
     column_share: float = 0.8
     seed: int = 42
     patience: int = 20
+    #: Partitions of a training set, whatever its size: the row samples of a round are drawn per partition, so the
+    #: model would change with their number. Raise it for training sets that do not fit.
+    pieces: int = 8
+    #: One model over all repositories; else one for each, ``parallel_repos`` at a time.
+    pooled: bool = True
     parallel_repos: int = 4
-    rows_per_partition: int = 50_000
-    pooled: bool = False
+    #: Rounds that are evaluated at once while looking for the best one.
+    block: int = 50
 
 
 def class_balance(matrix: DataFrame) -> DataFrame:
@@ -64,11 +70,12 @@ def _assembled(matrix: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(matrix)
 
 
-def train_model(train: DataFrame, pos_weight: Column, n_rows: int,
+def train_model(train: DataFrame, pos_weight: Column,
                 params: BoostingParams = BoostingParams(), features: list[str] = FEATURES):
     """Fit boosted trees on one training set (keys, features, label), positives weighted up.
 
-    Rows are put in a fixed order, so that the row samples of a seed are always the same.
+    Rows are dealt by the hash of their keys to a fixed number of pieces and sorted there, so that the row samples
+    of a seed are always the same, however the input is partitioned.
     Checkpoints every ten rounds, in the shared folder, keep the lineage short.
     """
     shared_dir(train.sparkSession)
@@ -84,8 +91,7 @@ def train_model(train: DataFrame, pos_weight: Column, n_rows: int,
         subsamplingRate=params.row_share, featureSubsetStrategy=str(params.column_share),
         seed=params.seed, checkpointInterval=10,
     )
-    pieces = max(1, -(-n_rows // params.rows_per_partition))
-    return classifier.fit(weighted.repartitionByRange(pieces, *KEYS).sortWithinPartitions(*KEYS))
+    return classifier.fit(weighted.repartition(params.pieces, *KEYS).sortWithinPartitions(*KEYS))
 
 
 def score_files(model, matrix: DataFrame, features: list[str] = FEATURES) -> DataFrame:
@@ -94,14 +100,33 @@ def score_files(model, matrix: DataFrame, features: list[str] = FEATURES) -> Dat
     return scored.select(*KEYS, vector_to_array("probability")[1].alias("probability"))
 
 
-def staged_auc(matrix: DataFrame, leaves: list[dict]) -> DataFrame:
-    """Test AUC after each boosting round, exact, per repository."""
-    staged = staged_margins(matrix.filter("in_test"), leaves).select(
-        "repo", F.col("label").alias("y"), F.posexplode("margins").alias("tree_id", "score")
-    )
+def staged_auc(matrix: DataFrame, leaves: list[dict], rounds: range | None = None) -> DataFrame:
+    """Test AUC after each boosting round (of ``rounds``, else all), exact, per repository."""
+    rounds = range(1 + max(leaf["tree_id"] for leaf in leaves)) if rounds is None else rounds
+    staged = staged_margins(matrix.filter("in_test"), leaves, rounds).select(
+        "repo", F.col("label").alias("y"), F.posexplode("margins").alias("at", "score")
+    ).withColumn("tree_id", F.col("at") + rounds.start).drop("at")
     return roc_auc(score_curve(staged, ["repo", "tree_id"]), ["repo", "tree_id"])
 
 
+def stopped_round(matrix: DataFrame, leaves: list[dict], params: BoostingParams) -> tuple[int, float] | None:
+    """``best_iteration`` of one model, looked for block by block until its patience is spent; None without test rows.
+
+    At most one number a round reaches the driver, and rounds past the stop are never scored.
+    """
+    spark, last, aucs = matrix.sparkSession, 1 + max(leaf["tree_id"] for leaf in leaves), []
+    for start in range(0, last, params.block):
+        found = staged_auc(matrix, leaves, range(start, min(last, start + params.block))).collect()
+        aucs += sorted((r["tree_id"], r["auc_roc"]) for r in found)
+        if not aucs:
+            return None
+        by_round = spark.createDataFrame([("*", *a) for a in aucs], "repo string, tree_id int, auc_roc double")
+        best = best_iteration(by_round, params.patience).first()
+        if aucs[-1][0] - best["best_iteration"] > params.patience:
+            break
+    return best["best_iteration"], best["best_auc"]
+
+
 def best_iteration(auc_by_round: DataFrame, patience: int = 20) -> DataFrame:
     """The round kept when training stops after ``patience`` rounds without a better AUC.
 
@@ -124,7 +149,7 @@ def best_iteration(auc_by_round: DataFrame, patience: int = 20) -> DataFrame:
 def constant_fallback(matrix: DataFrame, balance: DataFrame) -> DataFrame:
     """0.5 and no attributions for the test files of repositories with nothing to learn from."""
     untrainable = balance.filter(~F.col("trainable")).select("repo")
-    tests = attach(matrix.filter("in_test").select(*KEYS), untrainable, on=["repo"], spread=["file_path"], how="inner")
+    tests = attach(matrix.filter("in_test").select(*KEYS), untrainable, on=["repo"], how="inner")
     return tests.select(
         *KEYS, F.lit(0.5).alias("probability"),
         F.array().cast(SCORED_FILES["contributions"].dataType).alias("contributions"),
@@ -143,23 +168,21 @@ class FittedRun:
 def fit_and_score(matrix: DataFrame, params: BoostingParams = BoostingParams()) -> FittedRun:
     """Probability and attributions of every test file.
 
-    One model per repository by default: repositories are taken one at a time from an iterator,
-    a few are fitted at once, and each model writes to folders of its own. ``matrix`` has to be a stored
-    table (see ``materialize``) sorted by repository, so that a fit reads its own rows only.
-    ``params.pooled`` fits a single model over all trainable repositories instead; the number of
-    jobs then does not grow with the number of repositories.
+    A single model over all trainable repositories by default, positives weighted by repository: the number of jobs
+    does not grow with the repositories. With ``pooled=False`` each repository gets its own model, in folders of its own;
+    repositories are read from an iterator a few at a time, and fitted side by side. ``matrix`` then has to be a
+    stored table (see ``materialize``) sorted by repository, so that a fit reads its own rows only.
     """
     spark = matrix.sparkSession
     balance = class_balance(matrix)
     root = scratch_path(spark, "models")
 
-    def run(name, own, pos_weight, n_rows):
-        model = train_model(own.filter("in_train"), pos_weight, n_rows, params)
+    def run(name, own, pos_weight):
+        model = train_model(own.filter("in_train"), pos_weight, params)
         leaves = leaf_table(spark, model)
         everything = own.withColumn("repo", F.lit(name))  # rounds are judged on all rows of the model together
-        found = best_iteration(staged_auc(everything, leaves), params.patience).collect()  # one row
         # Without test files there is nothing to stop on (and nothing to score).
-        last, auc = (found[0]["best_iteration"], found[0]["best_auc"]) if found else (params.rounds - 1, 0.0)
+        last, auc = stopped_round(everything, leaves, params) or (params.rounds - 1, 0.0)
         kept = [leaf for leaf in leaves if leaf["tree_id"] <= last]
         folder = uuid.uuid4().hex
         tree_attributions(own.filter("in_test"), kept).write.parquet(f"{root}/scored/{folder}")
@@ -170,22 +193,19 @@ def fit_and_score(matrix: DataFrame, params: BoostingParams = BoostingParams())
 
     def run_repo(row):
         own = matrix.filter(F.col("repo") == row["repo"])
-        run(row["repo"], own, F.lit(row["scale_pos_weight"]), row["pos"] + row["neg"])
+        run(row["repo"], own, F.lit(row["scale_pos_weight"]))
 
     if params.pooled:
         weights = balance.filter("trainable").select("repo", "scale_pos_weight")
-        n_rows = balance.filter("trainable").agg(F.sum(F.col("pos") + F.col("neg"))).first()[0]
-        if n_rows:
-            pooled = materialize(attach(matrix, weights, on=["repo"], spread=["file_path"], how="inner"), "pooled")
-            run("*", pooled, F.col("scale_pos_weight"), n_rows)
+        pooled = materialize(attach(matrix, weights, on=["repo"], how="inner"), "pooled")
+        if not pooled.isEmpty():
+            run("*", pooled, F.col("scale_pos_weight"))
     else:
         pool = ThreadPool(params.parallel_repos)
         try:
-            jobs = pool.imap_unordered(
-                inheritable_thread_target(spark)(run_repo), balance.filter("trainable").toLocalIterator()
-            )
-            for _ in jobs:
-                pass
+            task = inheritable_thread_target(spark)(run_repo)
+            for few in batched(balance.filter("trainable").toLocalIterator(), params.parallel_repos):
+                pool.map(task, few)
         finally:
             pool.close()
     constant_fallback(matrix, balance).write.parquet(f"{root}/scored/untrained")

@@ -7,43 +7,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tremorline.session import materialize, materialize_counted
+from tremorline.session import materialize
 
-BROADCAST_MAX_ROWS = 200_000
-SALTS = 64
 
+def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join ``lookup`` (narrow, one row per ``on``) to ``df``; the engine picks the way at run time.
 
-def attach(
-    df: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    how: str = "left",
-    max_rows: int = BROADCAST_MAX_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``lookup`` (narrow, one row per ``on``) to ``df`` without shuffling a hot key to one task.
-
-    The lookup is written first, so its row count is known: up to ``max_rows`` it is broadcast.
-    A larger one joins on the key plus a salt taken from the ``spread`` columns of ``df``.
+    The first key is joined under a derived name. A lookup that was just grouped by it is then
+    shuffled once more, small as it is, and both sides of the join are plain exchanges: those the engine can
+    broadcast, or split where one key holds much of ``df``.
     """
-    lookup, rows = materialize_counted(lookup, "lookup")
-    if rows <= max_rows:
-        return df.join(F.broadcast(lookup), list(on), how)
-    salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-        .join(salted, [*on, "_salt"], how)
-        .drop("_salt")
+    key = F.concat(F.col(on[0]), F.lit("."))
+    return df.withColumn("_key", key).join(lookup.withColumn("_key", key).drop(on[0]), ["_key", *on[1:]], how).select(
+        *df.columns, *[c for c in lookup.columns if c not in on]
     )
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a plain file scan of fewer splits than cores, as of one row group; larger ones pass unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def running_totals(
     df: DataFrame,
     group: Sequence[str],

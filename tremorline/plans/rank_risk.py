@@ -44,7 +44,7 @@ def rank_risk(
     all_stats = settled_stats(touches)
     stats = all_stats.filter(F.col("n_rows") >= min_rows)
     rejected = all_stats.filter(F.col("n_rows") < min_rows).select("repo", "n_rows")
-    eligible = attach(touches, stats.select("repo"), on=["repo"], spread=["commit_hash", "file_path"], how="inner")
+    eligible = attach(touches, stats.select("repo"), on=["repo"], how="inner")
 
     by_repo = matrix_from_touches(eligible, stats, sources).repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     matrix = materialize(by_repo, "matrix")

@@ -42,6 +42,9 @@ CHANGE_RECORDS = T.StructType([
     T.StructField("new_path", T.StringType()),
     T.StructField("lines_added", T.LongType()),
     T.StructField("lines_deleted", T.LongType()),
+    # Optional: place in the history walk (0 = newest) and offset of the date from UTC, as "+02:00".
+    T.StructField("commit_seq", T.LongType()),
+    T.StructField("utc_offset", T.StringType()),
 ])
 
 COMMIT_FILES = T.StructType([

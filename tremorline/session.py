@@ -1,11 +1,11 @@
 """Session settings and the shared scratch space used to cut long plans."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        # local-cluster has executors of its own, so it is no local master here.
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if context.getCheckpointDir() is None:
@@ -57,10 +58,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """``materialize``, with the number of rows as counted by the writing job itself."""
-    written = Observation()
-    stored = materialize(df.observe(written, F.count(F.lit(1)).alias("rows")), name)
-    return stored, written.get["rows"]
