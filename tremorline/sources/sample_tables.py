@@ -75,12 +75,21 @@ def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated Python text per ``.py`` part and repository; one size in fifty does not parse."""
-    text = F.when(F.col("p_size") == 50, "def (:").otherwise(
-        F.concat(
-            F.lit("def f(x):\n    pass\n"),
-            F.repeat(F.lit("    if x:\n        pass\n"), F.col("p_size") % 50),
-        )
+    """A generated Python text per ``.py`` part and repository; one size in fifty does not parse.
+
+    By the part's key: a function of branches, a class with two methods, loops and ``try`` with boolean operators, or no function.
+    """
+    branches = F.repeat(F.lit("    if x:\n        pass\n"), F.col("p_size") % 50)
+    function = F.concat(F.lit("def f(x):\n    pass\n"), branches)
+    method_branches = F.repeat(F.lit("        if x:\n            pass\n"), F.col("p_size") % 50)
+    in_class = F.concat(F.lit("class A:\n    def m(self, x):\n        pass\n"), method_branches, F.lit("    def n(self):\n        return self\n"))
+    loops = F.concat(F.lit(
+        "def g(x):\n    for a in x:\n        pass\n    else:\n        pass\n    try:\n        pass\n    except E:\n        pass\n    else:\n"
+        "        pass\n    while x and a or x:\n        pass\n    return [b for b in x if b]\n"), function)
+    kind = F.col("p_partkey") % 4
+    text = (
+        F.when(F.col("p_size") == 50, "def (:").when(kind == 0, function).when(kind == 1, in_class).when(kind == 2, loops)
+        .otherwise("import os\nx = 1 if os else 2\n")
     )
     repos = F.explode(F.array(F.lit("repo0"), F.lit("repo1"), F.lit("repo2")))
     return table(spark, sf_dir, "part").filter(F.col("p_size") % 5 == 0).select(
