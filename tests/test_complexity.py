@@ -12,7 +12,10 @@ CASES = [
     (None, None),
     ("x = '\0'", None),
     ("def f():\n    pass\ndef g(a, b):\n    return a and b or a\n", 2.0),          # 1 and 3
-    ("class A:\n    def m(self):\n        for i in []:\n            pass\n        else:\n            pass\n", 3.0),
+    ("class A:\n    def m(self):\n        for i in []:\n            pass\n        else:\n            pass\n", 3.5),   # method 3, class 4
+    ("class A:\n    x = 1\n", 1.0),
+    ("class A:\n    x = 1 if y else 2\n    def m(self):\n        pass\n    def n(self):\n        pass\n", 5 / 3),   # 4 // 2 + 1, 1, 1
+    ("class A:\n    class B:\n        def m(self):\n            if x:\n                pass\n", 1.0),
     ("async def f():\n    try:\n        pass\n    except A:\n        pass\n    except B:\n        pass\n    else:\n        pass\n", 4.0),
     ("def f(x):\n    return [a for a in x if a if a > 1]\n", 4.0),
     ("def f(x):\n    def g(y):\n        return 1 if y else 2\n    return g\n", 2.0),

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from conftest import rows_of
 from tremorline.operators import history as H
@@ -10,7 +11,7 @@ from tremorline.schemas import CHANGE_RECORDS
 def records(spark, rows):
     """(repo, hash, day of January 2024, merge, old, new)"""
     full = [(r, h, datetime(2024, 1, d), m, "ann", "msg", old, new, 1, 1) for r, h, d, m, old, new in rows]
-    return spark.createDataFrame(full, CHANGE_RECORDS)
+    return spark.createDataFrame(full, StructType(CHANGE_RECORDS.fields[:10]))
 
 
 def test_commit_file_rows(spark):
@@ -23,6 +24,21 @@ def test_commit_file_rows(spark):
                           "lines_added", "lines_deleted", "is_code_file"]
 
 
+def test_the_whole_history_counts_unless_a_cap_is_given(spark):
+    df = records(spark, [("r", f"{n:05d}", 1 + n % 28, False, "x", "x") for n in range(400)])
+    assert H.commit_file_rows(df).count() == 400 and H.commit_file_rows(df, 7).count() == 7
+    unsaid = df.withColumn("is_merge", F.when(F.col("commit_hash") > "00001", F.col("is_merge")))
+    assert H.non_merge_changes(unsaid).count() == 400
+
+
+def test_rows_of_a_commit_that_disagree_give_one_touch(make_facts):
+    facts = make_facts([("r", "1", "2024-01-02 00:00:00", "ann", "m", "f"), ("r", "1", "2024-01-01 00:00:00", None, "m", "f"),
+                        ("r", "1", "2024-01-02 00:00:00", "bob", "m", "f"), ("r", "2", "2024-01-03 00:00:00", None, "m", "f")])
+    touches = H.file_touches(facts)
+    assert rows_of(touches, "commit_hash", "author_name", "n_rows")[0] == ("1", "bob", 3)
+    assert touches.count() == H.dedupe_commit_file(facts).count() == 2
+
+
 def test_latest_commits_counts_commits_without_files_and_breaks_ties_by_hash(spark):
     df = records(spark, [
         ("r", "a", 3, False, None, None), ("r", "b", 2, False, "x", "x"), ("r", "b", 2, False, "y", "y"),

@@ -36,7 +36,7 @@ def matrix(spark):
 @pytest.fixture(scope="module")
 def fitted(spark, matrix):
     own = matrix.filter("repo = 'learns'")
-    model = L.train_model(own, F.lit(2.0), 400, L.BoostingParams(rounds=6))
+    model = L.train_model(own, F.lit(2.0), L.BoostingParams(rounds=6))
     return own, model, AT.leaf_table(spark, model)
 
 
@@ -95,7 +95,7 @@ def test_attributions_equal_the_definition_of_shapley_values(fitted):
 
 def test_staged_margins_end_at_the_margin(fitted):
     own, _, leaves = fitted
-    staged = {r["file_path"]: r["margins"] for r in AT.staged_margins(own, leaves).collect()}
+    staged = {r["file_path"]: r["margins"] for r in AT.staged_margins(own, leaves, range(6)).collect()}
     final = dict(rows_of(AT.tree_attributions(own, leaves), "file_path", "probability"))
     for path, margins in staged.items():
         assert len(margins) == 6
@@ -111,7 +111,7 @@ def test_best_iteration(spark, aucs, patience, best):
 
 
 def test_fit_and_score(matrix):
-    run = L.fit_and_score(matrix, L.BoostingParams(rounds=4, patience=2))
+    run = L.fit_and_score(matrix, L.BoostingParams(rounds=4, patience=2, pooled=False))
     flat = run.scored.filter("repo = 'flat'").collect()
     assert len(flat) == 15 and {r["probability"] for r in flat} == {0.5} and all(r["contributions"] == [] for r in flat)
     assert run.scored.filter("repo = 'learns'").count() == 200
@@ -125,15 +125,51 @@ def test_fit_and_score(matrix):
 
 def test_training_repeats_exactly(spark, matrix):
     def scores(frame):
-        model = L.train_model(frame, F.lit(2.0), 400, L.BoostingParams(rounds=3))
+        model = L.train_model(frame, F.lit(2.0), L.BoostingParams(rounds=3))
         return rows_of(L.score_files(model, matrix.filter("repo = 'learns'")), "file_path", "probability")
 
     own = matrix.filter("repo = 'learns'")
     assert scores(own) == scores(own.repartition(7, F.rand(1)))
 
 
+def test_training_repeats_whatever_the_partitions(spark):
+    """Enough rows for several pieces under any sizing by rows; random layouts of the input give one model."""
+    rows = spark.range(40_000).selectExpr("'r' repo", "cast(id as string) file_path", *[
+        f"cast(pmod(xxhash64(id, {k}), 21) as double) {f}" for k, f in enumerate(FEATURES)]).withColumn(
+        "label", (F.col(FEATURES[0]) + F.col(FEATURES[7]) > 24).cast("int")).withColumn("in_test", F.lit(True))
+    rows = materialize(rows, "many")
+
+    def scores(frame):
+        model = L.train_model(frame, F.lit(2.0), L.BoostingParams(rounds=2))
+        return L.score_files(model, rows).agg(F.sum(F.xxhash64("file_path", "probability").cast("decimal(38,0)"))).first()[0]
+
+    assert scores(rows) == scores(rows) == scores(rows.repartition(5, F.rand(1)))
+
+
+def test_rounds_past_the_stop_are_not_scored(spark, matrix, monkeypatch):
+    own, looked = matrix.filter("repo = 'learns'"), []
+    path = [{"feature": 0, "lo": -np.inf, "hi": 5.0, "cover_ratio": 0.5}]
+    leaves = [{"tree_id": t, "leaf_id": 1, "value": 0.1, "path": path} for t in range(60)]
+    whole = L.best_iteration(L.staged_auc(own, leaves), 5).first()
+    monkeypatch.setattr(L, "staged_auc", lambda m, leaves, rounds, f=L.staged_auc: looked.append(rounds) or f(m, leaves, rounds))
+    assert L.stopped_round(own, leaves, L.BoostingParams(patience=5, block=8)) == (whole["best_iteration"], whole["best_auc"])
+    assert looked == [range(0, 8)]
+    assert L.stopped_round(own.filter("false"), leaves, L.BoostingParams()) is None
+
+
+def test_jobs_do_not_grow_with_repositories(spark, matrix):
+    def jobs(n):
+        many = materialize(matrix.filter("repo = 'learns'").crossJoin(spark.range(n).select(F.concat(F.lit("r"), "id").alias("r")))
+                           .withColumn("repo", F.col("r")).drop("r"), "many")
+        before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+        L.fit_and_score(many, L.BoostingParams(rounds=2))
+        return len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before))
+
+    assert jobs(12) <= jobs(3) + 2  # a join may be planned another way, no more
+
+
 def test_pooled_model_covers_the_same_files(matrix):
-    run = L.fit_and_score(matrix, L.BoostingParams(rounds=2, pooled=True))
+    run = L.fit_and_score(matrix, L.BoostingParams(rounds=2))
     assert rows_of(run.scored.groupBy("repo").count(), "repo", "count") == [("flat", 15), ("learns", 200)]
     assert run.best.first()["repo"] == "*"
 

@@ -5,15 +5,17 @@ from pyspark.sql import functions as F
 from tremorline.operators.scaling import attach, running_totals
 
 
-def test_salted_attach_equals_broadcast(spark):
-    rows = [("hot" if n % 3 else f"k{n % 7}", n) for n in range(300)]
+def test_attach_builds_without_a_job(spark):
+    rows = [("hot" if n % 3 else f"k{n % 7}", n) for n in range(300)] + [(None, -1)]
     df = spark.createDataFrame(rows, "repo string, n int")
     lookup = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "repo string, v int")
-    for how in ("left", "inner"):
-        broadcast = attach(df, lookup, ["repo"], ["n"], how)
-        salted = attach(df, lookup, ["repo"], ["n"], how, max_rows=0, salts=5)
-        assert "_salt" not in salted.columns
-        assert sorted(map(str, broadcast.collect())) == sorted(map(str, salted.collect()))
+    known = {"hot": 1, "k0": 2, "k3": 3}
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    left, inner = (attach(df, lookup.groupBy("repo").agg(F.max("v").alias("v")), ["repo"], how) for how in ("left", "inner"))
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert left.columns == ["repo", "n", "v"]
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(str((r, n, known.get(r))) for r, n in rows)
+    assert sorted(map(tuple, inner.collect())) == sorted((r, n, known[r]) for r, n in rows if r in known)
 
 
 def test_a_hot_group_is_spread_over_slices(spark):

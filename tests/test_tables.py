@@ -15,7 +15,8 @@ def test_malformed_records_are_left_out(spark, tmp_path):
     path = str(tmp_path / "in.json")
     df = IO.read_change_records(spark, path, "json")
     assert rows_of(df.select("commit_hash", F.coalesce("lines_added", F.lit(-1)).alias("n")), "commit_hash", "n") == [("1", -1), ("2", 4)]
-    assert rows_of(IO.rejected_change_records(spark, path, "json"), "record") == [("{broken",)]
+    rejected = [r["record"] for r in IO.rejected_change_records(spark, path, "json").collect()]
+    assert len(rejected) == 2 and "{broken" in rejected and any('"commit_date"' in r for r in rejected)
 
 
 def test_csv_and_parquet_records(spark, tmp_path):
@@ -28,6 +29,35 @@ def test_csv_and_parquet_records(spark, tmp_path):
     assert IO.read_change_records(spark, str(tmp_path / "p")).count() == 1
 
 
+def _csv(rows):
+    quoted = lambda v: "" if v is None else '"' + str(v).replace('"', '""') + '"'
+    return "\n".join(",".join(map(quoted, r)) for r in rows) + "\n"
+
+
+def test_accepted_and_rejected_are_the_input(spark, tmp_path):
+    names = ["commit_hash", "repo", "commit_date", "message", "is_merge", "lines_added", "utc_offset", "commit_seq"]
+    rows = [["1", "r", "2024-01-01 10:00:00", 'line one\nsay ""fix"", now', "false", 3, "+02:00", 0],
+            ["2", "r", "2024-01-01 11:00:00", "plain", None, None, None, None],
+            ["3", "r", "2024-01-01 12:00:00", "bad number", "false", "many", None, None],
+            [None, "r", "2024-01-01 12:00:00", "no hash", "false", 1, None, None],
+            ["5", "r", "not a date", "multi\nline", "false", 1, None, None]]
+    (tmp_path / "in.csv").write_text(_csv([names, *rows]) + "6,r,2024-01-01 10:00:00,too many,false,1,,,extra\n")
+    (tmp_path / "in.json").write_text("\n".join(json.dumps({k: v != "false" and v for k, v in zip(names, r) if v is not None}) for r in rows[:2])
+                                      + '\n{"repo": "r"}\nbroken\n{"repo":"r","commit_hash":"9","commit_date":"2024-01-01","lines_added":"many"}\n')
+    for name, size, accepted in (("csv", 6, 2), ("json", 5, 2)):
+        path = str(tmp_path / f"in.{name}")
+        df, rejected = IO.read_change_records(spark, path, name), IO.rejected_change_records(spark, path, name)
+        assert df.count() == len(df.collect()) == df.select("commit_hash").count() == df.select("message").count() == accepted
+        assert rejected.count() == len(rejected.collect()) == size - accepted
+    df = IO.read_change_records(spark, str(tmp_path / "in.csv"), "csv")
+    first = df.filter("commit_hash = '1'").first()
+    assert (first["message"], first["utc_offset"], first["commit_seq"]) == ('line one\nsay ""fix"", now', "+02:00", 0)
+    from tremorline.operators.history import commit_file_rows
+    with_path = df.withColumn("new_path", F.lit("a.py"))
+    assert [str(r[0]) for r in commit_file_rows(with_path).orderBy("commit_hash").select("commit_date").collect()] == [
+        "2024-01-01 08:00:00", "2024-01-01 11:00:00"]
+
+
 def test_source_tree_keeps_paths_and_drops_bad_bytes(spark, tmp_path):
     for repo, name, raw in (("r", "src/a b.py", b"x = '\xff\xc3\xa9'"), ("r", "note.md", b"text"), ("s", "b.py", b"y")):
         file = tmp_path / "tree" / repo / name
@@ -47,7 +77,10 @@ def test_history_is_replaced_per_repository(spark, make_facts, tmp_path):
     assert rows_of(IO.read_history(spark, path), "repo", "commit_hash") == [("007", "2"), ("r", "9")]
     only = IO.read_history(spark, path, ["007"])
     assert rows_of(only, "repo") == [("007",)]
-    assert "PartitionFilters: [isnotnull(repo" in only._jdf.queryExecution().toString() or "007" in only._jdf.queryExecution().toString()
+    files = [f for f in only.inputFiles()]
+    assert files and all("repo=007" in f for f in only.select("repo", F.input_file_name().alias("f")).toPandas()["f"])
+    plan = only._jdf.queryExecution().executedPlan().toString()
+    assert "repo" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_results_and_their_age(spark, tmp_path):
