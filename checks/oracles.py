@@ -6,6 +6,7 @@ import re
 from tremorline.operators.report import DRIVER_TEXTS, driver_parts
 from tremorline.schemas import AUTHORSHIP_FEATURES, CHURN_FEATURES, COUPLING_FEATURES, FEATURES
 
+# Code extensions and bug-fix words, as in the package.
 EXT = "case p_size % 5 when 0 then '.py' when 1 then '.js' when 2 then '.GO' when 3 then '.md' else '' end"
 PATH = f"'src/' || lower(p_type) || '/' || replace(p_name, ' ', '_') || '_' || p_partkey || {EXT}"
 CODE = "'.py','.js','.ts','.tsx','.jsx','.java','.go','.rs','.rb','.c','.cpp','.h','.hpp','.cs','.kt','.swift'"
@@ -149,7 +150,9 @@ CTES = {
         where total_lines_changed >= threshold""",
     "coupling": _coupling("edges", "nearest"),
     "small_coupling": _coupling("small_edges", "small_nearest"),
-    "measured": f"""select repo, {PATH} as file_path, (1 + p_size % 50)::double as cyclomatic_complexity
+    "measured": f"""select repo, {PATH} as file_path, case p_partkey % 4 when 0 then 1 + p_size % 50
+            when 1 then ((p_size % 50 + 3) // 2 + 1 + 1 + p_size % 50 + 1) / 3.0::double
+            when 2 then (10 + 1 + p_size % 50) / 2.0::double else 0 end::double as cyclomatic_complexity
         from part, (values ('repo0'), ('repo1'), ('repo2')) r(repo) where p_size % 5 = 0 and p_size <> 50""",
     "complexity": """select repo, file_path, coalesce(m.cyclomatic_complexity, 0.0) as cyclomatic_complexity,
         (case when coalesce(m.cyclomatic_complexity, 0) <= 5 then 1 when m.cyclomatic_complexity <= 10 then 2
@@ -202,6 +205,49 @@ CTES = {
         - to_seconds(total_lines_changed * 400 % 172800) as computed_at from churn""",
 }
 
+# The two small trees of the queries: (value, tests), a test being feature, condition and share of the training weight.
+_TREES = [
+    (-0.625, [("total_commits", "<= 9", 0.5)]),
+    (0.375, [("total_commits", "> 9", 0.5), ("bus_factor_score", "<= 0.1875", 0.75)]),
+    (0.875, [("total_commits", "> 9", 0.5), ("bus_factor_score", "> 0.1875", 0.25)]),
+    (-0.1875, [("file_age_days", "<= 1500", 0.375)]),
+    (0.3125, [("file_age_days", "> 1500", 0.625)]),
+]
+
+
+def _met(test: tuple) -> str:
+    return f"(case when {test[0]} {test[1]} then 1 else 0 end)::double"
+
+
+def _phi(feature: str) -> str:
+    """Shapley value of a feature: of a leaf with one test, or with two the mean over the other known and unknown."""
+    terms = []
+    for value, tests in _TREES:
+        for at, test in enumerate(tests):
+            if test[0] == feature:
+                other = [t for k, t in enumerate(tests) if k != at]
+                rest = f" * ({_met(other[0])} + {other[0][2]}) / 2" if other else ""
+                terms.append(f"({value}) * ({_met(test)} - {test[2]}){rest}")
+    return " + ".join(terms) or "0.0::double"
+
+
+CTES["leaf_scores"] = f"""select repo, file_path, label as y, 1 / (1 + exp(-2 * ({' + '.join(
+    f"({value}) * {' * '.join(map(_met, tests))}" for value, tests in _TREES)}))) as probability, probability as score
+    from matrix where in_test"""
+CTES["leaf_contributions"] = " union all ".join(
+    f"select repo, file_path, {at} as idx, '{name}' as feature, cast({name} as double) as value, {_phi(name)} as phi from matrix where in_test"
+    for at, name in enumerate(FEATURES))
+CTES["leaf_drivers"] = CTES["drivers"].replace("from contributions", "from leaf_contributions")
+CTES["leaf_curve"] = CTES["curve"].replace("from scores", "from leaf_scores")
+CTES["leaf_measures"] = CTES["measures"].replace("from curve", "from leaf_curve")
+CTES["leaf_details"] = f"""select repo, file_path, {RESULT_SCORE} as risk_score, coalesce(top_drivers, '') as top_drivers, total_commits,
+    commit_count_30d as churn_30d, cast(printf('%.4f', bus_factor_score) as double) as bus_factor_score,
+    cast(printf('%.4f', coupling_score_max) as double) as coupling_score_max
+    from leaf_scores join matrix using (repo, file_path) left join leaf_drivers using (repo, file_path)"""
+CTES["separable"] = "select repo, file_path, least(total_commits, 20) >= 10 as positive from churn"
+CTES["rounds"] = """select (o_orderkey % 3)::varchar as repo, (o_orderkey % 60)::int as tree_id,
+    (sum(o_custkey) % 997)::double / 997.0::double as auc_roc from orders group by all"""
+
 _NAMES = "|".join(sorted(CTES, key=len, reverse=True))
 
 
@@ -246,9 +292,19 @@ _ONE = r"regexp_replace(url, '/$', '')"
 
 ORACLES = {name: _with(sql) for name, sql in {
     "read_change_records": f"select {_RECORD_COLUMNS} from records",
+    "read_change_records_csv": "select " + _RECORD_COLUMNS.replace(
+        " message,", " coalesce(message, 'none') || ', first line~said \"fix\", twice \"\"~~end' as message,").replace(
+        "', first line~said \"fix\", twice \"\"~~end'", "replace(', first line~said \"fix\", twice \"\"~~end', '~', chr(10))") + " from records",
+    "refresh_results": "select repo, file_path, case when repo = 'repo2' then risk_score else -1 end as risk_score from results",
     "read_source_files": f"""select repo, {PATH} as file_path, case when p_size = 50 then 'def (:' else
-        'def f(x):' || chr(10) || '    pass' || chr(10)
-        || repeat('    if x:' || chr(10) || '        pass' || chr(10), p_size % 50) end as source
+        replace(case p_partkey % 4
+            when 0 then 'def f(x):~    pass~' || repeat('    if x:~        pass~', p_size % 50)
+            when 1 then 'class A:~    def m(self, x):~        pass~' || repeat('        if x:~            pass~', p_size % 50)
+                || '    def n(self):~        return self~'
+            when 2 then 'def g(x):~    for a in x:~        pass~    else:~        pass~    try:~        pass~    except E:~        pass~    else:~'
+                || '        pass~    while x and a or x:~        pass~    return [b for b in x if b]~'
+                || 'def f(x):~    pass~' || repeat('    if x:~        pass~', p_size % 50)
+            else 'import os~x = 1 if os else 2~' end, '~', chr(10)) end as source
         from part, (values ('repo0'), ('repo1'), ('repo2')) r(repo) where p_size % 5 = 0""",
     "read_history": f"select {_FACT_COLUMNS} from facts where repo in ('repo0', 'repo2')",
     "write_results": "select *, epoch_us(timestamp '2024-03-01') as computed_at from results",
@@ -261,7 +317,7 @@ ORACLES = {name: _with(sql) for name, sql in {
     "code_file_flag": f"select distinct repo, file_path, {SUFFIX} in ({CODE}) as is_code_file from facts",
     "utc_commit_date": """select o_orderkey, epoch_us(case when o_orderkey % 2 = 0 then o_orderdate - interval 2 hour
         else o_orderdate end) as commit_date from orders""",
-    "commit_file_rows": f"select {_FACT_COLUMNS} from facts where (repo, commit_hash) in {_LATEST}",
+    "commit_file_rows": f"select {_FACT_COLUMNS} from facts",
     "latest_commits": f"select {_RECORD_COLUMNS} from records where (repo, commit_hash) in {_LATEST}",
     "label_bugfix": f"select distinct repo, commit_hash, message, {BUGFIX} as is_bugfix from facts",
     "label_bugfix_events": f"select repo, commit_hash, {BUGFIX} as is_bugfix from event_facts",
@@ -358,6 +414,12 @@ ORACLES = {name: _with(sql) for name, sql in {
         round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 4) as threshold_05_precision,
         round(tp / p, 4) as threshold_05_recall,
         round(case when tp > 0 then 2 * tp / (tp + fp + p) else 0 end, 4) as threshold_05_f1 from measures""",
+    "risk_metrics": """select repo, case when two then round(auc_roc, 4) else 0 end as auc_roc,
+        case when two then round(avg_precision, 4) else 0 end as avg_precision,
+        round(case when two and tp + fp > 0 then tp / (tp + fp) else 0 end, 4) as threshold_05_precision,
+        round(case when two then tp / p else 0 end, 4) as threshold_05_recall,
+        round(case when two and tp > 0 then 2 * tp / (tp + fp + p) else 0 end, 4) as threshold_05_f1
+        from (select *, p > 0 and not isnan(auc_roc) as two from leaf_measures)""",
     "classification_report": """select repo, label, round(precision, 6) as precision, round(recall, 6) as recall,
             round(f1, 6) as f1, support from per_class
         union all select repo, 'accuracy', a, a, a, s from (select repo, round((tp + tn) / (tp + tn + fp + fn), 6) as a,
@@ -371,6 +433,16 @@ ORACLES = {name: _with(sql) for name, sql in {
         pos > 0 and neg > 0 as trainable from (select repo, count(*) filter (where in_train and label = 1) as pos,
             count(*) filter (where in_train and label = 0) as neg from flags group by repo)""",
     "constant_fallback": "select distinct repo, file_path, 0.5::double as probability from event_facts",
+    "train_model": "select repo, file_path, positive::bigint as predicted, positive::bigint as label from separable",
+    "score_files": "select repo, file_path, round(1 / (1 + exp(case when positive then -2 else 2 end)), 6) as probability from separable",
+    "tree_attributions": "select repo, file_path, feature, round(value, 6) as value, round(phi, 6) as phi from leaf_contributions",
+    "explain_predictions": "select * from drivers",
+    "best_iteration": """select repo, (fold).tree_id::bigint as best_iteration, round((fold).auc_roc, 6) as best_auc from (
+        select repo, list_reduce(list_prepend({'tree_id': -1, 'auc_roc': -1.0::double},
+            list({'tree_id': tree_id, 'auc_roc': auc_roc} order by tree_id)), lambda b, r: case
+                when r.auc_roc > b.auc_roc and (b.tree_id < 0 or r.tree_id - b.tree_id <= 5) then r else b end) as fold
+        from rounds group by repo)""",
+    "rank_risk": """select *, row_number() over (partition by repo order by risk_score desc, file_path) as rank from leaf_details""",
     "rank_files": """select *, row_number() over (partition by repo order by risk_score desc, file_path) as rank
         from results""",
     "top_drivers": "select * from drivers",

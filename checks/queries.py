@@ -17,12 +17,13 @@ from tremorline.operators import model as L
 from tremorline.operators import report as R
 from tremorline.plans.feature_matrix import build_feature_matrix, matrix_from_history
 from tremorline.plans.rank_risk import RiskAnalysis, rank_risk
+from tremorline.plans.refresh import refresh_results
 from tremorline.schemas import FEATURES, KEYS
 from tremorline.session import SESSION_DEFAULTS, materialize, scratch_path
 from tremorline.sources import sample_tables as T
 from tremorline.sources import tables as IO
 
-ROUNDS = 20
+PATIENCE = 5
 SMALL_COMMIT = 8
 LATEST = 1000
 NOW = datetime(2024, 3, 1)
@@ -113,25 +114,82 @@ class Inputs:
         return self.churn.select(*KEYS, "total_lines_changed", (S.moment(NOW) - age).alias("computed_at"))
 
 
-_ANALYSES: dict[tuple[str, str], RiskAnalysis] = {}
+def _test(feature: str, lo: float, hi: float, cover: float) -> dict:
+    return {"feature": FEATURES.index(feature), "lo": lo, "hi": hi, "cover_ratio": cover}
 
 
-def analysis_of(inputs: Inputs) -> RiskAnalysis:
-    """The full analysis, shared by the queries that show its parts."""
-    key = (inputs.spark.sparkContext.applicationId, inputs.sf_dir)
-    if key not in _ANALYSES:
-        _ANALYSES[key] = run_analysis(inputs)
-    return _ANALYSES[key]
+_ANY = float("inf")
+#: Two small trees, so that SQL can state every score and attribution.
+LEAVES = [
+    {"tree_id": 0, "leaf_id": 1, "value": -0.625, "path": [_test("total_commits", -_ANY, 9.0, 0.5)]},
+    {"tree_id": 0, "leaf_id": 2, "value": 0.375,
+     "path": [_test("total_commits", 9.0, _ANY, 0.5), _test("bus_factor_score", -_ANY, 0.1875, 0.75)]},
+    {"tree_id": 0, "leaf_id": 3, "value": 0.875,
+     "path": [_test("total_commits", 9.0, _ANY, 0.5), _test("bus_factor_score", 0.1875, _ANY, 0.25)]},
+    {"tree_id": 1, "leaf_id": 1, "value": -0.1875, "path": [_test("file_age_days", -_ANY, 1500.0, 0.375)]},
+    {"tree_id": 1, "leaf_id": 2, "value": 0.3125, "path": [_test("file_age_days", 1500.0, _ANY, 0.625)]},
+]
 
 
 def run_analysis(inputs: Inputs) -> RiskAnalysis:
-    return rank_risk(inputs.records, inputs.sources, L.BoostingParams(rounds=ROUNDS), max_commits=None)
+    """The whole analysis with all its boosting rounds."""
+    return rank_risk(inputs.records, inputs.sources)
+
+
+def analysis_by_leaves(i: Inputs) -> RiskAnalysis:
+    return rank_risk(i.records, i.sources, fit=lambda matrix, _: L.score_with_leaves(matrix, LEAVES))
+
+
+def separable(i: Inputs):
+    """Files labelled by one limit on one feature, which a single split finds."""
+    commits = F.least("total_commits", F.lit(20))
+    return i.churn.select(*KEYS, commits.alias("total_commits"), "file_age_days", (commits >= 10).cast("int").alias("label"),
+                          F.lit(True).alias("in_test"))
+
+
+def one_split(i: Inputs):
+    """A trained model of one split, and its scores of every file."""
+    names = ["total_commits", "file_age_days"]
+    files = materialize(separable(i), "separable")
+    model = L.train_model(files, F.lit(1.0), L.BoostingParams(rounds=1, depth=1, row_share=1.0, column_share=1.0), names)
+    return files, L.score_files(model, files, names)
+
+
+def train_model(i: Inputs):
+    files, scored = one_split(i)
+    return scored.join(files, KEYS).select(*KEYS, (F.col("probability") > 0.5).cast("int").alias("predicted"), "label")
+
+
+def auc_by_round(i: Inputs):
+    orders = T.table(i.spark, i.sf_dir, "orders")
+    return orders.groupBy((F.col("o_orderkey") % 3).cast("string").alias("repo"), (F.col("o_orderkey") % 60).cast("int").alias("tree_id")).agg(
+        (F.sum("o_custkey") % 997 / 997.0).alias("auc_roc"))
+
+
+def refreshed(i: Inputs):
+    """Three repositories are asked for: kept results of two are fresh, those of one are a day too old."""
+    age = F.make_dt_interval(hours=F.when(F.col("repo") == "repo2", 48).otherwise(1))
+    kept = i.results.select(*KEYS, F.lit(-1.0).alias("risk_score"), (S.moment(NOW) - age).alias("computed_at"))
+
+    def compute(stale):
+        facts = H.commit_file_rows(i.records.join(stale, "repo", "left_semi"))
+        return T.formula_predictions(A.churn_features(facts)).select(*KEYS, S.risk_score(F.col("probability")).alias("risk_score"))
+
+    return refresh_results(i.facts.select("repo"), kept, compute, NOW).select(*KEYS, "risk_score")
 
 
 def read_change_records(i: Inputs):
     path = scratch_path(i.spark, "records")
     i.records.write.json(path)
-    return _lines_known(IO.read_change_records(i.spark, path, "json"))
+    return _lines_known(IO.read_change_records(i.spark, path, "json").drop("commit_seq", "utc_offset"))
+
+
+def read_change_records_csv(i: Inputs):
+    """Messages with line breaks, commas and doubled quotes, as commit messages have them."""
+    path = scratch_path(i.spark, "records")
+    text = F.concat(F.coalesce("message", F.lit("none")), F.lit(', first line\nsaid "fix", twice ""\n\nend'))
+    i.records.withColumn("message", text).write.options(header=True, escape='"').csv(path)
+    return _lines_known(IO.read_change_records(i.spark, path, "csv").drop("commit_seq", "utc_offset"))
 
 
 def read_source_files(i: Inputs):
@@ -223,18 +281,6 @@ def merged_features(i: Inputs):
     )
 
 
-def model_trees(i: Inputs):
-    leaves = analysis_of(i).fitted.leaves
-    return leaves.groupBy("repo", "tree_id", "kept").agg(
-        F.count(F.lit(1)).alias("n_leaves"), F.max(F.size("path")).alias("longest_path")
-    )
-
-
-def explained(i: Inputs):
-    drivers, _ = L.explain_predictions(analysis_of(i).fitted.scored)
-    return drivers
-
-
 def event_fallback(i: Inputs):
     matrix = M.labelled_matrix(A.split_flags(i.event_facts), A.churn_features(i.event_facts))
     return L.constant_fallback(matrix, L.class_balance(matrix)).select(*KEYS, "probability")
@@ -243,11 +289,13 @@ def event_fallback(i: Inputs):
 SPECS = {
     # sources and sinks
     "read_change_records": read_change_records,
+    "read_change_records_csv": read_change_records_csv,
     "read_source_files": read_source_files,
     "read_history": read_history,
     "write_results": write_results,
     "fresh_results": lambda i: IO.fresh_results(i.stamped, NOW),
     "stale_repos": stale_repos,
+    "refresh_results": refreshed,
     # history
     "non_merge_changes": lambda i: _lines_known(H.non_merge_changes(i.records)),
     "resolve_path": lambda i: i.records.select(
@@ -255,7 +303,7 @@ SPECS = {
     ).filter("file_path is not null"),
     "code_file_flag": lambda i: i.facts.select("repo", "file_path", "is_code_file").distinct(),
     "utc_commit_date": utc_commit_date,
-    "commit_file_rows": lambda i: H.commit_file_rows(i.records, LATEST),
+    "commit_file_rows": lambda i: i.facts,
     "latest_commits": lambda i: _lines_known(H.latest_commits(H.non_merge_changes(i.records), LATEST)),
     "label_bugfix": lambda i: i.labelled.select("repo", "commit_hash", "message", "is_bugfix").distinct(),
     "label_bugfix_events": lambda i: i.event_facts.select("repo", "commit_hash", "is_bugfix"),
@@ -326,11 +374,11 @@ SPECS = {
     # model
     "class_balance": lambda i: L.class_balance(A.split_flags(i.labelled)),
     "constant_fallback": event_fallback,
-    "train_model": model_trees,
-    "best_iteration": lambda i: analysis_of(i).fitted.best,
-    "score_files": lambda i: analysis_of(i).fitted.scored.select(*KEYS, "probability"),
-    "tree_attributions": lambda i: R.attribution_rows(analysis_of(i).fitted.scored),
-    "explain_predictions": explained,
+    "train_model": train_model,
+    "best_iteration": lambda i: L.best_iteration(auc_by_round(i), PATIENCE),
+    "score_files": lambda i: one_split(i)[1],
+    "tree_attributions": lambda i: R.attribution_rows(L.score_with_leaves(materialize(i.matrix, "matrix"), LEAVES).scored),
+    "explain_predictions": lambda i: L.explain_predictions(i.contributions)[0],
     # results
     "rank_files": lambda i: R.rank_files(i.results),
     "top_drivers": lambda i: R.top_drivers(i.contributions),
@@ -343,8 +391,9 @@ SPECS = {
     "risk_barchart_data": lambda i: R.risk_barchart_data(i.results),
     "risk_treemap_data": lambda i: R.risk_treemap_data(i.results),
     # end to end
-    "rank_risk": lambda i: analysis_of(i).ranked,
-    "risk_metrics": lambda i: analysis_of(i).metrics,
+    "rank_risk": lambda i: analysis_by_leaves(i).ranked,
+    "risk_metrics": lambda i: analysis_by_leaves(i).metrics,
+    "rank_risk_trained": lambda i: run_analysis(i).ranked,
 }
 
 

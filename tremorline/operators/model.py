@@ -222,6 +222,14 @@ def fit_and_score(matrix: DataFrame, params: BoostingParams = BoostingParams())
     return FittedRun(read("scored", SCORED_FILES), read("leaves", model_leaves), read("best", BEST_ROUND))
 
 
+def score_with_leaves(matrix: DataFrame, leaves: list[dict]) -> FittedRun:
+    """Scores of all test files under given trees, for models that were trained before; every round counts as kept."""
+    spark = matrix.sparkSession
+    last = max(leaf["tree_id"] for leaf in leaves)
+    table = leaf_frame(spark, leaves).select(F.lit("*").alias("repo"), "*", F.lit(True).alias("kept"))
+    return FittedRun(tree_attributions(matrix.filter("in_test"), leaves), table, spark.createDataFrame([("*", last, None)], BEST_ROUND))
+
+
 def explain_predictions(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Driver sentences per file and importance per feature."""
     return top_drivers(scored), global_importance(scored)

@@ -1,17 +1,20 @@
 """The whole analysis: change records and source texts in, ranked and explained files out."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremorline.operators.coupling import mass_commit_report
 from tremorline.operators.evaluation import evaluate_curve, pr_curve, score_curve
 from tremorline.operators.history import (
-    MAX_COMMITS, MIN_ROWS, commit_file_rows, file_touches, label_bugfix, settled_stats,
+    MIN_ROWS, commit_file_rows, file_touches, label_bugfix, settled_stats,
 )
+from tremorline.operators.matrix import split_report
 from tremorline.operators.model import BoostingParams, FittedRun, explain_predictions, fit_and_score
-from tremorline.operators.report import rank_files, ranked_with_drivers
+from tremorline.operators.report import prediction_spread, rank_files, ranked_with_drivers
 from tremorline.operators.scaling import attach
 from tremorline.plans.feature_matrix import matrix_from_touches
 from tremorline.schemas import KEYS
@@ -20,7 +23,11 @@ from tremorline.session import materialize
 
 @dataclass(frozen=True)
 class RiskAnalysis:
-    """Result tables; all but ``rejected`` cover repositories with enough history."""
+    """Result tables; all but ``rejected`` cover repositories with enough history.
+
+    ``skipped`` counts the commits that were too large for coupling, ``split`` describes both sides of the split in time, and
+    ``spread`` flags repositories whose files all got one probability.
+    """
 
     ranked: DataFrame
     metrics: DataFrame
@@ -29,26 +36,33 @@ class RiskAnalysis:
     matrix: DataFrame
     fitted: FittedRun
     rejected: DataFrame
+    skipped: DataFrame
+    split: DataFrame
+    spread: DataFrame
 
 
 def rank_risk(
     records: DataFrame,
     sources: DataFrame,
     params: BoostingParams = BoostingParams(),
-    max_commits: int | None = MAX_COMMITS,
+    max_commits: int | None = None,
     min_rows: int = MIN_ROWS,
+    fit: Callable[[DataFrame, BoostingParams], FittedRun] = fit_and_score,
 ) -> RiskAnalysis:
-    """Three tables are stored on the way, each read by several later steps: touches, matrix, scores."""
+    """The whole history counts unless ``max_commits`` is given. ``fit`` may be replaced by trees trained before.
+
+    Three tables are stored on the way, each read by several later steps: touches, matrix, scores."""
     labelled = label_bugfix(commit_file_rows(records, max_commits))
     touches = materialize(file_touches(labelled), "touches")
     all_stats = settled_stats(touches)
     stats = all_stats.filter(F.col("n_rows") >= min_rows)
-    rejected = all_stats.filter(F.col("n_rows") < min_rows).select("repo", "n_rows")
+    rejected = all_stats.filter(F.col("n_rows") < min_rows).select(
+        "repo", "n_rows", F.lit(f"not enough history: fewer than {min_rows} rows").alias("reason"))
     eligible = attach(touches, stats.select("repo"), on=["repo"], how="inner")
 
     by_repo = matrix_from_touches(eligible, stats, sources).repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     matrix = materialize(by_repo, "matrix")
-    fitted = fit_and_score(matrix, params)
+    fitted = fit(matrix, params)
     scored = fitted.scored
     curve = score_curve(
         scored.join(matrix.select(*KEYS, "label"), KEYS).select(
@@ -64,4 +78,7 @@ def rank_risk(
         matrix=matrix,
         fitted=fitted,
         rejected=rejected,
+        skipped=mass_commit_report(labelled.join(stats.select("repo"), "repo", "left_semi")),
+        split=split_report(matrix),
+        spread=prediction_spread(scored),
     )
