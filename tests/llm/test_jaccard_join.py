@@ -60,7 +60,7 @@ def test_edges(docs_of, edge_rows):
     df = docs_of(edge_rows, Class_ID="old")
     assert got(df) == brute(edge_rows)
     kept = first_of_each(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {r["Class_ID"] for r in kept.collect()} == {"old"}
     found = sorted(((r.doc_id, (r.text or "")[:20]) for r in kept.collect()), key=repr)
     assert found == sorted([(1, ""), (2, ""), (3, " \n\t "), (4, "one"), (5, edge_rows[4][1][:20]), (7, "the same row"), (None, "no id here"), (None, ""),
                             (8, "é ü ß 日本"), (9, "x " * 10)], key=repr)

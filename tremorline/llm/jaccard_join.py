@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.llm.components import components
-from tremorline.llm.text import whole, without
+from tremorline.llm.text import set_aside, whole, without
 from tremorline.llm.words import Texts, mix, pieces, slice_hashes, texts_of
 from tremorline.session import materialize
 
@@ -386,7 +386,6 @@ def first_of_each(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFra
 
     Repeated rows and documents without an id count as copies, of which one stays.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    first = jaccard_join(docs, rule).filter("first_of_class")
-    lone = first.filter("n_copies = 1").select(*columns)
-    return lone.unionByName(first.filter("n_copies > 1").dropDuplicates(["text"]).select(*columns))
+    rows, as_before = set_aside(docs, "doc_id", "text")
+    first = jaccard_join(rows, rule).filter("first_of_class")
+    return as_before(first.filter("n_copies = 1").unionByName(first.filter("n_copies > 1").dropDuplicates(["text"])))

@@ -1,6 +1,8 @@
 """Column helpers shared by the corpus operators."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +30,13 @@ def uniform(*parts: Column) -> Column:
     """A number in (0, 1) decided by the parts: 52 bits of their MD5."""
     bits = F.conv(F.substring(F.md5(key_text(*parts).cast("binary")), 1, 13), 16, 10).cast("double")
     return (bits + F.lit(0.5)) / F.lit(float(2**52))
+
+
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but those ``used`` under names no operator takes, and a function that gives a frame the columns of ``docs`` back.
+
+    An operator may then add columns of any name without replacing one of the input.
+    """
+    names = {c: c if c in used else f"_aside{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return renamed, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -160,7 +160,7 @@ _ROW = "doc_id long, level int, given boolean, numbers binary, amounts binary"
 
 def _labelled_features(docs: DataFrame, labels: DataFrame, rule: ToxicityRule) -> DataFrame:
     level = F.max("grade" if "grade" in labels.columns else "toxic").cast("int").alias("level")
-    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(level).filter("level is not null")
+    known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(level).filter("level is not null")
     chosen = known.orderBy(F.xxhash64(F.lit(rule.seed), "doc_id"), "doc_id").limit(rule.labelled)
     given = "grade" in labels.columns
 
@@ -175,7 +175,7 @@ def _labelled_features(docs: DataFrame, labels: DataFrame, rule: ToxicityRule) -
             ], ["doc_id", "level", "given", "numbers", "amounts"])
 
     # At most rule.labelled rows of two numbers, so the sample may be broadcast; of a repeated doc_id one text counts.
-    found = docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(chosen), "doc_id").mapInArrow(run, _ROW)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).join(F.broadcast(chosen), "doc_id").mapInArrow(run, _ROW)
     return found.groupBy("doc_id").agg(F.min(F.struct("level", "given", "numbers", "amounts")).alias("row")).select("doc_id", "row.*")
 
 
