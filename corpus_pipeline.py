@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorline.llm import decontamination, jaccard_join, mixing, sharding, toxicity
+from tremorline.llm.text import set_aside
 from tremorline.session import materialize
 
 SHARDS = 16
@@ -14,14 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _same_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of a severity above 0 stays below the limit, by a model of the labelled ones among ``docs``."""
-    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
-    return _same_columns(toxicity.score_toxicity(docs, model).filter("not toxic"), docs)
+    rows, as_before = set_aside(docs, "doc_id", "text")
+    model = toxicity.fit_toxicity(rows, _table(spark, sf_dir, "labels"))
+    return as_before(toxicity.score_toxicity(rows, model).filter("not toxic"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +29,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontamination.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
-    return _same_columns(found.filter(F.size("leaks") == 0), docs)
+    rows, as_before = set_aside(docs, "text")
+    return as_before(decontamination.find_leaks(rows, _table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at the weight of the square root of their bytes; a document may be left out or come several times."""
-    return _same_columns(mixing.mix_sources(docs), docs)
+    rows, as_before = set_aside(docs, "doc_id", "text", "source")
+    return as_before(mixing.mix_sources(rows))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
