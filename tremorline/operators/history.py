@@ -13,10 +13,11 @@ from tremorline.functions.scalars import (
 from tremorline.operators.scaling import attach, running_totals
 from tremorline.session import materialize
 
-# Commit cap per repository, fewest rows worth modelling, split and label spans.
+# Commit cap per repository, fewest rows worth modelling, split and label spans, session zones that are UTC.
 MAX_COMMITS = 15_000
 MIN_ROWS = 100
 CUTOFF_MONTHS = 6
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 LABEL_DAYS = 30
 
 
@@ -83,6 +84,9 @@ def commit_file_rows(records: DataFrame, max_commits: int | None = None) -> Data
 
     The whole history counts; ``max_commits`` keeps the latest ones of each repository (``latest_commits``).
     """
+    zone = records.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"dates are in UTC: set spark.sql.session.timeZone to UTC, not {zone}")
     changes = non_merge_changes(records)
     if max_commits is not None:
         changes = latest_commits(changes, max_commits)
