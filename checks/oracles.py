@@ -387,7 +387,7 @@ ORACLES = {name: _with(sql) for name, sql in {
          for n in CHURN_FEATURES]
         + [f"coalesce(round(a.{n}, 6), 0) as {n}" if n in _DOUBLES else f"coalesce(a.{n}, 0)::bigint as {n}"
            for n in AUTHORSHIP_FEATURES]
-    ) + """, coalesce(x.cyclomatic_complexity, 0) as cyclomatic_complexity,
+    ) + """, coalesce(round(x.cyclomatic_complexity, 6), 0) as cyclomatic_complexity,
         greatest(coalesce(x.complexity_rank, 0), 1)::bigint as complexity_rank,
         coalesce(x.is_high_complexity, 0)::bigint as is_high_complexity
         from (select * from churn where total_commits % 2 = 0) c

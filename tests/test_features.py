@@ -220,3 +220,13 @@ def test_empty_history_gives_empty_features(make_facts):
     churn = A.churn_features(facts)
     for frame in (churn, A.authorship_features(facts), C.coupling_features(facts, churn), H.history_bounds(facts)):
         assert frame.count() == 0
+
+
+def test_matrix_as_of_is_that_of_the_earlier_history(spark, make_facts):
+    facts = make_facts([("r", str(n), f"2024-0{1 + n % 6}-11 00:00:00", f"a{n % 3}", "fix" if n % 2 else "m", f"f{n % 4}.py") for n in range(24)])
+    sources = spark.createDataFrame([("r", "f1.py", "def f(x):\n    return x and 1\n")], "repo string, file_path string, source string")
+    early = facts.filter("commit_date < timestamp '2024-04-01'")
+    assert early.count() < facts.count()
+    got, want = (sorted(map(str, df.collect())) for df in (
+        matrix_from_history(facts, sources, datetime(2024, 4, 1)), matrix_from_history(early, sources)))
+    assert got == want

@@ -1,12 +1,14 @@
 """From labelled facts to the feature matrix."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
 
 from tremorline.operators.activity import file_profile, split_flags
 from tremorline.operators.complexity import complexity_features
 from tremorline.operators.coupling import coupling_of
-from tremorline.operators.history import file_touches, settled_stats
+from tremorline.operators.history import file_touches, history_before, settled_stats
 from tremorline.operators.matrix import labelled_matrix
 from tremorline.schemas import KEYS
 from tremorline.session import materialize
@@ -19,9 +21,12 @@ def build_feature_matrix(
     return labelled_matrix(split_flags(labelled), churn, coupling, authorship, complexity)
 
 
-def matrix_from_history(labelled: DataFrame, sources: DataFrame) -> DataFrame:
-    """All features of all files, each history feature from one shared, stored table of touches."""
-    touches = materialize(file_touches(labelled), "touches")
+def matrix_from_history(labelled: DataFrame, sources: DataFrame, as_of: datetime | Column | None = None) -> DataFrame:
+    """All features of all files, each history feature from one shared, stored table of touches.
+
+    With ``as_of`` only the history strictly before it counts; texts are taken as they are now.
+    """
+    touches = materialize(file_touches(history_before(labelled, as_of)), "touches")
     stats = settled_stats(touches)
     return matrix_from_touches(touches, stats, sources)
 

@@ -3,14 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.operators.coupling import mass_commit_report
 from tremorline.operators.evaluation import evaluate_curve, pr_curve, score_curve
 from tremorline.operators.history import (
-    MIN_ROWS, commit_file_rows, file_touches, label_bugfix, settled_stats,
+    MIN_ROWS, commit_file_rows, file_touches, history_before, label_bugfix, settled_stats,
 )
 from tremorline.operators.matrix import split_report
 from tremorline.operators.model import BoostingParams, FittedRun, explain_predictions, fit_and_score
@@ -48,11 +49,12 @@ def rank_risk(
     max_commits: int | None = None,
     min_rows: int = MIN_ROWS,
     fit: Callable[[DataFrame, BoostingParams], FittedRun] = fit_and_score,
+    as_of: datetime | Column | None = None,
 ) -> RiskAnalysis:
-    """The whole history counts unless ``max_commits`` is given. ``fit`` may be replaced by trees trained before.
+    """The whole history counts unless ``max_commits`` or ``as_of`` (strictly before it) is given. ``fit`` may be replaced by trees trained before.
 
     Three tables are stored on the way, each read by several later steps: touches, matrix, scores."""
-    labelled = label_bugfix(commit_file_rows(records, max_commits))
+    labelled = history_before(label_bugfix(commit_file_rows(records, max_commits)), as_of)
     touches = materialize(file_touches(labelled), "touches")
     all_stats = settled_stats(touches)
     stats = all_stats.filter(F.col("n_rows") >= min_rows)
