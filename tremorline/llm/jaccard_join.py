@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tremorline.llm.components import components
 from tremorline.llm.text import set_aside, whole, without
-from tremorline.llm.words import Texts, mix, pieces, slice_hashes, texts_of
+from tremorline.llm.words import Texts, pieces, slice_hashes, texts_of
 from tremorline.session import materialize
 
 
