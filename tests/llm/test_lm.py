@@ -101,7 +101,7 @@ def test_training_does_not_depend_on_partitions(sample):
     models = [fit_language_model(df, count_tokens(df, rule), rule) for df in (sample.repartition(2), sample.repartition(5))]
     assert np.allclose(models[0].weights, models[1].weights)
     untrained = fit_language_model(sample, count_tokens(sample, rule), LmRule(task_tokens=3000, every=10**15))
-    assert not np.allclose(models[0].weights, untrained.weights, atol=0.05)
+    assert np.abs(models[0].weights - untrained.weights).max() > 0.01  # a step or two of 0.01 each at this size
 
 
 def test_edges(docs_of, edge_rows):
