@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.brute import words
-from tremorline.llm import gru
+from tremorline.llm import gru, lm
 from tremorline.llm.lm import LmRule, count_tokens, fit_language_model, score_corpus
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -112,3 +112,25 @@ def test_edges(docs_of, edge_rows):
     held = [(i, t) for i, t in edge_rows if crc32(("" if i is None else str(i)).encode()) % 5 == 1] + [(1, "x y")]
     only_held = docs_of([(i, t) for i, t in held if crc32(str(i).encode()) % 5 == 1])
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in score_corpus(only_held).collect())
+
+
+def test_every_block_trains_once_in_rounds(sample, monkeypatch):
+    rule = LmRule(task_tokens=6000)
+    counted = count_tokens(sample, rule)
+    total = sum(r.c for r in counted.collect())
+    shares, trained = [], lm._trained
+
+    def watched(blocks, start, rule):
+        rows = blocks.collect()
+        shares.append((len({r.task for r in rows}), sum(len(r.tokens) for r in rows) // np.dtype(lm._packed(rule.shape)).itemsize, start))
+        return trained(blocks, start, rule)
+
+    monkeypatch.setattr(lm, "_trained", watched)
+    lm.fit_language_model(sample, counted, rule)
+    assert sum(tokens for _, tokens, _ in shares) == total
+    assert [n for n, _, _ in shares] == list(range(1, len(shares) + 1)) and len(shares) > 2
+    assert all(not np.array_equal(a, b) for (_, _, a), (_, _, b) in zip(shares, shares[1:]))
+
+
+def test_rounds_grow_with_the_tokens():
+    assert [lm._rounds(x) for x in (0, 1, 1.1, 3, 3.1, 6, 5050)] == [1, 1, 2, 2, 3, 3, 100]

@@ -36,15 +36,19 @@ def flat(weights: Weights, shape: Shape) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in shape.sizes]).astype(np.float32)
 
 
-def unflat(values: np.ndarray, shape: Shape) -> Weights:
+def _views(values: np.ndarray, shape: Shape) -> Weights:
     out, at = {}, 0
     for name, size in shape.sizes.items():
         n = int(np.prod(size))
-        out[name] = values[at:at + n].reshape(size).astype(np.float32)
+        out[name] = values[at:at + n].reshape(size)
         at += n
     return out
 
 
+def unflat(values: np.ndarray, shape: Shape) -> Weights:
+    return {name: part.astype(np.float32) for name, part in _views(values, shape).items()}
+
+
 def start(word_counts: np.ndarray, group_counts: np.ndarray, shape: Shape, seed: int) -> Weights:
     """Small random weights; the biases give the plain frequencies."""
     random = np.random.default_rng(seed)
@@ -143,10 +147,22 @@ def score_texts(w: Weights, tokens: np.ndarray, begins: np.ndarray, shape: Shape
 def _gradients(w: Weights, tokens: np.ndarray, valid: np.ndarray, h: np.ndarray, shape: Shape) -> tuple[Weights, np.ndarray]:
     """Gradient of the mean log-likelihood of a window (steps x texts), back through its steps only, and the last state."""
     steps, lanes = tokens.shape
-    kept: list = []
+    n = shape.hidden
+    taken = w["take"][tokens]
+    # One array for all steps of what the way back needs; gates holds z and r, now the candidate state before and after r and tanh.
+    before, gates = np.empty((steps, lanes, n), h.dtype), np.empty((steps, lanes, 2 * n), h.dtype)
+    kept_fresh, fresh = np.empty((steps, lanes, n), h.dtype), np.empty((steps, lanes, n), h.dtype)
     for t in range(steps):
-        h = _advance(w, tokens[t], h, kept)
-    states = np.concatenate([k[0] for k in kept])
+        before[t] = h
+        kept = h @ w["keep"]
+        gate = np.add(taken[t, :, :2 * n], kept[:, :2 * n], out=gates[t])
+        _sigmoid(gate)
+        kept_fresh[t] = kept[:, 2 * n:]
+        now = np.multiply(gate[:, n:], kept_fresh[t], out=fresh[t])
+        now += taken[t, :, 2 * n:]
+        np.tanh(now, out=now)
+        h = now + gate[:, :n] * (h - now)
+    states = before.reshape(-1, n)
     flat_tokens, weight = tokens.ravel(), valid.ravel().astype(np.float32) / max(1, valid.sum())
     g = {k: np.zeros(s, np.float32) for k, s in shape.sizes.items()}
     classes = _classes(flat_tokens, shape)
@@ -155,26 +171,46 @@ def _gradients(w: Weights, tokens: np.ndarray, valid: np.ndarray, h: np.ndarray,
     error *= weight[:, None]
     g["by_class"], g["class_bias"] = states.T @ error, error.sum(0)
     to_state = error @ w["by_class"].T
-    for c, rows in _of_class(classes, shape):
-        error = -_softmax(states[rows] @ w["by_word"][c] + w["word_bias"][c])
-        error[np.arange(len(rows)), flat_tokens[rows] % shape.members] += 1
-        error *= weight[rows][:, None]
-        g["by_word"][c], g["word_bias"][c] = states[rows].T @ error, error.sum(0)
-        to_state[rows] += error @ w["by_word"][c].T
+    # The rows of single words, class by class; products are by class, the softmax is over all at once.
+    rows = np.argsort(classes, kind="stable")
+    cuts = np.searchsorted(classes[rows], np.arange(shape.classes + 1)).tolist()
+    rows = rows[:cuts[-1]]
+    own = states[rows]
+    error, down = np.empty((len(rows), shape.members), own.dtype), np.empty_like(own)
+    spans = [(c, x, y) for c, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+    for c, x, y in spans:
+        np.matmul(own[x:y], w["by_word"][c], out=error[x:y])
+        error[x:y] += w["word_bias"][c]
+    if spans:
+        _softmax(error)
+        error[np.arange(len(rows)), flat_tokens[rows] % shape.members] -= 1
+        error *= -weight[rows][:, None]
+    for c, x, y in spans:
+        g["by_word"][c], g["word_bias"][c] = own[x:y].T @ error[x:y], error[x:y].sum(0)
+        np.matmul(error[x:y], w["by_word"][c].T, out=down[x:y])
+    to_state[rows] += down
     to_state = to_state.reshape(steps, lanes, -1)
     down = np.zeros_like(h)
-    taken = np.zeros((steps, lanes, 3 * shape.hidden), np.float32)
-    n = shape.hidden
+    z, r = gates[..., :n], gates[..., n:]
+    # Derivatives of the new state by what goes into the gates and into tanh; the way back multiplies them.
+    by_row = np.empty((steps, lanes, 3 * n), h.dtype)
+    by_row[..., :n] = (before - fresh) * z * (1 - z)
+    by_row[..., 2 * n:] = (1 - z) * (1 - fresh * fresh)
+    by_row[..., n:2 * n] = by_row[..., 2 * n:] * kept_fresh * r * (1 - r)
+    by_kept = by_row.copy()
+    by_kept[..., 2 * n:] *= r
+    back, keep_t = np.empty((lanes, 3, n), h.dtype), np.ascontiguousarray(w["keep"].T)
+    downs = np.empty((steps, lanes, n), h.dtype)
     for t in range(steps - 1, -1, -1):
-        before, z, r, fresh, kept_fresh = kept[t]
-        by_fresh = down * (1 - z) * (1 - fresh * fresh)
-        row = taken[t]
-        row[:, :n] = down * (before - fresh) * z * (1 - z)
-        row[:, n:2 * n] = by_fresh * kept_fresh * r * (1 - r)
-        row[:, 2 * n:] = by_fresh
-        by_kept = np.concatenate([row[:, :2 * n], by_fresh * r], axis=1)
-        g["keep"] += before.T @ by_kept
-        down = down * z + by_kept @ w["keep"].T + to_state[t]
+        downs[t] = down
+        np.multiply(by_kept[t].reshape(lanes, 3, n), down[:, None, :], out=back)
+        down *= z[t]
+        down += back.reshape(lanes, 3 * n) @ keep_t
+        down += to_state[t]
+    by_kept.reshape(steps, lanes, 3, n)[...] *= downs[:, :, None, :]
+    g["keep"] = states.T @ by_kept.reshape(-1, 3 * n)
+    taken = by_row
+    taken.reshape(steps, lanes, 3, n)[...] *= downs[:, :, None, :]
     order = np.argsort(flat_tokens, kind="stable")
     used, first = np.unique(flat_tokens[order], return_index=True)
     g["take"][used] = np.add.reduceat(taken.reshape(-1, 3 * n)[order], first, axis=0)
@@ -184,7 +220,9 @@ def _gradients(w: Weights, tokens: np.ndarray, valid: np.ndarray, h: np.ndarray,
 def train(w: Weights, blocks: Sequence[np.ndarray], shape: Shape, window: int = 32, lanes: int = 64, rate: float = 0.01) -> Weights:
     """One pass over the blocks in their order (Adam); truncated backpropagation, the state carried over a block's windows."""
     values = flat(w, shape)
+    w = _views(values, shape)
     mean, square, step = np.zeros_like(values), np.zeros_like(values), 0
+    part, root = np.empty_like(values), np.empty_like(values)
     for at in range(0, len(blocks), lanes):
         some = blocks[at:at + lanes]
         length = max(len(b) for b in some)
@@ -196,8 +234,11 @@ def train(w: Weights, blocks: Sequence[np.ndarray], shape: Shape, window: int =
         for t in range(0, length, window):
             gradients, h = _gradients(w, tokens[t:t + window], valid[t:t + window], h, shape)
             g, step = flat(gradients, shape), step + 1
-            mean += 0.1 * (g - mean)
-            square += 0.01 * (g * g - square)
-            values += rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
-            w = unflat(values, shape)
+            mean += np.multiply(np.subtract(g, mean, out=part), np.float32(0.1), out=part)
+            np.multiply(g, g, out=part)
+            square += np.multiply(np.subtract(part, square, out=part), np.float32(0.01), out=part)
+            np.sqrt(np.multiply(square, np.float32(1 / (1 - 0.99**step)), out=root), out=root)
+            root += np.float32(1e-6)
+            np.multiply(mean, np.float32(rate / (1 - 0.9**step)), out=part)
+            values += np.divide(part, root, out=part)
     return w

@@ -28,10 +28,10 @@ class LmRule:
     #: Words with at least the count that leaves no more than so many are looked up in a table; the rest in a join.
     table: int = 262_144
     #: Training takes one in so many blocks of each document, chosen by hash; counts take all.
-    every: int = 4
+    every: int = 1
     #: Tokens of a block; two windows of backpropagation.
     block: int = 64
-    #: Blocks are dealt to training tasks by hash, about so many tokens to each.
+    #: Blocks are dealt to training tasks by hash, at most about so many tokens to each.
     task_tokens: int = 1_000_000
     #: Counts held in a task before they are summed.
     held: int = 2_000_000
@@ -152,6 +152,10 @@ def _vocabulary(counted: DataFrame, rule: LmRule) -> LanguageModel:
                          gru.flat(weights, rule.shape))
 
 
+def _packed(shape: gru.Shape) -> type:
+    return np.uint16 if shape.words + shape.groups <= 1 << 16 else np.int32
+
+
 def _blocks(docs: DataFrame, model: LanguageModel, tasks: int) -> DataFrame:
     """``(task, rank, tokens)``: the blocks of training documents that training takes, dealt and ordered by hash."""
     rule = model.rule
@@ -170,7 +174,8 @@ def _blocks(docs: DataFrame, model: LanguageModel, tasks: int) -> DataFrame:
             inside = slice_hashes(tokens.hashes, firsts, lasts)
             rank = mix(batch.column("_key").to_numpy().view(np.uint64)[owner] + inside + place.astype(np.uint64))
             taken = np.flatnonzero(rank % np.uint64(rule.every) == 0)
-            lists = [numbers[a:b].astype(np.int32) for a, b in zip(firsts[taken].tolist(), lasts[taken].tolist())]
+            packed = numbers.astype(_packed(rule.shape))
+            lists = [packed[a:b] for a, b in zip(firsts[taken].tolist(), lasts[taken].tolist())]
             yield pa.RecordBatch.from_arrays([
                 pa.array(((rank[taken] >> np.uint64(20)) % np.uint64(tasks)).astype(np.int32)), pa.array(rank[taken].view(np.int64)),
                 pa.array([x.tobytes() for x in lists], pa.binary()),
@@ -201,7 +206,7 @@ def _trained(blocks: DataFrame, start: np.ndarray, rule: LmRule) -> DataFrame:
                     yield finished()
                     held = []
                 task = t
-                held.append(np.frombuffer(x, np.int32).astype(np.int64))
+                held.append(np.frombuffer(x, _packed(rule.shape)).astype(np.int64))
         if held:
             yield finished()
 
@@ -232,22 +237,33 @@ def _added(parts: DataFrame, tasks: int) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["sums"], np.float64) / r["n"] for r in rows]).astype(np.float32)
 
 
+def _rounds(shares: float) -> int:
+    """The least number of rounds of 1, 2, 3, ... tasks that have so many tasks in all."""
+    rounds = 1
+    while rounds * (rounds + 1) // 2 < shares:
+        rounds += 1
+    return rounds
+
+
 def fit_language_model(docs: DataFrame, counted: DataFrame, rule: LmRule = LmRule()) -> LanguageModel:
     """Train on the documents that are not held out; ``counted`` comes from ``count_tokens``.
 
     The most frequent tokens have numbers of their own, others that of a group. Blocks of every training document, one in
-    ``rule.every`` by hash, are dealt by hash to tasks whose number follows the tokens. One task's share warms the network up; then every
-    task trains from there on its own share, and the mean of their weights, by blocks, is the model. Order and shares follow from
-    hashes, so the same documents give the same shares however they are partitioned. Without training documents the starting weights stay.
+    ``rule.every`` by hash (all), are dealt by hash to tasks whose number follows the tokens, and every task trains once, on its own share.
+    Round r has r tasks, which start from the mean of the weights of the round before, by blocks: so both the rounds, one after
+    the other, and the tasks of a round grow with the square root of the corpus. Order and shares follow from hashes, so the same documents
+    give the same shares however they are partitioned. Without training documents the starting weights stay.
     """
     model = _vocabulary(counted, rule)
-    tasks = max(1, math.ceil(model.total / rule.every / rule.task_tokens))
-    blocks = materialize(_blocks(docs, model, tasks), "blocks")
-    warm = _added(_trained(blocks.filter("task = 0"), model.weights, rule), 1)
-    if warm is not None:
-        model.weights = warm
-        if tasks > 1:
-            model.weights = _added(_trained(blocks, warm, rule), tasks)
+    rounds = _rounds(model.total / rule.every / rule.task_tokens)
+    # In order of tasks, so that a round's pages are found without reading the others'.
+    blocks = _blocks(docs, model, rounds * (rounds + 1) // 2).sortWithinPartitions("task")
+    blocks = materialize(blocks, "blocks")
+    for r in range(rounds):
+        first = r * (r + 1) // 2
+        share = blocks.filter(F.col("task").between(first, first + r)).withColumn("task", F.col("task") - first)
+        trained = _added(_trained(share, model.weights, rule), r + 1)
+        model.weights = model.weights if trained is None else trained
     return model
 
 
