@@ -1,4 +1,6 @@
+import random
 import re
+import string
 from hashlib import sha256
 
 from tremorline.llm.secrets import KINDS, Novelty, marginal_bytes, scan_secrets
@@ -57,3 +59,21 @@ def test_edges(docs_of, edge_rows):
 def test_table(sample):
     for r in scan_secrets(sample, carry=["text"]).collect():
         assert r.base_spans == brute(r.text)
+
+
+def test_long_secrets_of_small_alphabets(docs_of):
+    r = random.Random(3)
+    alphabets = {"base64": string.ascii_letters + string.digits + "+/", "alnum": string.ascii_lowercase + string.digits,
+                 "base32": string.ascii_uppercase + "234567", "hex": string.digits + "ABCDEF"}
+    strings = ["".join(r.choices(alphabets[k], k=n)) for k, n in
+               [("base64", 1000), ("base64", 1600), ("alnum", 200), ("base32", 200), ("hex", 72), ("hex", 128)] for _ in range(10)]
+    plain = ["0123456789ABCDEF" * 8, "the2quick3brown4fox5jumps6over7a8lazy9dog0and1runs" * 3, "Ab1" * 60,
+             "we/hold/these/truths/to/be/self-evident/that/all/men/are/created/equal/that/they/are/endowed/by/their/creator/with/rights1776"]
+    rows = [(i, f"signing_key: {x} end") for i, x in enumerate(strings + plain)]
+    found = {x.doc_id: x.n_novel for x in scan_secrets(docs_of(rows)).collect()}
+    assert [found[i] for i in range(len(rows))] == [1] * len(strings) + [0] * len(plain)
+
+
+def test_a_credential_given_twice(docs_of):
+    fresh = "Zk9vQ2xT7pLr4WnB8sYd"
+    assert scan_secrets(docs_of([(1, f"bearer {fresh}\ncredential {fresh}\nsigning_key: {fresh}")])).first().n_novel == 3

@@ -1,7 +1,11 @@
 """Finding credentials by pattern and by novelty against a primed compressor."""
 from __future__ import annotations
 
+import math
+import random
 import re
+import string as chars
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
@@ -52,6 +56,10 @@ class Novelty:
     surround: int = 1024
     #: Least marginal compressed bytes for each character.
     ratio: float = 0.8
+    #: A string of evenly used characters may be smaller: as small as this share of the size of the same characters in random order.
+    shuffled: float = 0.95
+    #: Characters are used evenly if their entropy is at most so many bits below what a random string of the length has.
+    uneven: float = 0.25
     #: The string has at least so many digits, and so many letters.
     digits: int = 2
     letters: int = 2
@@ -78,9 +86,45 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
 
 
+_ALPHABETS = [frozenset(x) for x in (
+    chars.digits + "abcdef", chars.digits + "ABCDEF", "234567" + chars.ascii_lowercase, "234567" + chars.ascii_uppercase,
+    chars.digits + chars.ascii_lowercase, chars.digits + chars.ascii_uppercase, chars.digits + chars.ascii_letters,
+    chars.digits + chars.ascii_letters + "+/", chars.digits + chars.ascii_letters + "-_", chars.digits + chars.ascii_letters + "-_.",
+    chars.digits + chars.ascii_letters + "+/_.=~-")]
+
+
+def evenly_used(string: str, rule: Novelty) -> bool:
+    """Whether the string uses the smallest of the usual alphabets that holds it (but for = at its ends) like a random string."""
+    string = string.strip("=")
+    counts, n = Counter(string), max(1, len(string))
+    size = next(len(a) for a in _ALPHABETS if a.issuperset(counts))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    return entropy >= math.log2(size) - (size - 1) / (2 * n * math.log(2)) - rule.uneven
+
+
+def is_novel(string: str, around: str, rule: Novelty) -> bool:
+    """A random string of k symbols shrinks to about log2(k) / 8 bytes a character, so that a fixed limit would lose long ones."""
+    size = marginal_bytes(string, around)
+    if size >= rule.ratio * len(string):
+        return True
+    if not evenly_used(string, rule):
+        return False
+    return size >= rule.shuffled * marginal_bytes("".join(random.Random(0).sample(string, len(string))), "")
+
+
+def _without(text: str, a: int, b: int, spans: Sequence[tuple[int, int]]) -> str:
+    """text[a:b] without the spans, which are in order."""
+    out = []
+    for start, end in spans:
+        if start < b and end > a:
+            out.append(text[a:max(a, start)])
+            a = end
+    return "".join(out) + text[a:b]
+
+
 def novel_spans(text: str, base: Sequence[tuple[int, int, int]], rule: Novelty) -> list[tuple[int, int, int]]:
     """Strings of 16 or more characters close after a sensitive word, outside base spans, that the primed compressor cannot shorten."""
-    found = []
+    strings: list[tuple[int, int]] = []
     seen_to = -1
     for near in _NEAR.finditer(text):
         for m in _CANDIDATE.finditer(text, max(near.end(), seen_to), min(len(text), near.end() + rule.reach + 4096)):
@@ -90,14 +134,26 @@ def novel_spans(text: str, base: Sequence[tuple[int, int, int]], rule: Novelty)
             if b == near.end() + rule.reach + 4096:
                 b = _CANDIDATE.match(text, a).end()
             seen_to = b
-            string = text[a:b]
-            digits = sum(c.isdigit() for c in string)
-            letters = sum(c.isalpha() for c in string)
-            if digits < rule.digits or letters < rule.letters or any(a < e and s < b for s, _, e in base):
-                continue
-            around = text[max(0, a - rule.surround):a] + "\n" + text[b:b + rule.surround]
-            if marginal_bytes(string, around) >= rule.ratio * len(string):
-                found.append((a, 3, b))
+            strings.append((a, b))
+    found = []
+    for i, (a, b) in enumerate(strings):
+        string = text[a:b]
+        digits = sum(c.isdigit() for c in string)
+        letters = sum(c.isalpha() for c in string)
+        if digits < rule.digits or letters < rule.letters or any(a < e and s < b for s, _, e in base):
+            continue
+        # A credential that is given twice must not hide itself.
+        low, high = max(0, a - rule.surround), b + rule.surround
+        first, last = i, i + 1
+        while first and strings[first - 1][1] > low:
+            first -= 1
+        while last < len(strings) and strings[last][0] < high:
+            last += 1
+        bare = string.strip("=")
+        copies = [(x, y) for x, y in strings[first:last] if bare in text[x:y]]
+        around = _without(text, low, a, copies) + "\n" + _without(text, b, high, copies)
+        if is_novel(string, around, rule):
+            found.append((a, 3, b))
     return found
 
 
@@ -111,7 +167,8 @@ def scan_secrets(docs: DataFrame, rule: Novelty = Novelty(), carry: Sequence[str
     ``spans`` is ``kind:start:end`` in code points, end exclusive, by start, then in the order of ``KINDS``, comma-joined; ``base_spans``
     the same without kind ``novel``. ``n_assign``, ``n_access``, ``n_hex``, ``n_novel`` count them and ``base_sha256`` hashes ``base_spans``.
     A novel span is a string near a sensitive word whose marginal size under a dictionary-primed zstandard compressor stays at
-    ``rule.ratio`` bytes a character or more; it never overlaps a base span. Null reads as the empty text, which has no spans.
+    ``rule.ratio`` bytes a character or more, or at that of its own characters in random order if it uses its alphabet evenly; it never
+    overlaps a base span. Copies of a string that are near a sensitive word, too, take no part in the dictionary; other copies do. Null reads as the empty text, which has no spans.
     Input columns named like results are replaced; ``carry`` names the input columns returned (all).
     """
     added = ["n_assign", "n_access", "n_hex", "n_novel", "base_spans", "base_sha256", "spans"]
