@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from tests.llm.brute import words
 from tremorline.llm.components import components
-from tremorline.llm.jaccard_join import JaccardJoin, first_of_each, jaccard_join
+from tremorline.llm.jaccard_join import JaccardJoin, _batch_of_runs, _order, _tokens, first_of_each, jaccard_join
 
 
 def brute(rows):
@@ -93,3 +93,27 @@ def test_components(spark):
     assert all(rows[v] == find(v) for v in rows)
     assert set(parent) - loops <= set(rows)
     assert components(spark.createDataFrame([], "v string, u string")).count() == 0
+
+
+def test_near_pairs_inside_a_frequent_passage(docs_of):
+    r = random.Random(5)
+    passage = [str(r.randrange(9999)) for _ in range(80)]
+    rows = []
+    for i in range(60):
+        own = [str(r.randrange(9999)) for _ in range(20)]
+        rows.append((2 * i, " ".join(passage + own)))
+        rows.append((2 * i + 1, " ".join(passage + own[:10] + [str(r.randrange(9999)) for _ in range(10)])))
+    rule = JaccardJoin(bucket=16, block=7)
+    df = docs_of(rows)
+    assert got(df, rule) == brute(rows)
+    records = _tokens(df.selectExpr("md5(text) AS tid", "text"), rule).collect()
+    ends = {(e.tid, e.run): e for e in _batch_of_runs(_tokens(df.selectExpr("md5(text) AS tid", "text"), rule), rule, range(rule.runs)).collect()}
+    split = 0
+    for run in range(rule.runs):
+        at = _order(rule, run)[0]
+        size = Counter(x.tokens[at] for x in records)
+        for x in records:
+            if size[x.tokens[at]] > rule.bucket:  # split, so its depth has to be known, alone or not
+                assert ends[x.tid, run].depth > 1 or ends[x.tid, run].size > rule.bucket
+                split += ends[x.tid, run].size == 1
+    assert split > 0

@@ -82,15 +82,19 @@ def _order(rule: JaccardJoin, run: int) -> list[int]:
     return np.random.default_rng([rule.seed, run]).permutation(rule.tokens)[:rule.depth + 8].tolist()
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Bucket rows with the size of their bucket, without those that are alone."""
+def _sized(rows: DataFrame, alone: bool = False) -> DataFrame:
+    """Bucket rows with the size of their bucket, without those that are alone, or with them at path 0 and size 1."""
     sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     key = F.bitwise_not("path")  # not the key of the groups: AQE can then split the rows of a hot bucket
-    return rows.withColumn("_key", key).join(sizes.select(key.alias("_key"), "size"), "_key").drop("_key")
+    out = rows.withColumn("_key", key).join(sizes.select(key.alias("_key"), "size"), "_key", "left" if alone else "inner").drop("_key")
+    if not alone:
+        return out
+    return out.withColumn("path", F.when(F.col("size").isNull(), F.lit(0)).otherwise(F.col("path"))).withColumn("size", F.coalesce("size", F.lit(1)))
 
 
 def _batch_of_runs(records: DataFrame, rule: JaccardJoin, runs: range) -> DataFrame:
-    """``(tid, run, path, size, depth)``: the bucket of two or more in which each text ends in each run, if any."""
+    """``(tid, run, path, size, depth)``: the bucket in which each text ends in each run. A text that is alone before any split has no row;
+    one that a split leaves alone has one of path 0 and size 1, as its depth counts for the chance to miss."""
     by_depth = {r: _order(rule, r) for r in runs}
     first = F.array(*[F.struct(F.lit(r).alias("run"), _path(F.lit(r), F.get("tokens", F.lit(by_depth[r][0]))).alias("path")) for r in runs])
     rows = records.select("tid", F.explode(first).alias("_b")).select("tid", "_b.run", "_b.path")
@@ -118,7 +122,7 @@ def _batch_of_runs(records: DataFrame, rule: JaccardJoin, runs: range) -> DataFr
         done.append(judged.filter("dense").select("tid", "run", "path", "size", F.lit(depth).alias("depth")))
         split = judged.filter("not dense").select("tid", "run", _path(
             F.col("run"), F.col("path"), F.get("tokens", F.get("_order", F.lit(depth)))).alias("path"))
-        rows = materialize(_sized(split), "split")
+        rows = materialize(_sized(split, alone=True), "split")
         done.append(rows.filter(F.col("size") <= rule.bucket).withColumn("depth", F.lit(depth + 1)))
         large = rows.filter(F.col("size") > rule.bucket)
     out = done[0]
@@ -325,7 +329,7 @@ def jaccard_join(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFram
 
     runs = rule.runs
     ends = _batch_of_runs(records, rule, range(runs))
-    # Texts that were only in small buckets have met their like; the others, and all that was with them, go on.
+    # Texts that were never split off a large bucket have met their like; the others, also if alone since, go on.
     again = None
     while _missed(ends, rule, runs) > 1 - rule.recall:
         if again is None:
@@ -335,7 +339,7 @@ def jaccard_join(docs: DataFrame, rule: JaccardJoin = JaccardJoin()) -> DataFram
         runs += rule.runs
 
     least = int(rule.sketch * rule.tokens)
-    meeting = _with_paths(ends, runs).join(records.select("tid", "tokens"), "tid")
+    meeting = _with_paths(ends.filter("size > 1"), runs).join(records.select("tid", "tokens"), "tid")
     kinds = {"tid": pa.string(), "paths": pa.list_(pa.int64()), "run": pa.int32(), "path": pa.int64(), "size": pa.int64()}
     likely = _tiled(meeting, rule).mapInArrow(
         _by_tile(lambda rows: _likely(rows, least), kinds), "tid string, paths array<long>, run int, path long, size long")
