@@ -74,3 +74,12 @@ def test_edges(docs_of, edge_rows, spark):
     one = fit_toxicity(df, labels.filter("toxic = 0"), RULE)
     assert not any(r.toxic for r in score_toxicity(df, one, RULE).collect())
     assert score_toxicity(df.filter("false"), none, RULE).count() == 0
+
+
+def test_labels_of_other_documents_do_not_fill_the_sample(docs_of, spark):
+    rows, labels = _rows(60, 3)
+    rule = ToxicityRule(bits=14, steps=20, labelled=100)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    others = spark.range(10_000, 60_000).selectExpr("id AS doc_id", "0 AS toxic")
+    alone, among = (fit_toxicity(docs_of(rows), x, rule) for x in (known, known.unionByName(others)))
+    assert np.count_nonzero(alone.weights) and np.array_equal(alone.weights, among.weights)

@@ -161,6 +161,8 @@ _ROW = "doc_id long, level int, given boolean, numbers binary, amounts binary"
 def _labelled_features(docs: DataFrame, labels: DataFrame, rule: ToxicityRule) -> DataFrame:
     level = F.max("grade" if "grade" in labels.columns else "toxic").cast("int").alias("level")
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(level).filter("level is not null")
+    # Labels of documents that are not here must not fill the sample; only ids are joined.
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64(F.lit(rule.seed), "doc_id"), "doc_id").limit(rule.labelled)
     given = "grade" in labels.columns
 
