@@ -6,7 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import decontamination, html_text, jaccard_join, lm, mixing, quality, secrets, sharding, substring_dedup, toxicity
+from tremorline.llm import (
+    bpe, conversation_trie, decontamination, html_text, jaccard_join, lm, mixing, quality, secrets, sharding, substring_dedup, toxicity,
+)
 
 SHARDS = 16
 
@@ -73,6 +75,22 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(docs).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = conversation_trie.prefix_trie(conversation_trie.rebuild_conversations(_table(spark, sf_dir, "conversations")))
+    return trie.drop("node_id")
+
+
+def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = bpe.Tokenizer.read(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.decode_documents(bpe.encode_documents(docs, tokenizer, carry=["doc_id"]), tokenizer)
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
     "op2_poisson_mixture": op2_poisson_mixture,
@@ -84,4 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_first_cleaning": op8_line_first_cleaning,
     "op9_qgram_leaks": op9_qgram_leaks,
     "op10_chosen_path_join": op10_chosen_path_join,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_streaming_bpe": op13_streaming_bpe,
 }
