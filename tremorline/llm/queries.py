@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorline.llm import (
-    bpe, conversation_trie, decontamination, html_text, jaccard_join, lm, mixing, quality, secrets, sharding, substring_dedup, toxicity,
+    bpe, conversation_trie, decontamination, html_text, jaccard_join, lm, mixing, quality, secrets, sharding, source_audit,
+    substring_dedup, toxicity,
 )
 
 SHARDS = 16
@@ -80,6 +81,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.drop("node_id")
 
 
+def op12_prefix_refined_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -103,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_qgram_leaks": op9_qgram_leaks,
     "op10_chosen_path_join": op10_chosen_path_join,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_prefix_refined_audit": op12_prefix_refined_audit,
     "op13_streaming_bpe": op13_streaming_bpe,
 }
