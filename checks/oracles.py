@@ -244,7 +244,30 @@ CTES["leaf_details"] = f"""select repo, file_path, {RESULT_SCORE} as risk_score,
     commit_count_30d as churn_30d, cast(printf('%.4f', bus_factor_score) as double) as bus_factor_score,
     cast(printf('%.4f', coupling_score_max) as double) as coupling_score_max
     from leaf_scores join matrix using (repo, file_path) left join leaf_drivers using (repo, file_path)"""
-CTES["separable"] = "select repo, file_path, least(total_commits, 20) >= 10 as positive from churn"
+CTES["boost_0"] = """select repo, file_path, c as x0, a as x1, y, case when y then 2.0::double else 1.0::double end as w, 0.0::double as margin
+    from (select repo, file_path, least(total_commits, 20) as c, file_age_days // 100 as a,
+        (least(total_commits, 20) >= 10) != ((file_age_days // 100) % 7 = 3) as y from churn)"""
+for _round in range(2):
+    # Gradients in whole 2^-24, then for each of two levels the split of most gain in every node, lowest feature and limit first.
+    CTES[f"boost_{_round}_0"] = f"""select *, 0 as node, floor(w * (p - y::int) * 16777216 + 0.5)::bigint as g, floor(w * p * (1 - p) * 16777216 + 0.5)::bigint as h
+        from (select *, 1 / (1 + exp(-2 * margin)) as p from boost_{_round})"""
+    for _level in range(2):
+        CTES[f"boost_{_round}_{_level + 1}"] = f"""select r.* exclude (node),
+            case when s.node is null then r.node else 2 * r.node + 1 + (case s.f when 0 then x0 else x1 end > s.v)::int end as node
+            from boost_{_round}_{_level} r left join (
+              select node, f, v from (
+                select *, lg * lg / (lh + 1) + (ag - lg) * (ag - lg) / (ah - lh + 1) - ag * ag / (ah + 1) as gain from (
+                  select node, f, v, (sum(g) over o)::double / 16777216 as lg, (sum(h) over o)::double / 16777216 as lh,
+                    (sum(g) over a)::double / 16777216 as ag, (sum(h) over a)::double / 16777216 as ah from (
+                    select node, f, v, sum(g) as g, sum(h) as h from (
+                      select node, 0 as f, x0 as v, g, h from boost_{_round}_{_level} union all select node, 1, x1, g, h from boost_{_round}_{_level})
+                    group by all)
+                  window o as (partition by node, f order by v), a as (partition by node, f)))
+              where lh >= 1 and ah - lh >= 1 and gain > 1e-9
+              qualify row_number() over (partition by node order by gain desc, f, v) = 1) s on s.node = r.node"""
+    CTES[f"boost_{_round + 1}"] = f"""select repo, file_path, x0, x1, y, w,
+        margin - 0.05 * ((sum(g) over n)::double / 16777216) / ((sum(h) over n)::double / 16777216 + 1) / 2 as margin
+        from boost_{_round}_2 window n as (partition by node)"""
 CTES["rounds"] = """select (o_orderkey % 3)::varchar as repo, (o_orderkey % 60)::int as tree_id,
     (sum(o_custkey) % 997)::double / 997.0::double as auc_roc from orders group by all"""
 
@@ -433,8 +456,8 @@ ORACLES = {name: _with(sql) for name, sql in {
         pos > 0 and neg > 0 as trainable from (select repo, count(*) filter (where in_train and label = 1) as pos,
             count(*) filter (where in_train and label = 0) as neg from flags group by repo)""",
     "constant_fallback": "select distinct repo, file_path, 0.5::double as probability from event_facts",
-    "train_model": "select repo, file_path, positive::bigint as predicted, positive::bigint as label from separable",
-    "score_files": "select repo, file_path, round(1 / (1 + exp(case when positive then -2 else 2 end)), 6) as probability from separable",
+    "train_model": "select repo, file_path, (margin > 0)::bigint as predicted, y::bigint as label from boost_2",
+    "score_files": "select repo, file_path, round(1 / (1 + exp(-2 * margin)), 6) as probability from boost_2",
     "tree_attributions": "select repo, file_path, feature, round(value, 6) as value, round(phi, 6) as phi from leaf_contributions",
     "explain_predictions": "select * from drivers",
     "best_iteration": """select repo, (fold).tree_id::bigint as best_iteration, round((fold).auc_roc, 6) as best_auc from (
@@ -463,3 +486,9 @@ ORACLES = {name: _with(sql) for name, sql in {
         where t <= 10""",
     "risk_treemap_data": f"select repo, file_path, {_SHORT} as label, 1::bigint as weight, risk_score from results",
 }.items()}
+# A refresh gives the rows of a whole run, by the same trees; repositories of one class have no model.
+_KEPT = _with("""select repo, file_path, case when learns then risk_score else 50 end as risk_score, case when learns then top_drivers else '' end as top_drivers,
+    total_commits, churn_30d, bus_factor_score, coupling_score_max,
+    row_number() over (partition by repo order by case when learns then risk_score else 50 end desc, file_path) as rank
+    from leaf_details join (select repo, bool_or(in_train and label = 1) and bool_or(in_train and label = 0) as learns from flags group by repo) using (repo)""")
+ORACLES |= {"refresh_ranking": _KEPT, "refresh_from_delta": _KEPT, "refresh_metrics": ORACLES["risk_metrics"]}

@@ -1,7 +1,7 @@
 """Every operator as a query over the sample tables."""
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +17,12 @@ from tremorline.operators import model as L
 from tremorline.operators import report as R
 from tremorline.plans.feature_matrix import build_feature_matrix, matrix_from_history
 from tremorline.plans.rank_risk import RiskAnalysis, rank_risk
-from tremorline.plans.refresh import refresh_results
+from tremorline.plans.refresh import refresh_ranking, refresh_results
 from tremorline.schemas import FEATURES, KEYS
 from tremorline.session import SESSION_DEFAULTS, materialize, scratch_path
 from tremorline.sources import sample_tables as T
 from tremorline.sources import tables as IO
+from tremorline.sources.run_store import HistoryStore, RunStore
 
 PATIENCE = 5
 SMALL_COMMIT = 8
@@ -140,23 +141,25 @@ def analysis_by_leaves(i: Inputs) -> RiskAnalysis:
     return rank_risk(i.records, i.sources, fit=lambda matrix, _: L.score_with_leaves(matrix, LEAVES))
 
 
-def separable(i: Inputs):
-    """Files labelled by one limit on one feature, which a single split finds."""
-    commits = F.least("total_commits", F.lit(20))
-    return i.churn.select(*KEYS, commits.alias("total_commits"), "file_age_days", (commits >= 10).cast("int").alias("label"),
-                          F.lit(True).alias("in_test"))
+BOOSTED = ["total_commits", "file_age_days"]
+TWO_ROUNDS = L.BoostingParams(rounds=2, depth=2, row_share=1.0, column_share=1.0)
 
 
-def one_split(i: Inputs):
-    """A trained model of one split, and its scores of every file."""
-    names = ["total_commits", "file_age_days"]
-    files = materialize(separable(i), "separable")
-    model = L.train_model(files, F.lit(1.0), L.BoostingParams(rounds=1, depth=1, row_share=1.0, column_share=1.0), names)
-    return files, L.score_files(model, files, names)
+def two_factors(i: Inputs):
+    """Files labelled by two features together, in whole steps, so that SQL can state every split."""
+    commits, age = F.least("total_commits", F.lit(20)), F.floor(F.col("file_age_days") / 100)
+    return i.churn.select(*KEYS, commits.alias("total_commits"), age.alias("file_age_days"),
+                          ((commits >= 10) != (age % 7 == 3)).cast("int").alias("label"), F.lit(True).alias("in_test"))
+
+
+def boosted(i: Inputs):
+    """Trees of two rounds and two levels, positives weighted twice, and their scores of every file."""
+    files = materialize(two_factors(i), "two_factors")
+    return files, L.score_files(L.train_model(files, F.lit(2.0), TWO_ROUNDS, BOOSTED), files, BOOSTED)
 
 
 def train_model(i: Inputs):
-    files, scored = one_split(i)
+    files, scored = boosted(i)
     return scored.join(files, KEYS).select(*KEYS, (F.col("probability") > 0.5).cast("int").alias("predicted"), "label")
 
 
@@ -178,6 +181,23 @@ def refreshed(i: Inputs):
     return refresh_results(i.facts.select("repo"), kept, compute, NOW).select(*KEYS, "risk_score")
 
 
+def _refreshed(i: Inputs, delta: bool):
+    """Two of three repositories were analysed an hour ago, the third has no results: it is analysed now, by the kept model.
+
+    With ``delta`` all three were analysed two days ago, from the older commits; now they are given all, and add the new ones.
+    """
+    store = RunStore(i.spark, scratch_path(i.spark, "store"))
+    repos = i.facts.select("repo").distinct()
+    store.keep_model("r0", L.leaf_frame(i.spark, LEAVES).selectExpr("'*' as repo", "*", "true as kept"),
+                     i.spark.createDataFrame([("*", 1, 0.5)], L.BEST_ROUND), NOW)
+    if delta:
+        history, before = HistoryStore(i.spark, store.path), i.records.filter("commit_date < '2001-01-01'")
+        refresh_ranking(store, "r1", repos, before, i.sources, now=NOW - timedelta(days=2), history=history)
+        return refresh_ranking(store, "r2", repos, i.records, i.sources, now=NOW, history=history)
+    refresh_ranking(store, "r1", repos.filter("repo != 'repo2'"), i.records, i.sources, now=NOW - timedelta(hours=1))
+    return refresh_ranking(store, "r2", repos, i.records, i.sources, now=NOW)
+
+
 def read_change_records(i: Inputs):
     path = scratch_path(i.spark, "records")
     i.records.write.json(path)
@@ -376,7 +396,7 @@ SPECS = {
     "constant_fallback": event_fallback,
     "train_model": train_model,
     "best_iteration": lambda i: L.best_iteration(auc_by_round(i), PATIENCE),
-    "score_files": lambda i: one_split(i)[1],
+    "score_files": lambda i: boosted(i)[1],
     "tree_attributions": lambda i: R.attribution_rows(L.score_with_leaves(materialize(i.matrix, "matrix"), LEAVES).scored),
     "explain_predictions": lambda i: L.explain_predictions(i.contributions)[0],
     # results
@@ -393,6 +413,9 @@ SPECS = {
     # end to end
     "rank_risk": lambda i: analysis_by_leaves(i).ranked,
     "risk_metrics": lambda i: analysis_by_leaves(i).metrics,
+    "refresh_ranking": lambda i: _refreshed(i, False).ranked.drop("computed_at"),
+    "refresh_metrics": lambda i: _refreshed(i, False).metrics.drop("computed_at"),
+    "refresh_from_delta": lambda i: _refreshed(i, True).ranked.drop("computed_at"),
     "rank_risk_trained": lambda i: run_analysis(i).ranked,
 }
 

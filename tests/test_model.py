@@ -177,3 +177,54 @@ def test_pooled_model_covers_the_same_files(matrix):
 def test_nothing_to_train(matrix):
     run = L.fit_and_score(matrix.filter("repo = 'flat'"), L.BoostingParams(rounds=2))
     assert run.scored.count() == 15 and run.leaves.count() == 0 and run.best.count() == 0
+
+
+def test_same_trees_from_any_number_of_tasks(matrix):
+    """From one task that holds all rows, and from passes over 8 or 64."""
+    own = matrix.filter("repo = 'learns'")
+    trees = {}
+    for tasks in (1, 8, 64):
+        model = L.Boosting(own, F.lit(2.0), L.BoostingParams(rows_per_task=400 // tasks)).grow(2).settle().grow(3)
+        assert model.tasks >= tasks
+        trees[tasks] = model.leaves()
+    assert trees[1] == trees[8] == trees[64] and len(trees[1]) > 20
+
+
+def test_a_level_is_one_pass(matrix, monkeypatch):
+    passes = []
+    monkeypatch.setattr(L.Boosting, "_sums", lambda self, *a, f=L.Boosting._sums: passes.append(1) or f(self, *a))
+    params = L.BoostingParams(rows_per_task=100, depth=3)
+    L.Boosting(matrix.filter("repo = 'learns'"), F.lit(2.0), params).grow(2)
+    assert 2 <= len(passes) <= 2 * params.depth
+
+
+def test_training_stops_when_patience_is_spent(matrix, monkeypatch):
+    aucs = iter([0.5, 0.7, 0.6, 0.6, 0.71, *[0.6] * 40])
+    monkeypatch.setattr(L, "auc_of_margins", lambda staged, group: staged.sparkSession.createDataFrame(
+        [(t, next(aucs)) for t in sorted(r[0] for r in staged.select("tree_id").distinct().collect())], "tree_id int, auc_roc double"))
+    model, best = L.train_until_best(matrix.filter("repo = 'learns'"), F.lit(2.0), L.BoostingParams(rounds=40, patience=3))
+    assert best == (4, 0.71) and len(model.trees) == 4 + 3 + 1
+
+
+def test_margins_are_judged_exactly(matrix):
+    own = matrix.filter("repo = 'learns'")
+    model, (best, auc) = L.train_until_best(own, F.lit(2.0), L.BoostingParams(rounds=5, patience=2))
+    ours = {r["tree_id"]: r["auc_roc"] for r in L.staged_auc(own, model.leaves()).collect()}
+    assert auc == pytest.approx(ours[best], abs=1e-12) and auc == pytest.approx(max(ours.values()), abs=1e-12)
+    rows = model.grow(6).staged()
+    for width in (2.0**-12, 0.5, 100.0):
+        found = {r["tree_id"]: r["auc_roc"] for r in L.auc_of_margins(rows, ["tree_id"], width).collect()}
+        assert found and all(v == pytest.approx(brute_auc([(r.y, r.score) for r in rows.filter(F.col("tree_id") == t).collect()]), abs=1e-12)
+                             for t, v in found.items())
+
+
+def brute_auc(rows):
+    pos, neg = [s for y, s in rows if y == 1], [s for y, s in rows if y == 0]
+    return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+
+
+def test_constant_features_and_empty_sets(matrix):
+    own = matrix.filter("repo = 'learns'").withColumn(FEATURES[0], F.lit(3.0)).withColumn(FEATURES[7], F.lit(None).cast("double"))
+    assert len(L.Boosting(own, F.lit(1.0)).grow(2).trees) == 2
+    empty = L.Boosting(own.filter("false"), F.lit(1.0)).grow(1)
+    assert [leaf["value"] for leaf in empty.leaves()] == [0.0]

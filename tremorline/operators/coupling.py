@@ -18,8 +18,9 @@ HIGH_CHURN_QUANTILE = 0.75
 
 
 def commit_sizes(facts: DataFrame) -> DataFrame:
-    """Commit-file rows of each commit, repeated files included."""
-    return facts.groupBy("repo", "commit_hash").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Commit-file rows of each commit, repeated files included; of facts, or of touches that count them."""
+    rows = F.sum("n_rows") if "n_rows" in facts.columns else F.count(F.lit(1))
+    return facts.groupBy("repo", "commit_hash").agg(rows.alias("n_rows"))
 
 
 def mass_commit_filter(facts: DataFrame, max_files: int = MAX_FILES) -> DataFrame:

@@ -8,21 +8,19 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorline.operators.attribution import (
     LEAF_TABLE, tree_attributions, leaf_frame, leaf_table, staged_margins,
 )
-from tremorline.operators.evaluation import roc_auc, score_curve
+from tremorline.operators.boosting import Boosting, BoostingParams, margins
+from tremorline.operators.evaluation import auc_of_margins, roc_auc, score_curve
 from tremorline.operators.report import global_importance, top_drivers
 from tremorline.operators.scaling import attach
 from tremorline.schemas import FEATURES, KEYS, SCORED_FILES
-from tremorline.session import materialize, scratch_path, shared_dir
+from tremorline.session import materialize, scratch_path
 
 
 BEST_ROUND = T.StructType([
@@ -32,27 +30,6 @@ BEST_ROUND = T.StructType([
 ])
 
 
-@dataclass(frozen=True)
-class BoostingParams:
-    """Fixed values as defaults; fewer rounds trade accuracy for time."""
-
-    rounds: int = 300
-    depth: int = 4
-    step: float = 0.05
-    row_share: float = 0.8
-    column_share: float = 0.8
-    seed: int = 42
-    patience: int = 20
-    #: Partitions of a training set, whatever its size: the row samples of a round are drawn per partition, so the
-    #: model would change with their number. Raise it for training sets that do not fit.
-    pieces: int = 8
-    #: One model over all repositories; else one for each, ``parallel_repos`` at a time.
-    pooled: bool = True
-    parallel_repos: int = 4
-    #: Rounds that are evaluated at once while looking for the best one.
-    block: int = 50
-
-
 def class_balance(matrix: DataFrame) -> DataFrame:
     """Training positives and negatives, weight of a positive, and whether there is anything to learn."""
     train = F.col("in_train")
@@ -66,38 +43,36 @@ def class_balance(matrix: DataFrame) -> DataFrame:
     )
 
 
-def _assembled(matrix: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features").transform(matrix)
+def train_model(train: DataFrame, pos_weight: Column,
+                params: BoostingParams = BoostingParams(), features: list[str] = FEATURES) -> Boosting:
+    """Fit boosted trees on one training set (keys, features, label), positives weighted up; all rounds."""
+    return Boosting(train, pos_weight, params, features).grow(params.rounds)
 
 
-def train_model(train: DataFrame, pos_weight: Column,
-                params: BoostingParams = BoostingParams(), features: list[str] = FEATURES):
-    """Fit boosted trees on one training set (keys, features, label), positives weighted up.
+def train_until_best(matrix: DataFrame, pos_weight: Column, params: BoostingParams = BoostingParams(),
+                     features: list[str] = FEATURES) -> tuple[Boosting, tuple[int, float] | None]:
+    """Train on the rows in_train until ``patience`` rounds have passed without a better AUC on all rows in_test together.
 
-    Rows are dealt by the hash of their keys to a fixed number of pieces and sorted there, so that the row samples
-    of a seed are always the same, however the input is partitioned.
-    Checkpoints every ten rounds, in the shared folder, keep the lineage short.
+    Rounds are judged together when a stop is next possible: after the best round so far and ``patience`` more. So none
+    past that is trained, and judging takes few jobs. Returns the model and ``best_iteration``, or None without test rows.
     """
-    shared_dir(train.sparkSession)
-    weighted = _assembled(train, features).select(
-        *KEYS,
-        "features",
-        F.col("label").cast("double").alias("label"),
-        F.when(F.col("label") == 1, pos_weight).otherwise(F.lit(1.0)).alias("weight"),
-    )
-    classifier = GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight",
-        maxIter=params.rounds, maxDepth=params.depth, stepSize=params.step,
-        subsamplingRate=params.row_share, featureSubsetStrategy=str(params.column_share),
-        seed=params.seed, checkpointInterval=10,
-    )
-    return classifier.fit(weighted.repartition(params.pieces, *KEYS).sortWithinPartitions(*KEYS))
+    model = Boosting(matrix, pos_weight, params, features, F.col("in_train"), F.col("in_test"))
+    aucs, target = [], params.patience + 1
+    while True:
+        model.grow(min(params.rounds, target))
+        aucs += [(r["tree_id"], r["auc_roc"]) for r in auc_of_margins(model.staged(), ["tree_id"]).collect()]
+        if not aucs:
+            return model.grow(params.rounds), None
+        best = _best_of(matrix.sparkSession, aucs, params.patience)
+        target = best[0] + params.patience + 1
+        if len(model.trees) >= min(params.rounds, target):
+            return model, best
+        model.settle()
 
 
-def score_files(model, matrix: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+def score_files(model: Boosting, matrix: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     """Positive-class probability of every test file under the whole model."""
-    scored = model.transform(_assembled(matrix.filter("in_test"), features))
-    return scored.select(*KEYS, vector_to_array("probability")[1].alias("probability"))
+    return margins(matrix.filter("in_test"), model).select(*KEYS, (1 / (1 + F.exp(-2 * F.col("margin")))).alias("probability"))
 
 
 def staged_auc(matrix: DataFrame, leaves: list[dict], rounds: range | None = None) -> DataFrame:
@@ -109,22 +84,31 @@ def staged_auc(matrix: DataFrame, leaves: list[dict], rounds: range | None = Non
     return roc_auc(score_curve(staged, ["repo", "tree_id"]), ["repo", "tree_id"])
 
 
+def _aucs(matrix: DataFrame, leaves: list[dict], rounds: range) -> list[tuple[int, float]]:
+    """One number a round."""
+    return sorted((r["tree_id"], r["auc_roc"]) for r in staged_auc(matrix, leaves, rounds).collect())
+
+
+def _best_of(spark: SparkSession, aucs: list[tuple[int, float]], patience: int) -> tuple[int, float]:
+    by_round = spark.createDataFrame([("*", *a) for a in aucs], "repo string, tree_id int, auc_roc double")
+    best = best_iteration(by_round, patience).first()
+    return best["best_iteration"], best["best_auc"]
+
+
 def stopped_round(matrix: DataFrame, leaves: list[dict], params: BoostingParams) -> tuple[int, float] | None:
-    """``best_iteration`` of one model, looked for block by block until its patience is spent; None without test rows.
+    """``best_iteration`` of finished trees, looked for block by block until its patience is spent; None without test rows.
 
     At most one number a round reaches the driver, and rounds past the stop are never scored.
     """
-    spark, last, aucs = matrix.sparkSession, 1 + max(leaf["tree_id"] for leaf in leaves), []
+    last, aucs, best = 1 + max(leaf["tree_id"] for leaf in leaves), [], None
     for start in range(0, last, params.block):
-        found = staged_auc(matrix, leaves, range(start, min(last, start + params.block))).collect()
-        aucs += sorted((r["tree_id"], r["auc_roc"]) for r in found)
+        aucs += _aucs(matrix, leaves, range(start, min(last, start + params.block)))
         if not aucs:
             return None
-        by_round = spark.createDataFrame([("*", *a) for a in aucs], "repo string, tree_id int, auc_roc double")
-        best = best_iteration(by_round, params.patience).first()
-        if aucs[-1][0] - best["best_iteration"] > params.patience:
+        best = _best_of(matrix.sparkSession, aucs, params.patience)
+        if aucs[-1][0] - best[0] > params.patience:
             break
-    return best["best_iteration"], best["best_auc"]
+    return best
 
 
 def best_iteration(auc_by_round: DataFrame, patience: int = 20) -> DataFrame:
@@ -178,11 +162,10 @@ def fit_and_score(matrix: DataFrame, params: BoostingParams = BoostingParams())
     root = scratch_path(spark, "models")
 
     def run(name, own, pos_weight):
-        model = train_model(own.filter("in_train"), pos_weight, params)
+        model, best = train_until_best(own, pos_weight, params)
         leaves = leaf_table(spark, model)
-        everything = own.withColumn("repo", F.lit(name))  # rounds are judged on all rows of the model together
         # Without test files there is nothing to stop on (and nothing to score).
-        last, auc = stopped_round(everything, leaves, params) or (params.rounds - 1, 0.0)
+        last, auc = best or (params.rounds - 1, 0.0)
         kept = [leaf for leaf in leaves if leaf["tree_id"] <= last]
         folder = uuid.uuid4().hex
         tree_attributions(own.filter("in_test"), kept).write.parquet(f"{root}/scored/{folder}")
@@ -230,6 +213,14 @@ def score_with_leaves(matrix: DataFrame, leaves: list[dict]) -> FittedRun:
     return FittedRun(tree_attributions(matrix.filter("in_test"), leaves), table, spark.createDataFrame([("*", last, None)], BEST_ROUND))
 
 
+def score_kept(matrix: DataFrame, leaves: list[dict]) -> FittedRun:
+    """Scores as the run gave them that trained ``leaves``: repositories with nothing to learn from get the constant."""
+    balance = class_balance(matrix)
+    learnable = attach(matrix, balance.filter("trainable").select("repo"), on=["repo"], how="inner")
+    run = score_with_leaves(learnable, leaves)
+    return FittedRun(run.scored.unionByName(constant_fallback(matrix, balance)), run.leaves, run.best)
+
+
 def explain_predictions(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Driver sentences per file and importance per feature."""
     return top_drivers(scored), global_importance(scored)

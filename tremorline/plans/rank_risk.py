@@ -55,7 +55,17 @@ def rank_risk(
 
     Three tables are stored on the way, each read by several later steps: touches, matrix, scores."""
     labelled = history_before(label_bugfix(commit_file_rows(records, max_commits)), as_of)
-    touches = materialize(file_touches(labelled), "touches")
+    return rank_touches(materialize(file_touches(labelled), "touches"), sources, params, min_rows, fit)
+
+
+def rank_touches(
+    touches: DataFrame,
+    sources: DataFrame,
+    params: BoostingParams = BoostingParams(),
+    min_rows: int = MIN_ROWS,
+    fit: Callable[[DataFrame, BoostingParams], FittedRun] = fit_and_score,
+) -> RiskAnalysis:
+    """The analysis from stored touches on (see ``file_touches``), as kept history gives them."""
     all_stats = settled_stats(touches)
     stats = all_stats.filter(F.col("n_rows") >= min_rows)
     rejected = all_stats.filter(F.col("n_rows") < min_rows).select(
@@ -80,7 +90,7 @@ def rank_risk(
         matrix=matrix,
         fitted=fitted,
         rejected=rejected,
-        skipped=mass_commit_report(labelled.join(stats.select("repo"), "repo", "left_semi")),
+        skipped=mass_commit_report(eligible),
         split=split_report(matrix),
         spread=prediction_spread(scored),
     )

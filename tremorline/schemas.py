@@ -75,3 +75,17 @@ SCORED_FILES = T.StructType([
         T.StructField("phi", T.DoubleType()),
     ]))),
 ])
+
+_METRICS = ("auc_roc", "avg_precision", "threshold_05_precision", "threshold_05_recall", "threshold_05_f1")
+#: What is kept of an analysis, by repository.
+RESULT_TABLES = {
+    "ranked": T.StructType([
+        T.StructField("repo", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("risk_score", T.DoubleType()),
+        T.StructField("top_drivers", T.ArrayType(T.StringType())), T.StructField("total_commits", T.LongType()),
+        T.StructField("churn_30d", T.LongType()), T.StructField("bus_factor_score", T.DoubleType()),
+        T.StructField("coupling_score_max", T.DoubleType()), T.StructField("rank", T.LongType()),
+    ]),
+    "metrics": T.StructType([T.StructField("repo", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in _METRICS]]),
+    "pr_curve": T.StructType([T.StructField("repo", T.StringType()),
+                              *[T.StructField(c, T.DoubleType()) for c in ("threshold", "recall", "precision", "no_skill")]]),
+}
