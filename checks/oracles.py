@@ -456,6 +456,7 @@ ORACLES = {name: _with(sql) for name, sql in {
         pos > 0 and neg > 0 as trainable from (select repo, count(*) filter (where in_train and label = 1) as pos,
             count(*) filter (where in_train and label = 0) as neg from flags group by repo)""",
     "constant_fallback": "select distinct repo, file_path, 0.5::double as probability from event_facts",
+    "churn_threshold_approx": "select distinct repo, true as near from churn",
     "train_model": "select repo, file_path, (margin > 0)::bigint as predicted, y::bigint as label from boost_2",
     "score_files": "select repo, file_path, round(1 / (1 + exp(-2 * margin)), 6) as probability from boost_2",
     "tree_attributions": "select repo, file_path, feature, round(value, 6) as value, round(phi, 6) as phi from leaf_contributions",
@@ -492,3 +493,5 @@ _KEPT = _with("""select repo, file_path, case when learns then risk_score else 5
     row_number() over (partition by repo order by case when learns then risk_score else 50 end desc, file_path) as rank
     from leaf_details join (select repo, bool_or(in_train and label = 1) and bool_or(in_train and label = 0) as learns from flags group by repo) using (repo)""")
 ORACLES |= {"refresh_ranking": _KEPT, "refresh_from_delta": _KEPT, "refresh_metrics": ORACLES["risk_metrics"]}
+# Sketches are exact for as few authors as these.
+ORACLES["unique_authors_approx"] = ORACLES["unique_authors"]

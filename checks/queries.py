@@ -284,6 +284,14 @@ def coupled_edges(i: Inputs):
     return C.partner_edges(C.co_change_pairs(i.facts, SMALL_COMMIT))
 
 
+def near_quantile(i: Inputs):
+    """Whether the rank of each repository's sketched threshold is within a hundredth of the quantile."""
+    value, limit = F.col("total_lines_changed"), F.col("threshold")
+    ranked = i.churn.join(C.churn_threshold_approx(i.churn), "repo").groupBy("repo").agg(
+        F.avg((value < limit).cast("int")).alias("below"), F.avg((value <= limit).cast("int")).alias("through"))
+    return ranked.select("repo", ((F.col("below") - 0.01 <= C.HIGH_CHURN_QUANTILE) & (F.col("through") + 0.01 >= C.HIGH_CHURN_QUANTILE)).alias("near"))
+
+
 def separate_matrix(i: Inputs):
     churn = i.churn
     return build_feature_matrix(
@@ -355,6 +363,7 @@ SPECS = {
     # authorship
     "author_counts": lambda i: A.author_counts(i.facts),
     "unique_authors": lambda i: A.unique_authors(i.facts),
+    "unique_authors_approx": lambda i: A.unique_authors_approx(A.author_sketches(i.facts), H.history_bounds(i.facts)),
     "bus_factor": lambda i: A.bus_factor(i.facts),
     "author_entropy": lambda i: A.author_entropy(i.facts),
     "authorship_features": lambda i: A.authorship_features(i.facts),
@@ -367,6 +376,7 @@ SPECS = {
     "partner_edges": lambda i: coupled_edges(i).drop("first_commit"),
     "top_partners": lambda i: C.top_partners(C.partner_edges(C.co_change_pairs(i.facts))).drop("first_commit"),
     "churn_threshold": lambda i: C.churn_threshold(i.churn),
+    "churn_threshold_approx": near_quantile,
     "high_churn_files": lambda i: C.high_churn_files(i.churn).select(*KEYS),
     "coupled_high_churn": lambda i: C.coupled_high_churn(coupled_edges(i), i.churn).select(*KEYS, "coupled_high_churn"),
     "coupling_features": lambda i: C.coupling_features(i.facts, i.churn),

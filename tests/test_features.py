@@ -230,3 +230,31 @@ def test_matrix_as_of_is_that_of_the_earlier_history(spark, make_facts):
     got, want = (sorted(map(str, df.collect())) for df in (
         matrix_from_history(facts, sources, datetime(2024, 4, 1)), matrix_from_history(early, sources)))
     assert got == want
+
+
+def test_author_sketches_merge(spark, make_facts):
+    rows = [("r", f"c{i}", f"2024-{1 + i % 6:02d}-10 00:00:00", f"a{i % 3000}", None, "busy.py") for i in range(6000)]
+    rows += [("r", f"d{i}", "2024-06-20 00:00:00", f"a{i % 7}", None, "few.py") for i in range(20)] + [("r", "e", "2024-01-01 00:00:00", None, None, "none.py")]
+    facts = make_facts(rows)
+    bounds = H.history_bounds(facts)
+    exact = {r.file_path: r for r in A.unique_authors(facts, bounds).collect()}
+    older, newer = facts.filter("commit_date < '2024-03-01'"), facts.filter("commit_date >= '2024-03-01'")
+    for sketches in (A.author_sketches(facts), A.author_sketches(older).union(A.author_sketches(newer))):
+        found = {r.file_path: r for r in A.unique_authors_approx(sketches, bounds).collect()}
+        assert set(found) == {"busy.py", "few.py"} and found["few.py"][2:] == exact["few.py"][2:]
+        for c in ("unique_authors_total", "unique_authors_30d"):
+            assert abs(found["busy.py"][c] / exact["busy.py"][c] - 1) < 0.03
+
+
+def test_churn_threshold_from_a_sketch(spark):
+    churn = spark.range(20_000).selectExpr("if(id % 4 = 0, 'a', 'b') as repo", "cast(id as string) as file_path", "pmod(xxhash64(id), 100000) as total_lines_changed")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    threshold = C.churn_threshold_approx(churn)
+    hot = C.high_churn_files(churn, approximate=True)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    for row in threshold.collect():
+        below = churn.filter(F.col("repo") == row.repo).agg(F.avg((F.col("total_lines_changed") < row.threshold).cast("int"))).first()[0]
+        assert abs(below - 0.75) < 0.01
+    shares = {r.repo: r.n for r in hot.groupBy("repo").agg(F.count("*").alias("n")).collect()}
+    assert abs(shares["a"] / 5000 - 0.25) < 0.01 and abs(shares["b"] / 15000 - 0.25) < 0.01

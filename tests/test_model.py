@@ -228,3 +228,57 @@ def test_constant_features_and_empty_sets(matrix):
     assert len(L.Boosting(own, F.lit(1.0)).grow(2).trees) == 2
     empty = L.Boosting(own.filter("false"), F.lit(1.0)).grow(1)
     assert [leaf["value"] for leaf in empty.leaves()] == [0.0]
+
+
+def random_leaves(rng, trees, depth, features):
+    """Leaves of random trees, grown along one path to ``depth``, with side leaves."""
+    leaves = []
+    for tree in range(trees):
+        tests, leaf_id = {}, 0
+        for _ in range(depth):
+            f, limit, share = rng.randrange(features), rng.randint(1, 18) + 0.5, rng.uniform(0.1, 0.9)
+            lo, hi, cover = tests.get(f, (-np.inf, np.inf, 1.0))
+            for bounds, part in (((max(lo, limit), hi), 1 - share), ((lo, min(hi, limit)), share)):
+                path = {**tests, f: (*bounds, cover * part)}
+                leaf_id += 1
+                leaves.append({"tree_id": tree, "leaf_id": leaf_id, "value": rng.uniform(-1, 1), "path": [
+                    {"feature": g, "lo": a, "hi": b, "cover_ratio": c} for g, (a, b, c) in sorted(path.items())]})
+            leaves.pop()
+            tests = path
+        leaves.append({**leaves[-1], "leaf_id": leaf_id + 1, "value": 0.25, "path": [
+            {"feature": g, "lo": a, "hi": b, "cover_ratio": c} for g, (a, b, c) in sorted(tests.items())]})
+    return leaves
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 7])
+def test_quadrature_equals_sums_over_sets(depth):
+    rng = random.Random(depth)
+    leaves = random_leaves(rng, 3, depth, 6)
+    x = np.array([[float(rng.randint(0, 20)) for _ in range(6)] for _ in range(5)])
+    margin, phi = AT._Paths.of(leaves).explain(x)
+    for row, m, values in zip(x, margin, phi):
+        assert m == pytest.approx(expected_margin(leaves, row, set(range(6))), abs=1e-12)
+        for j in range(6):
+            others = [f for f in range(6) if f != j]
+            exact = sum(
+                math.factorial(size) * math.factorial(5 - size) / math.factorial(6)
+                * (expected_margin(leaves, row, {*known, j}) - expected_margin(leaves, row, set(known)))
+                for size in range(6) for known in itertools.combinations(others, size))
+            assert values[j] == pytest.approx(exact, abs=1e-10)
+
+
+def test_deep_paths_stay_small(monkeypatch):
+    """Paths of 16 features: sets of them would take 2**16 rows a leaf."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    leaves = random_leaves(rng, 40, 40, 22)
+    assert max(len(leaf["path"]) for leaf in leaves) >= 16
+    x = np.array([[float(rng.randint(0, 20)) for _ in range(22)] for _ in range(300)])
+    tracemalloc.start()
+    margin, phi = AT._Paths.of(leaves).explain(x)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert np.allclose(AT.base_margin(leaves) + phi.sum(axis=1), margin, atol=1e-9)
+    monkeypatch.setattr(AT, "CELLS", 50)
+    assert np.allclose(AT._Paths.of(leaves).explain(x[:4])[1], phi[:4], atol=1e-12)

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.operators.history import anchor_to_ref, file_touches, history_before, history_bounds
+from tremorline.operators.scaling import attach
 from tremorline.schemas import AUTHORSHIP_FEATURES, CHURN_FEATURES, KEYS
 
 # Trailing windows in days, and the constant added inside the logarithm.
 WINDOWS_DAYS = (30, 60, 90)
 RECENT_DAYS = 30
+#: Registers of an author sketch, as a power of two.
+AUTHOR_SKETCH_BITS = 12
 LOG_EPSILON = 1e-12
 
 Fold = tuple  # (name, aggregate, expression over one touch)
@@ -168,6 +171,25 @@ def unique_authors(facts: DataFrame, bounds: DataFrame | None = None, as_of=None
     return _authorship(facts, bounds, as_of).select(*KEYS, "unique_authors_total", "unique_authors_30d")
 
 
+def author_sketches(facts: DataFrame, bits: int = AUTHOR_SKETCH_BITS) -> DataFrame:
+    """A sketch of the named authors of each file and day; sketches of days, and of new history, merge into those of any window."""
+    touches = file_touches(facts).filter(F.col("author_name").isNotNull())
+    return touches.groupBy(*KEYS, F.to_date("commit_date").alias("day")).agg(F.hll_sketch_agg("author_name", bits).alias("authors"))
+
+
+def unique_authors_approx(sketches: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``unique_authors`` from ``author_sketches``, the recent window in whole days; files without a named author are left out.
+
+    The relative standard error is about 0.8 / sqrt(2 ** bits).
+    """
+    recent = F.col("day") >= F.to_date(F.col("ref_date") - _days(RECENT_DAYS))
+    anchored = attach(sketches, bounds.select("repo", "ref_date"), on=["repo"])
+    merged = anchored.groupBy(*KEYS).agg(
+        F.hll_union_agg("authors").alias("all"), F.hll_union_agg(F.when(recent, F.col("authors"))).alias("recent"))
+    return merged.select(*KEYS, F.hll_sketch_estimate("all").alias("unique_authors_total"),
+                         F.coalesce(F.hll_sketch_estimate("recent"), F.lit(0)).alias("unique_authors_30d"))
+
+
 def bus_factor(facts: DataFrame) -> DataFrame:
     """Share of the most active author; 0 without a named author."""
     return _without_ref(facts).select(*KEYS, "bus_factor_score")
