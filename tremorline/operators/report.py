@@ -14,6 +14,8 @@ from tremorline.operators.scaling import running_totals
 from tremorline.schemas import FEATURES, KEYS
 
 TOP_DRIVERS = 3
+#: Statistics that a file's result row shows.
+DETAILS = ["total_commits", "commit_count_30d", "bus_factor_score", "coupling_score_max"]
 
 # The sentence for each feature; the placeholder takes the feature's value.
 DRIVER_TEXTS = {
@@ -70,11 +72,10 @@ def attribution_rows(contributions: DataFrame) -> DataFrame:
     return contributions.select(*KEYS, F.inline("contributions"))
 
 
-def top_drivers(contributions: DataFrame, k: int = TOP_DRIVERS) -> DataFrame:
-    """Sentences for the ``k`` features of largest absolute attribution, either sign.
+def driver_sentences(k: int = TOP_DRIVERS) -> Column:
+    """Sentences for the ``k`` features of largest absolute attribution, either sign; ties go to the later feature.
 
-    The features of a file sit in one array in canonical order, so this is a projection; ties go to
-    the later feature.
+    The features of a file sit in one array, ``contributions``, in canonical order, so this is an expression.
     """
     strongest = F.slice(
         F.reverse(F.array_sort(F.transform(
@@ -83,7 +84,12 @@ def top_drivers(contributions: DataFrame, k: int = TOP_DRIVERS) -> DataFrame:
         ))), 1, k,
     )
     texts = F.transform(strongest, lambda s: driver_text(s["c"]["feature"], s["c"]["value"]))
-    return contributions.select(*KEYS, F.coalesce(texts, F.array().cast("array<string>")).alias("top_drivers"))
+    return F.coalesce(texts, F.array().cast("array<string>")).alias("top_drivers")
+
+
+def top_drivers(contributions: DataFrame, k: int = TOP_DRIVERS) -> DataFrame:
+    """``driver_sentences`` of every file."""
+    return contributions.select(*KEYS, driver_sentences(k))
 
 
 def global_importance(contributions: DataFrame) -> DataFrame:
@@ -98,23 +104,20 @@ def global_importance(contributions: DataFrame) -> DataFrame:
 
 def ranked_with_drivers(predictions: DataFrame, drivers: DataFrame, features: DataFrame) -> DataFrame:
     """Score, drivers and the four detail statistics of every predicted file; absent ones are empty or 0."""
-    facts = features.select(
-        *KEYS, "total_commits", F.col("commit_count_30d").alias("churn_30d"),
-        "bus_factor_score", "coupling_score_max",
-    )
-    return (
-        predictions.select(*KEYS, "probability")
-        .join(drivers, KEYS, "left")
-        .join(facts, KEYS, "left")
-        .select(
-            *KEYS,
-            risk_score(F.col("probability")).alias("risk_score"),
-            F.coalesce("top_drivers", F.array().cast("array<string>")).alias("top_drivers"),
-            F.coalesce("total_commits", F.lit(0)).cast("bigint").alias("total_commits"),
-            F.coalesce("churn_30d", F.lit(0)).cast("bigint").alias("churn_30d"),
-            exact_round(F.coalesce("bus_factor_score", F.lit(0.0)), 4).alias("bus_factor_score"),
-            exact_round(F.coalesce("coupling_score_max", F.lit(0.0)), 4).alias("coupling_score_max"),
-        )
+    facts = features.select(*KEYS, *DETAILS)
+    return detailed(predictions.select(*KEYS, "probability").join(drivers, KEYS, "left").join(facts, KEYS, "left"))
+
+
+def detailed(rows: DataFrame) -> DataFrame:
+    """Result rows from rows that hold probability, top_drivers and the statistics already."""
+    return rows.select(
+        *KEYS,
+        risk_score(F.col("probability")).alias("risk_score"),
+        F.coalesce("top_drivers", F.array().cast("array<string>")).alias("top_drivers"),
+        F.coalesce("total_commits", F.lit(0)).cast("bigint").alias("total_commits"),
+        F.coalesce("commit_count_30d", F.lit(0)).cast("bigint").alias("churn_30d"),
+        exact_round(F.coalesce("bus_factor_score", F.lit(0.0)), 4).alias("bus_factor_score"),
+        exact_round(F.coalesce("coupling_score_max", F.lit(0.0)), 4).alias("coupling_score_max"),
     )
 
 

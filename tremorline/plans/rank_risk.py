@@ -14,8 +14,8 @@ from tremorline.operators.history import (
     MIN_ROWS, commit_file_rows, file_touches, history_before, label_bugfix, settled_stats,
 )
 from tremorline.operators.matrix import split_report
-from tremorline.operators.model import BoostingParams, FittedRun, explain_predictions, fit_and_score
-from tremorline.operators.report import prediction_spread, rank_files, ranked_with_drivers
+from tremorline.operators.model import BoostingParams, FittedRun, fit_and_score
+from tremorline.operators.report import DETAILS, detailed, driver_sentences, global_importance, prediction_spread, rank_files
 from tremorline.operators.scaling import attach
 from tremorline.plans.feature_matrix import matrix_from_touches
 from tremorline.schemas import KEYS
@@ -76,17 +76,14 @@ def rank_touches(
     matrix = materialize(by_repo, "matrix")
     fitted = fit(matrix, params)
     scored = fitted.scored
-    curve = score_curve(
-        scored.join(matrix.select(*KEYS, "label"), KEYS).select(
-            "repo", F.col("label").alias("y"), F.col("probability").alias("score")
-        )
-    )
-    drivers, importance = explain_predictions(scored)
+    # One join gives label and statistics to every scored row; drivers are an expression over it.
+    judged = scored.join(matrix.select(*KEYS, "label", *DETAILS), KEYS)
+    curve = score_curve(judged.select("repo", F.col("label").alias("y"), F.col("probability").alias("score")))
     return RiskAnalysis(
-        ranked=rank_files(ranked_with_drivers(scored, drivers, matrix)),
+        ranked=rank_files(detailed(judged.withColumn("top_drivers", driver_sentences()))),
         metrics=evaluate_curve(curve),
         pr_curve=pr_curve(curve),
-        importance=importance,
+        importance=global_importance(scored),
         matrix=matrix,
         fitted=fitted,
         rejected=rejected,
