@@ -1,10 +1,12 @@
+import math
 from collections import Counter
+from hashlib import md5
 from zlib import crc32
 
 import pytest
 from pyspark.sql import functions as F
 
-from tremorline.llm.sharding import Shard, even_tree, place, shard_documents
+from tremorline.llm.sharding import Shard, Tree, _descend, _literal, _nodes, _NODE, even_tree, place, shard_documents
 
 
 def _shards(df, tree):
@@ -18,29 +20,76 @@ def many(spark):
 
 @pytest.mark.parametrize("n", [1, 4, 5, 8, 11, 16])
 def test_one_more_shard_only_takes(many, n):
-    before, after = _shards(many, even_tree(n)), _shards(many, even_tree(n + 1))
+    before, after = _shards(many, even_tree(n)), _shards(many, even_tree(n, added=1))
     moved = {d for d in before if before[d] != after[d]}
     assert moved and {after[d][2] for d in moved} == {n}
 
 
+UNEVEN = Tree((Shard(0, 0, 0, 1.0), Shard(0, 0, 1, 3.0), Shard(0, 1, 2, 2.0), Shard(1, 0, 3, 4.0), Shard(1, 0, 4, 0.0)))
+
+
+def _fair(found, weights):
+    counts, total = Counter(s for _, _, s in found.values()), sum(weights.values())
+    for shard, weight in weights.items():
+        assert abs(counts[shard] - len(found) * weight / total) < 150
+
+
 def test_weights_and_confined_movement(many):
-    tree = [Shard(0, 0, 0, 1.0), Shard(0, 0, 1, 3.0), Shard(0, 1, 2, 2.0), Shard(1, 0, 3, 4.0), Shard(1, 0, 4, 0.0)]
-    before = _shards(many, tree)
-    counts = Counter(s for _, _, s in before.values())
-    for s in tree:
-        assert abs(counts[s.shard] - 600 * s.weight) < 150
-    assert Counter(r for r, _, _ in before.values())[1] == counts[3]
-    heavier = [s if s.shard != 2 else Shard(0, 1, 2, 5.0) for s in tree]
-    after = _shards(many, heavier)
-    assert {after[d][2] for d in before if before[d] != after[d]} == {2}
-    lighter = [s if s.shard != 1 else Shard(0, 0, 1, 1.0) for s in tree]
-    after = _shards(many, lighter)
-    assert {before[d][2] for d in before if before[d] != after[d]} == {1}
+    before = _shards(many, UNEVEN)
+    _fair(before, {0: 1, 1: 3, 2: 2, 3: 4, 4: 0})
+    assert {p[:2] for p in before.values() if p[2] == 3} == {(1, 0)} and {p[:2] for p in before.values() if p[2] == 2} == {(0, 1)}
+    heavier = _shards(many, UNEVEN.changed(Shard(0, 1, 2, 3.0)))
+    assert {heavier[d][2] for d in before if before[d] != heavier[d]} == {2}
+    _fair(heavier, {0: 1, 1: 3, 2: 5, 3: 4})
+    lighter = _shards(many, UNEVEN.changed(Shard(0, 0, 1, -2.0)))
+    assert {before[d][2] for d in before if before[d] != lighter[d]} == {1}
+    _fair(lighter, {0: 1, 1: 1, 2: 2, 3: 4})
+
+
+def test_log_in_order(many):
+    log = [Shard(2, 0, 5, 2.0), Shard(1, 0, 3, -4.0), Shard(1, 0, 4, 1.0), Shard(2, 0, 5, 1.0)]
+    states = [_shards(many, UNEVEN.changed(*log[:n])) for n in range(len(log) + 1)]
+    _fair(states[-1], {0: 1, 1: 3, 2: 2, 3: 0, 4: 1, 5: 3})
+    for old, new, change in zip(states, states[1:], log):
+        moved = [d for d in old if old[d] != new[d]]
+        assert {(new if change.weight > 0 else old)[d][2] for d in moved} == {change.shard}
+    assert states[-1][0][2] in (0, 1, 2, 4, 5)
+    with pytest.raises(ValueError):
+        place(UNEVEN.changed(Shard(0, 0, 0, -2.0)), F.lit(1))
+    with pytest.raises(ValueError):
+        place(UNEVEN.changed(Shard(1, 0, 0, 2.0)), F.lit(1))
+
+
+def test_descends_level_by_level(many):
+    """The same draws in plain Python; a base with another weight in one rack leaves the order of the others' keys as it is."""
+    def u(*parts):
+        return (int(md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    tree = {0: {0: {0: 1.0, 1: 3.0}, 1: {2: 2.0}}, 1: {0: {3: 4.0}}}
+    weigh = lambda node: node if isinstance(node, float) else sum(weigh(n) for n in node.values())
+    for doc, found in list(_shards(many, UNEVEN).items())[:500]:
+        node, path = tree, ()
+        while not isinstance(node, float):
+            won = min(node, key=lambda n: -math.log(u("place 0", doc, "/".join(map(str, (*path, n))))) / weigh(node[n]))
+            node, path = node[won], (*path, won)
+        assert path == found
+    before, after = _shards(many, UNEVEN), _shards(many, Tree((*UNEVEN.base[:2], Shard(0, 1, 2, 5.0), *UNEVEN.base[3:])))
+    assert not any(after[d][0] == 1 for d in before if before[d] != after[d])  # region 1 did not change, so it takes nothing
+
+
+def test_plan_holds_a_large_tree_once(many):
+    plans = []
+    for n in (16, 4096):
+        text = many.select(_descend(_literal(_nodes(even_tree(n).base), _NODE), F.col("doc_id"), "s").alias("p"))._jdf.queryExecution().analyzed().toJSON()
+        plans.append(text.count('"class"'))
+    assert plans[0] == plans[1]
+    wide = {p[2] for p in _shards(many, even_tree(4096)).values()}
+    assert 2900 < len(wide) < 3300  # 6,000 keys over 4,096 shards leave about 23 % of these empty
 
 
 def test_edges(docs_of, edge_rows):
     df = docs_of(edge_rows, slot="kept out", Shard="kept out")
-    rows = shard_documents(df, even_tree(3), even_tree(4)).collect()
+    rows = shard_documents(df, even_tree(3), even_tree(3, added=1).log).collect()
     assert len(rows) == len(edge_rows)
     for r in rows:
         raw = (r.text or "").encode()
@@ -56,4 +105,4 @@ def test_edges(docs_of, edge_rows):
 
 def test_needs_weight():
     with pytest.raises(ValueError):
-        place([Shard(0, 0, 0, 0.0)], F.lit(1))
+        place(Tree((Shard(0, 0, 0, 0.0),)), F.lit(1))

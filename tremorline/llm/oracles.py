@@ -21,22 +21,27 @@ _CRC = """
     from bytes, crc_table)"""
 
 
-def _draws(shards: int) -> str:
-    u = _UNIFORM.format(key=f"'place 0|' || {_ID} || '|' || s::varchar")
-    return f"list_transform(range(0, {shards}), lambda s: {{'draw': -ln({u}), 'shard': s}})"
+def _won(names: str, of: int) -> str:
+    """Which of the ``of`` nodes of weight ``w`` named by ``n`` has the least draw."""
+    u = _UNIFORM.format(key=f"'place 0|' || {_ID} || '|' || {names}")
+    return f"list_min(list_transform(range(0, {of}), lambda n: {{'draw': -ln({u}) / w, 'node': n}})).node"
 
 
 ORACLES: dict[str, str] = {
     "op1_hash_tree_shards": f"""
 with recursive {_CRC},
+regions as (select *, 8.0::double as w from sized),
+in_region as (select * exclude w, {_won("n::varchar", 2)} as region, 4.0::double as w from regions),
+in_rack as (select * exclude w, {_won("region::varchar || '/' || n::varchar", 2)} as rack, 1.0::double as w from in_region),
 placed as (
-  select *, list_min({_draws(16)}).shard::int as shard, list_min({_draws(17)}).shard::int as grown_shard,
+  select *, region * 8 + rack * 4 + {_won("region::varchar || '/' || rack::varchar || '/' || (region * 8 + rack * 4 + n)::varchar", 4)} as shard,
+    {_UNIFORM.format(key=f"'place 0|' || {_ID} || '|change 0'")} < 1.0::double / 17 as moves,
     ('0x' || substr(md5('piece|' || {_ID} || '|' || size::varchar || '|' || text_crc32::varchar), 1, 8))::bigint % 4096
       as piece
-  from sized)
-select doc_id, size, text_crc32, 'key' as law, shard,
-  row_number() over (partition by shard order by piece, doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard,
-  (shard // 8)::int as region, (shard // 4 % 2)::int as rack
+  from in_rack)
+select doc_id, size, text_crc32, 'key' as law, shard::int as shard,
+  row_number() over (partition by shard order by piece, doc_id nulls first, size, text_crc32) - 1 as slot,
+  (case when moves then 16 else shard end)::int as grown_shard, region::int as region, rack::int as rack
 from placed""",
     "op2_poisson_mixture": f"""
 with recursive {_CRC},

@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), sharding.even_tree(SHARDS),
-                                      sharding.even_tree(SHARDS + 1))
+                                      grown=sharding.even_tree(SHARDS, added=1).log)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard",
                          "region", "rack")
 

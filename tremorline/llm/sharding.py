@@ -1,6 +1,7 @@
 """Placing documents into shards by a tree of weighted hash draws."""
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,42 +23,131 @@ class Shard:
     weight: float = 1.0
 
 
-def even_tree(shards: int, per_rack: int = 4, racks_per_region: int = 2) -> list[Shard]:
-    """Shards 0..n-1 of equal weight; a rack and a region are opened when the one before is full."""
-    return [Shard(s // (per_rack * racks_per_region), s // per_rack % racks_per_region, s) for s in range(shards)]
+@dataclass(frozen=True)
+class Tree:
+    """Shards that a key descends to, and the later changes of weight, in order: ``weight`` gained, or lost where it is negative."""
 
+    base: tuple[Shard, ...]
+    log: tuple[Shard, ...] = ()
 
-def _least(nodes: Sequence[Column]) -> Column:
-    return nodes[0] if len(nodes) == 1 else F.least(*nodes)
+    def changed(self, *log: Shard) -> Tree:
+        return Tree(self.base, (*self.log, *log))
 
 
-def place(tree: Sequence[Shard], key: Column, seed: int = 0) -> Column:
-    """``struct(draw, region, rack, shard)`` of the shard where the key lands.
+def _even(shard: int, per_rack: int, racks_per_region: int) -> Shard:
+    return Shard(shard // (per_rack * racks_per_region), shard // per_rack % racks_per_region, shard)
 
-    A shard draws ``-ln(u) / weight`` with u hashed from key and shard. The draw of a rack is the least of its
-    shards' draws, the draw of a region the least of its racks': an exponential draw with the summed weight, so a
-    node wins with probability weight / total, at every level. Descending means taking the region with the least
-    draw, in it the rack, in that the shard. As an inner node has no draw of its own, a key moves only
-    if the draw of a shard whose weight changed wins or ceases to win: a shard that is added or made heavier only
-    takes keys, one that is removed or made lighter only gives them, and other subtrees exchange none.
-    Shards of weight 0 take nothing. Equal draws go to the lower region, rack, shard.
-    """
-    regions: dict[int, dict[int, list[Column]]] = {}
-    for s in tree:
-        if s.weight <= 0:
-            continue
-        draw = -F.ln(uniform(F.lit(f"place {seed}"), key, F.lit(s.shard))) / F.lit(float(s.weight))
-        leaf = F.struct(draw.alias("draw"), F.lit(s.region).alias("region"), F.lit(s.rack).alias("rack"),
-                        F.lit(s.shard).alias("shard"))
-        regions.setdefault(s.region, {}).setdefault(s.rack, []).append(leaf)
-    if not regions:
+
+def even_tree(shards: int, per_rack: int = 4, racks_per_region: int = 2, added: int = 0) -> Tree:
+    """Shards 0..n-1 of equal weight and ``added`` later ones; a rack and a region are opened when the one before is full."""
+    tree = Tree(tuple(_even(s, per_rack, racks_per_region) for s in range(shards)))
+    return tree.changed(*[_even(s, per_rack, racks_per_region) for s in range(shards, shards + added)])
+
+
+_NODE = "array<struct<name:string, weight:double, first:int, size:int, region:int, rack:int, shard:int>>"
+_STEP = f"array<struct<name:string, chance:double, region:int, rack:int, shard:int, lost:boolean, nodes:{_NODE}>>"
+
+
+def _nodes(shards: Sequence[Shard]) -> list[dict]:
+    """The tree as a list, children of a node side by side: the root, its regions, their racks, their shards."""
+    levels = [lambda s: (), lambda s: (s.region,), lambda s: (s.region, s.rack), lambda s: (s.region, s.rack, s.shard)]
+    shards = sorted((s for s in shards if s.weight > 0), key=lambda s: (s.region, s.rack, s.shard))
+    if not shards:
         raise ValueError("a tree needs a shard of positive weight")
-    return _least([_least([_least(shards) for shards in racks.values()]) for racks in regions.values()])
+    out: list[dict] = []
+    places: dict[tuple, int] = {}
+    for level in levels:
+        for s in shards:
+            path = level(s)
+            if path not in places:
+                places[path] = len(out)
+                out.append({"name": "/".join(map(str, path)), "weight": 0.0, "first": 0, "size": 0,
+                            "region": s.region, "rack": s.rack, "shard": s.shard})
+                if path:
+                    above = out[places[path[:-1]]]
+                    above["first"] = above["first"] or len(out) - 1
+                    above["size"] += 1
+            out[places[path]]["weight"] += float(s.weight)
+    return out
+
+
+def _literal(value: list[dict], kind: str) -> Column:
+    """A constant the optimizer folds, so that a plan has one expression for it however large the tree is."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _descend(tree: Column, key: Column, seed: str) -> Column:
+    """The leaf a key reaches: at each of the three levels the child with the least ``-ln(u) / weight``; ties go to the first."""
+    def leaf(nodes: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            def draw(child: Column, i: Column) -> Column:
+                u = uniform(F.lit(seed), key, child["name"])
+                return F.struct((-F.ln(u) / child["weight"]).alias("draw"), (F.get(nodes, at)["first"] + i).alias("node"))
+
+            return F.array_min(F.transform(F.slice(nodes, F.get(nodes, at)["first"] + 1, F.get(nodes, at)["size"]), draw))["node"]
+
+        return F.get(nodes, F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(0), step))
+
+    def named(node: Column) -> Column:
+        return F.struct(node["region"].alias("region"), node["rack"].alias("rack"), node["shard"].alias("shard"))
+
+    # As arguments of functions the tree and the leaf stand in the plan once.
+    return F.get(F.transform(F.transform(F.array(tree), leaf), named), F.lit(0))
+
+
+def _steps(tree: Tree, known: int) -> list[dict]:
+    """The changes of the log after the first ``known``, each with its chance to move a key."""
+    weights = {s.shard: s for s in tree.base}
+    out = []
+    for number, change in enumerate(tree.log):
+        old = weights.get(change.shard, Shard(change.region, change.rack, change.shard, 0.0))
+        if (old.region, old.rack) != (change.region, change.rack):
+            raise ValueError(f"shard {change.shard} is in another rack")
+        if old.weight + change.weight < 0:
+            raise ValueError(f"shard {change.shard} loses more than it has")
+        weights[change.shard] = Shard(old.region, old.rack, old.shard, old.weight + change.weight)
+        lost = change.weight < 0
+        total = sum(s.weight for s in weights.values())
+        step = {"name": f"change {number}", "region": old.region, "rack": old.rack, "shard": old.shard, "lost": lost,
+                "chance": -change.weight / old.weight if lost else change.weight / total if change.weight else 0.0,
+                "nodes": _nodes(list(weights.values())) if lost else None}
+        if number >= known:
+            out.append(step)
+    return out
+
+
+def follow(tree: Tree, place: Column, key: Column, seed: int = 0, known: int = 0) -> Column:
+    """Where the changes after the first ``known`` leave a key that is at ``place``."""
+    steps = _steps(tree, known)
+    if not steps:
+        return place
+
+    def apply(at: Column, step: Column) -> Column:
+        here = F.struct(step["region"].alias("region"), step["rack"].alias("rack"), step["shard"].alias("shard"))
+        moves = uniform(F.lit(f"place {seed}"), key, step["name"]) < step["chance"]
+        again = _descend(step["nodes"], key, f"place {seed} again")
+        return F.when(~moves | (step["lost"] & (at["shard"] != step["shard"])), at).when(step["lost"], again).otherwise(here)
+
+    return F.aggregate(_literal(steps, _STEP), place, apply)
+
+
+def place(tree: Tree, key: Column, seed: int = 0) -> Column:
+    """``struct(region, rack, shard)`` of the shard where the key lands.
+
+    The key descends the base tree: regions draw ``-ln(u) / weight`` with their summed weight and u hashed from key and region,
+    the least wins; its racks draw, then the rack's shards. So draws follow the path only, and a node wins with probability
+    weight / total at each level. A base with other weights moves keys within and between subtrees whose weights differ.
+
+    The log keeps movement least. A change that gains weight takes each key with probability gained / new total, straight to the shard
+    that gained; nothing else moves. One that loses weight sends the shard's keys on with probability lost / old weight; these descend the
+    tree as it is after the change. Either way shards hold shares by weight. A change costs one draw; a long log is best
+    folded into a new base when rows are moved anyway. Shards of weight 0 take nothing.
+    """
+    return follow(tree, _descend(_literal(_nodes(tree.base), _NODE), key, f"place {seed}"), key, seed)
 
 
-def shard_documents(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shard] | None = None, seed: int = 0,
-                    pieces: int = PIECES) -> DataFrame:
-    """``docs`` with size, text_crc32, region, rack, shard, slot and, given a grown tree, grown_shard.
+def shard_documents(docs: DataFrame, tree: Tree, grown: Sequence[Shard] = (), seed: int = 0, pieces: int = PIECES) -> DataFrame:
+    """``docs`` with size, text_crc32, region, rack, shard, slot and, given further changes ``grown``, grown_shard.
 
     The shard follows from doc_id and the tree alone. size is the UTF-8 bytes of the text plus 1 and text_crc32 their
     unsigned CRC-32; a null text has no bytes. Slots number the rows of a shard from 0 without gaps, ordered by a
@@ -67,12 +157,13 @@ def shard_documents(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shar
     """
     added = ["size", "text_crc32", "region", "rack", "shard", "slot", "grown_shard"]
     order = [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
-    rows = without(docs, *added, "_place", "_piece", "_count", "_start").withColumns({
+    rows = without(docs, *added, "_place", "_grown", "_piece", "_count", "_start").withColumns({
         "size": F.octet_length(whole("text")).cast("long") + 1,
         "text_crc32": F.crc32(whole("text").cast("binary")),
         "_place": place(tree, F.col("doc_id"), seed),
-        **({"_grown": place(grown, F.col("doc_id"), seed)} if grown else {}),
     })
+    if grown:
+        rows = rows.withColumn("_grown", follow(tree.changed(*grown), F.col("_place"), F.col("doc_id"), seed, len(tree.log)))
     piece_key = F.md5(key_text(F.lit("piece"), F.col("doc_id"), F.col("size"), F.col("text_crc32")).cast("binary"))
     rows = rows.withColumns({
         "region": F.col("_place.region"), "rack": F.col("_place.rack"), "shard": F.col("_place.shard"),
