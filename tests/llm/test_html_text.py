@@ -70,3 +70,38 @@ def test_edges(spark, model, pages):
     assert text[1, ""] == text[None, ""] == "" and text[7, "<article><p>"] == ("w " * 50_000).strip() and text[3, "<article><di"] == "deep"
     assert extract_pages(df.filter("false"), model).count() == 0
     assert fit_pages(df.filter("false")).counts == TreeModel.prior()
+
+
+LONG = "A paragraph of the article itself that goes on for quite some length, with over a hundred characters and no link in it at all, as they do."
+OWN = ['<section id="discussion">', '<div id="related-work">', '<section class="legal">', '<div class="widget">', '<section class="tabs">',
+       '<section class="search-results">', '<section id="notice-period">', '<div class="alert banner">']
+
+
+@pytest.mark.parametrize("opening", OWN)
+def test_names_of_an_articles_own_sections(model, opening):
+    close = "</" + opening[1:].split()[0] + ">"
+    body = f"<body><nav><a href=x>Home</a></nav><article><h1>Head</h1><p>{LONG}</p>{opening}<h2>Sub</h2><p>{LONG}</p>{close}<p>End.</p></article>"
+    outside = f"{opening}<p>{COMMENT}</p><a href=x>more of this</a>{close}<div class=comments><p>{COMMENT}</p></div></body>"
+    for m in (model, TreeModel.prior_with({})):
+        assert main_text(body + outside, Potentials(m), 0.5)[0] == f"Head {LONG} Sub {LONG} End."
+
+
+def test_heading_and_page_wide_form(model):
+    page = f"""<body><form id=aspnet><div class=search><label>Search</label></div><article><h1>Head</h1><p>{LONG}</p><h2 id="follow-up">Later</h2><p>{LONG}</p>
+    <form class=x><label>Mail</label><p>Your address</p></form><div class=sponsored-links><p>{COMMENT}</p></div></article><form><p>Ask us</p></form></form></body>"""
+    for m in (model, TreeModel.prior_with({})):
+        assert main_text(page, Potentials(m), 0.5)[0] == f"Head {LONG} Later {LONG}"
+
+
+def test_labelled_pages_teach_a_name(spark):
+    links = "".join(f"<p><a href=x>{w} and some more words to read</a></p>" for w in ("One", "Two", "Three"))
+    probe = f"<body><article><p>{LONG}</p><div class=widget>{links}</div></article></body>"
+
+    def taught(inside, outside):
+        body = f"<body><article><p>{LONG}</p>{inside}</article>{outside}</body>"
+        pages = spark.createDataFrame([(i, body) for i in range(400)], "page_id long, html string")
+        return main_text(probe, Potentials(fit_pages(pages)), 0.5)[0]
+
+    own, other = f"<div class=widget>{links}</div>", f"<aside class=widget>{links}</aside><div class=widget>{links}</div>"
+    assert "Three" in taught(own, "") and "Three" in taught(own, other)
+    assert "Three" not in taught("", other)

@@ -49,8 +49,16 @@ _WORDS = {
     "content": ("article", "content", "post", "entry", "main", "story", "body", "text", "maintext"),
 }
 _MEANING = {word: kind for kind, words in _WORDS.items() for word in words}
-_OUTSIDE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "silent"}
+# Of these, the words that an article's own sections bear as well; their kinds end in "?".
+_UNSURE = {
+    "promo", "promotion", "banner", "toc", "tabs", "toolbar", "aside", "widget", "related", "recommended", "rail", "trending", "complementary",
+    "replies", "reply", "respond", "discussion", "notice", "alert", "consent", "subscription", "follow", "login", "signup", "search", "form", "rating",
+    "foot", "legal",
+}
+_OUTSIDE = {"nav", "footer", "aside", "button", "menu", "dialog"}
+_FORMS = {"form", "fieldset"}
 _AGAINST = {"ad", "menu", "aside", "comment", "notice", "share", "footer"}
+_MAYBE = {f"{kind}?" for kind in _AGAINST}
 
 
 @dataclass(frozen=True)
@@ -79,8 +87,8 @@ class Page:
 
 
 def _kind(attributes: str, tag: str) -> str:
-    """The kind that class, id and role name; of several, one that is no article text, except for the page's large frames."""
-    found = ""
+    """The kind that class, id and role name; of several, one that is no article text, sure ones first, except for the page's large frames."""
+    found = maybe = ""
     for m in _NAMED.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").split():
             tokens = _TOKEN.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
@@ -89,9 +97,12 @@ def _kind(attributes: str, tag: str) -> str:
             kinds = [_MEANING[t] for t in tokens if t in _MEANING]
             against = [k for k in kinds if k in _AGAINST]
             if against and tag not in ("html", "body", "main", "article"):
-                return against[0]
+                sure = [_MEANING[t] for t in tokens if _MEANING.get(t) in _AGAINST and t not in _UNSURE]
+                if sure:
+                    return sure[0]
+                maybe = maybe or f"{against[0]}?"
             found = found or next((k for k in kinds if k not in _AGAINST), "")
-    return found
+    return maybe or found
 
 
 def parse(source: str) -> Page:
@@ -184,7 +195,8 @@ def _traits(block: Block) -> tuple[tuple[str, str], tuple[str, str], tuple[str,
     """What the block potential looks at: tag, kind, and length with link share."""
     length = 0 if block.chars == 0 else 1 if block.chars < 30 else 2 if block.chars < 120 else 3
     linked = 0 if not block.chars or block.linked * 3 < block.chars else 1
-    return ("tag", block.tag), ("kind", block.kind), ("shape", f"{length}{linked}")
+    # What an unsure name means depends on what is around the block, so it is left to the steps.
+    return ("tag", block.tag), ("kind", "" if block.kind in _MAYBE else block.kind), ("shape", f"{length}{linked}")
 
 
 #: Labels of blocks: no article text, nor anything inside; article text; or a frame that may hold either.
@@ -196,7 +208,8 @@ _SEEN = 20.0
 def labels(page: Page) -> list[int] | None:
     """Labels of a page that has an article element (or, without any, main); None for other pages.
 
-    Blocks inside it are content, but for elements that hold no article text and what is in them; the blocks around it are frames.
+    Place decides: blocks around it are frames, other blocks outside aside, blocks inside content, whatever unsure names they bear. Inside, only
+    elements that hold no article text, blocks with a sure name and what is in them are aside.
     """
     homes = {b.tag for b in page.blocks} & {"article", "main"}
     if not homes:
@@ -212,12 +225,14 @@ def labels(page: Page) -> list[int] | None:
     out: list[int] = []
     for i, block in enumerate(page.blocks):
         above = out[block.parent] if block.parent >= 0 else FRAME
-        if above == ASIDE or block.tag in _OUTSIDE or block.kind in _AGAINST:
+        if i in frames:
+            out.append(FRAME)
+        elif above == ASIDE or block.tag in _OUTSIDE or block.tag in _FORMS or block.kind in _AGAINST:
             out.append(ASIDE)
         elif above == CONTENT or block.tag == home:
             out.append(CONTENT)
         else:
-            out.append(FRAME if i in frames else ASIDE)
+            out.append(ASIDE)
     return out
 
 
@@ -253,6 +268,13 @@ class TreeModel:
         for shape, aside, content in (("00", 5, 5), ("10", 10, 10), ("20", 10, 20), ("30", 5, 30), ("11", 20, 1), ("21", 20, 1), ("31", 20, 1)):
             out["trait", ASIDE, "shape", shape], out["trait", CONTENT, "shape", shape] = float(aside), float(content)
         out["trait", FRAME, "shape", "00"], out["trait", FRAME, "shape", "10"] = 40.0, 1.0
+        # An unsure name outside the article, or a form, is aside unless much text speaks against it; inside, the block's own text decides.
+        for kind in sorted(_MAYBE):
+            out["step", FRAME, ASIDE, "", kind] = 1e6
+            out["step", CONTENT, ASIDE, "", kind] = 1.0
+        for tag in sorted(_FORMS):
+            out["step", FRAME, ASIDE, tag, "*"] = 1e3
+            out["step", CONTENT, ASIDE, tag, "*"] = 1e6
         steps = {ASIDE: (1e9, 0.001, 0.001), CONTENT: (0.2, 50.0, 0.001), FRAME: (2.0, 1.0, 2.0)}
         for above, amounts in steps.items():
             for label in _LABELS:
@@ -262,15 +284,17 @@ class TreeModel:
 
     @staticmethod
     def prior_with(learned: dict[tuple, float]) -> TreeModel:
-        """The prior plus learned counts. A trait's value counts as at most ``_SEEN`` blocks in all, a kind of step likewise: the pages
-        that label themselves are no fair sample, so what they never show must not become impossible."""
+        """The prior plus learned counts. Steps of blocks with an unsure name, or of forms, count in full, so that labelled pages teach what
+        such names mean inside an article and outside. A trait's value, and a step of other blocks, has a weight of at most ``_SEEN`` blocks
+        against the prior: the pages that label themselves are no fair sample, so what they never show must not become impossible."""
         totals: Counter = Counter()
         for key, n in learned.items():
             totals[key[0], key[1] if key[0] == "step" else None, key[-2:]] += n
         counts = TreeModel.prior()
         for key, n in learned.items():
             total = totals[key[0], key[1] if key[0] == "step" else None, key[-2:]]
-            counts[key] = counts.get(key, 0) + n * _SEEN / (total + _SEEN)
+            full = key[0] == "step" and (key[-1] in _MAYBE or key[-2] in _FORMS)
+            counts[key] = counts.get(key, 0) + (n if full else n * _SEEN / (total + _SEEN))
         return TreeModel(counts)
 
     def add(self, page: Page, truth: Sequence[int]) -> None:
@@ -310,9 +334,10 @@ class Potentials:
         """For each label of the parent, the probabilities of the child's labels."""
         key = (block.tag, block.kind)
         if key not in self._steps:
+            names = [key] + [("", block.kind)] * (block.kind in _MAYBE) + [(block.tag, "*")] * (block.tag in _FORMS)
             self._steps[key] = tuple(
-                _scaled(tuple(self.counts.get(("step", above, label, *key), 0) + self.counts.get(("step", above, label, "", ""), 0.5)
-                              for label in _LABELS)) for above in _LABELS)
+                _scaled(tuple(sum(self.counts.get(("step", above, label, *name), 0) for name in names) +
+                              self.counts.get(("step", above, label, "", ""), 0.5) for label in _LABELS)) for above in _LABELS)
         return self._steps[key]
 
 
@@ -381,7 +406,8 @@ def extract_pages(pages: DataFrame, model: TreeModel, rule: PageRule = PageRule(
 
     Every block element is a node; a node's label says whether the text directly in it is content. Block potentials weigh element
     name, class words, length and link share; parent-child potentials tie a block to the one around it. The marginals
-    of both, exact on a tree, decide. Scripts, styles and the like have no text. Character references are decoded, white space inside a
+    of both, exact on a tree, decide. Elements such as nav and aside, and names such as comments or sidebar, are never content;
+    other names (widget, related, notice, ...) and forms weigh by what is around and inside them. Scripts, styles and the like have no text. Character references are decoded, white space inside a
     block becomes one space, blocks are joined by one space in page order. A null or empty page gives the empty text. Input
     columns named like results are replaced; ``carry`` names the input columns returned (all).
     """
