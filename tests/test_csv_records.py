@@ -69,8 +69,10 @@ def test_accepted_and_rejected_are_the_input(spark, small_blocks, tmp_path):
             lines += ["too,few", "", f"r,h{i}x,2024-01-01 00:00:00,1,m,more"]
     (tmp_path / "f.csv").write_text("\n".join(lines) + "\n")
     path = str(tmp_path / "f.csv")
-    accepted, rejected = read_change_records(spark, path, "csv"), rejected_change_records(spark, path, "csv")
+    accepted, rejected = read_change_records(spark, path, "csv", split=True), rejected_change_records(spark, path, "csv", split=True)
     assert accepted.count() == sum(1 for i in range(600) if i % 7)
+    for cut, whole in ((accepted, read_change_records(spark, path, "csv")), (rejected, rejected_change_records(spark, path, "csv"))):
+        assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
     assert rejected.count() == 24 + sum(1 for i in range(600) if i % 7 == 0)
     assert accepted.filter(F.col("message").rlike("^first \"[0-9]+\"\nsecond, line$")).count() == accepted.count()
 
