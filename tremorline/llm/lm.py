@@ -188,8 +188,8 @@ def _blocks(docs: DataFrame, model: LanguageModel, tasks: int) -> DataFrame:
 _CHUNK = 16_384
 
 
-def _trained(blocks: DataFrame, start: np.ndarray, rule: LmRule, tasks: int) -> DataFrame:
-    """``(chunk, part, n, sums)``: per task, its weights times its number of blocks, in chunks."""
+def _trained(blocks: DataFrame, start: np.ndarray, rule: LmRule) -> DataFrame:
+    """``(chunk, part, n, sums)``: per task, its weights times its number of blocks, in chunks. A task's blocks are in one partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
 
@@ -210,8 +210,7 @@ def _trained(blocks: DataFrame, start: np.ndarray, rule: LmRule, tasks: int) ->
         if held:
             yield finished()
 
-    # Task numbers are partition numbers: hashed, several tasks would share a partition and others stay empty.
-    dealt = blocks.repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "rank", "tokens")
+    dealt = blocks.sortWithinPartitions("task", "rank", "tokens")
     return dealt.mapInArrow(run, "chunk int, part int, n long, sums binary")
 
 
@@ -263,7 +262,9 @@ def fit_language_model(docs: DataFrame, counted: DataFrame, rule: LmRule = LmRul
     for r in range(rounds):
         first = r * (r + 1) // 2
         share = blocks.filter(F.col("task").between(first, first + r)).withColumn("task", F.col("task") - first)
-        trained = _added(_trained(share, model.weights, rule, r + 1), r + 1)
+        # Task numbers are partition numbers: hashed, several tasks would share a partition and others stay empty.
+        share = share.repartitionById(r + 1, F.col("task"))
+        trained = _added(_trained(share, model.weights, rule), r + 1)
         model.weights = model.weights if trained is None else trained
     return model
 
