@@ -83,3 +83,19 @@ def test_labels_of_other_documents_do_not_fill_the_sample(docs_of, spark):
     others = spark.range(10_000, 60_000).selectExpr("id AS doc_id", "0 AS toxic")
     alone, among = (fit_toxicity(docs_of(rows), x, rule) for x in (known, known.unionByName(others)))
     assert np.count_nonzero(alone.weights) and np.array_equal(alone.weights, among.weights)
+
+
+def test_ids_may_be_texts(docs_of, spark):
+    rows, labels = _rows(300, 4)
+    rule = ToxicityRule(bits=14, steps=60)
+    docs, known = docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    named = docs.selectExpr("concat('doc-', doc_id) AS doc_id", "text", "source")
+    own = known.selectExpr("concat('doc-', doc_id) AS doc_id", "toxic")
+    digits = docs.selectExpr("cast(doc_id AS string) AS doc_id", "text", "source")
+    toxic = {i for i, t in labels if t}
+    for df, marks in ((named, own), (digits, known)):
+        found = score_toxicity(df, fit_toxicity(df, marks, rule), rule).filter("toxic").collect()
+        got = {int(r.doc_id.removeprefix("doc-")) for r in found}
+        assert len(got ^ toxic) <= 3
+    # Ids of another form match no label, so nothing is toxic.
+    assert not score_toxicity(named, fit_toxicity(named, known, rule), rule).filter("toxic").count()

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from tremorline.llm.text import whole, without
 from tremorline.llm.words import Texts, mix, pieces, slice_hashes, texts_of
@@ -155,14 +155,18 @@ def grade_toxic(begins: np.ndarray, number: np.ndarray, value: np.ndarray, toxic
     return out
 
 
-_ROW = "doc_id long, level int, given boolean, numbers binary, amounts binary"
+def _id_type(*tables: DataFrame) -> str:
+    """In which type the tables' ids are compared: as numbers where all are whole numbers, else as text."""
+    return "long" if all(isinstance(t.select("doc_id").schema[0].dataType, IntegralType) for t in tables) else "string"
 
 
 def _labelled_features(docs: DataFrame, labels: DataFrame, rule: ToxicityRule) -> DataFrame:
+    kind = _id_type(docs, labels)
+    own_id = F.col("doc_id").cast(kind).alias("doc_id")
     level = F.max("grade" if "grade" in labels.columns else "toxic").cast("int").alias("level")
-    known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(level).filter("level is not null")
+    known = labels.filter("doc_id is not null").groupBy(own_id).agg(level).filter("level is not null")
     # Labels of documents that are not here must not fill the sample; only ids are joined.
-    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    known = known.join(docs.select(own_id).distinct(), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64(F.lit(rule.seed), "doc_id"), "doc_id").limit(rule.labelled)
     given = "grade" in labels.columns
 
@@ -177,7 +181,8 @@ def _labelled_features(docs: DataFrame, labels: DataFrame, rule: ToxicityRule) -
             ], ["doc_id", "level", "given", "numbers", "amounts"])
 
     # At most rule.labelled rows of two numbers, so the sample may be broadcast; of a repeated doc_id one text counts.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).join(F.broadcast(chosen), "doc_id").mapInArrow(run, _ROW)
+    found = docs.select(own_id, whole("text").alias("text")).join(F.broadcast(chosen), "doc_id").mapInArrow(
+        run, f"doc_id {kind}, level int, given boolean, numbers binary, amounts binary")
     return found.groupBy("doc_id").agg(F.min(F.struct("level", "given", "numbers", "amounts")).alias("row")).select("doc_id", "row.*")
 
 
@@ -185,7 +190,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rule: ToxicityRule = Toxici
     """Fit on at most ``rule.labelled`` labelled documents, chosen by hash of doc_id; one task fits on their sparse features.
 
     ``labels`` has doc_id and either ``grade`` (0..K) or ``toxic`` (0/1), which is split into grades by ``grade_toxic``. Null labels and ids are
-    left out, of repeated labels the highest counts. Without labelled documents nothing is toxic.
+    left out, of repeated labels the highest counts, of the texts of a repeated doc_id the one whose features come first in order. Ids may be
+    numbers or texts; a number matches the text of its digits. Without labelled documents nothing is toxic.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.to_pylist()]
