@@ -72,48 +72,87 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _advance(w: Weights, tokens: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+def _advance(w: Weights, tokens: np.ndarray, h: np.ndarray) -> np.ndarray:
     n = h.shape[1]
     taken, kept = w["take"][tokens], h @ w["keep"]
     gates = _sigmoid(taken[:, :2 * n] + kept[:, :2 * n])
-    z, r = gates[:, :n], gates[:, n:]
-    fresh = np.tanh(taken[:, 2 * n:] + r * kept[:, 2 * n:])
-    if keep is not None:
-        keep.append((h, z, r, fresh, kept[:, 2 * n:]))
-    return fresh + z * (h - fresh)
+    fresh = gates[:, n:] * kept[:, 2 * n:]
+    fresh += taken[:, 2 * n:]
+    np.tanh(fresh, out=fresh)
+    out = h - fresh
+    out *= gates[:, :n]
+    out += fresh
+    return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
+class _Room:
+    """Arrays that one window after the other works in; memory asked for anew would be mapped anew for each."""
+
+    def __init__(self):
+        self.held: dict[tuple, np.ndarray] = {}
+
+    def of(self, name: str, dtype: np.dtype, *size: int) -> np.ndarray:
+        n = int(np.prod(size))
+        found = self.held.get((name, dtype))
+        if found is None or len(found) < n:
+            found = self.held[name, dtype] = np.empty(n, dtype)
+        return found[:n].reshape(size)
+
+
+def _with_one(states: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The states and a column of ones, so that biases take part in products."""
+    out[:, :-1] = states
+    out[:, -1] = 1
+    return out
+
+
 def _classes(tokens: np.ndarray, shape: Shape) -> np.ndarray:
     return np.where(tokens < shape.words, tokens // shape.members, tokens - shape.words + shape.classes)
 
 
-def _of_class(classes: np.ndarray, shape: Shape) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(shape.classes + 1))
-    return [(c, order[cuts[c]:cuts[c + 1]]) for c in range(shape.classes) if cuts[c] < cuts[c + 1]]
+def _by_class(classes: np.ndarray, shape: Shape) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows of single words in order of their class, and the span of each class that has some."""
+    rows = np.argsort(classes.astype(np.int16 if shape.classes + shape.groups < 1 << 15 else np.int64), kind="stable")
+    cuts = np.searchsorted(classes[rows], np.arange(shape.classes + 1)).tolist()
+    return rows[:cuts[-1]], [(c, x, y) for c, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
 
 
-def log_probabilities(w: Weights, states: np.ndarray, tokens: np.ndarray, shape: Shape) -> np.ndarray:
-    """ln P(token | state), for a rarer word that of its class."""
-    classes = _classes(tokens, shape)
-    logits = states @ w["by_class"] + w["class_bias"]
+def _log_of(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log of the softmax at the chosen column of each row; ``logits`` is used up."""
     top = logits.max(1)
-    out = logits[np.arange(len(tokens)), classes] - top
-    np.exp(logits - top[:, None], out=logits)
-    out -= np.log(logits.sum(1))
-    for c, rows in _of_class(classes, shape):
-        logits = states[rows] @ w["by_word"][c] + w["word_bias"][c]
-        top = logits.max(1)
-        own = logits[np.arange(len(rows)), tokens[rows] % shape.members] - top
-        np.exp(logits - top[:, None], out=logits)
-        out[rows] += own - np.log(logits.sum(1))
+    own = logits[np.arange(len(chosen)), chosen] - top
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
+
+def log_probabilities(w: Weights, states: np.ndarray, tokens: np.ndarray, shape: Shape, at_once: int = 4096) -> np.ndarray:
+    """ln P(token | state), for a rarer word that of its class; so many rows at once as caches hold."""
+    out = np.empty(len(tokens), states.dtype)
+    top = np.concatenate([w["by_class"], w["class_bias"][None]])
+    words = np.concatenate([w["by_word"], w["word_bias"][:, None]], axis=1)
+    room = _Room()
+    for a in range(0, len(tokens), at_once):
+        some = tokens[a:a + at_once]
+        given = _with_one(states[a:a + at_once], room.of("given", states.dtype, len(some), shape.hidden + 1))
+        classes = _classes(some, shape)
+        logits = np.matmul(given, top, out=room.of("top", states.dtype, len(some), top.shape[1]))
+        logs = _log_of(logits, classes)
+        rows, spans = _by_class(classes, shape)
+        if spans:
+            own = given[rows]
+            logits = room.of("words", states.dtype, len(rows), shape.members)
+            for c, x, y in spans:
+                np.matmul(own[x:y], words[c], out=logits[x:y])
+            logs[rows] += _log_of(logits, some[rows] % shape.members)
+        out[a:a + at_once] = logs
     return out
 
 
@@ -123,14 +162,12 @@ def score_texts(w: Weights, tokens: np.ndarray, begins: np.ndarray, shape: Shape
     order = np.argsort(-sizes, kind="stable")
     sizes, firsts = sizes[order], begins[:-1][order]
     totals = np.zeros(len(order))
+    actives = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0)))).tolist()
     h = np.zeros((len(order), shape.hidden), np.float32)
     for at in range(0, int(sizes.max(initial=0)), window):
-        active = int(np.searchsorted(-sizes, -at))
+        active = actives[at]
         states, seen, owner = [], [], []
-        for step in range(at, at + window):
-            n = int(np.searchsorted(-sizes, -step))
-            if not n:
-                break
+        for step, n in enumerate(actives[at:at + window], at):
             now = tokens[firsts[:n] + step]
             states.append(h[:n])
             seen.append(now)
@@ -144,63 +181,73 @@ def score_texts(w: Weights, tokens: np.ndarray, begins: np.ndarray, shape: Shape
     return out
 
 
-def _gradients(w: Weights, tokens: np.ndarray, valid: np.ndarray, h: np.ndarray, shape: Shape) -> tuple[Weights, np.ndarray]:
-    """Gradient of the mean log-likelihood of a window (steps x texts), back through its steps only, and the last state."""
+def _gradients(w: Weights, tokens: np.ndarray, valid: np.ndarray, h: np.ndarray, shape: Shape, room: _Room | None = None) -> tuple[Weights, np.ndarray]:
+    """Gradient of the mean log-likelihood of a window (steps x texts), back through its steps only, and the last state.
+
+    The gradients are views of the room's array "gradients", which the next window fills again.
+    """
     steps, lanes = tokens.shape
-    n = shape.hidden
-    taken = w["take"][tokens]
+    n, dtype, room = shape.hidden, h.dtype, room or _Room()
+    taken = np.take(w["take"], tokens, axis=0, out=room.of("taken", dtype, steps, lanes, 3 * n), mode="clip")
     # One array for all steps of what the way back needs; gates holds z and r, now the candidate state before and after r and tanh.
-    before, gates = np.empty((steps, lanes, n), h.dtype), np.empty((steps, lanes, 2 * n), h.dtype)
-    kept_fresh, fresh = np.empty((steps, lanes, n), h.dtype), np.empty((steps, lanes, n), h.dtype)
+    before, gates = room.of("before", dtype, steps, lanes, n), room.of("gates", dtype, steps, lanes, 2 * n)
+    kept_fresh, fresh = room.of("kept_fresh", dtype, steps, lanes, n), room.of("fresh", dtype, steps, lanes, n)
+    kept = room.of("kept", dtype, lanes, 3 * n)
     for t in range(steps):
         before[t] = h
-        kept = h @ w["keep"]
+        np.matmul(h, w["keep"], out=kept)
         gate = np.add(taken[t, :, :2 * n], kept[:, :2 * n], out=gates[t])
         _sigmoid(gate)
         kept_fresh[t] = kept[:, 2 * n:]
         now = np.multiply(gate[:, n:], kept_fresh[t], out=fresh[t])
         now += taken[t, :, 2 * n:]
         np.tanh(now, out=now)
-        h = now + gate[:, :n] * (h - now)
-    states = before.reshape(-1, n)
-    flat_tokens, weight = tokens.ravel(), valid.ravel().astype(np.float32) / max(1, valid.sum())
-    g = {k: np.zeros(s, np.float32) for k, s in shape.sizes.items()}
+        h = h - now
+        h *= gate[:, :n]
+        h += now
+    count = steps * lanes
+    states = _with_one(before.reshape(-1, n), room.of("states", dtype, count, n + 1))
+    flat_tokens, weight = tokens.ravel(), valid.ravel().astype(dtype) / max(1, valid.sum())
+    values = room.of("gradients", np.dtype(np.float32), sum(int(np.prod(s)) for s in shape.sizes.values()))
+    values[:] = 0
+    g = _views(values, shape)
     classes = _classes(flat_tokens, shape)
-    error = -_softmax(states @ w["by_class"] + w["class_bias"])
-    error[np.arange(len(classes)), classes] += 1
-    error *= weight[:, None]
-    g["by_class"], g["class_bias"] = states.T @ error, error.sum(0)
-    to_state = error @ w["by_class"].T
+    top = np.concatenate([w["by_class"], w["class_bias"][None]])
+    error = _softmax(np.matmul(states, top, out=room.of("error", dtype, count, top.shape[1])))
+    error[np.arange(len(classes)), classes] -= 1
+    error *= -weight[:, None]
+    by_top = states.T @ error
+    g["by_class"][:], g["class_bias"][:] = by_top[:-1], by_top[-1]
+    to_state = np.matmul(error, w["by_class"].T, out=room.of("to_state", dtype, count, n))
     # The rows of single words, class by class; products are by class, the softmax is over all at once.
-    rows = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[rows], np.arange(shape.classes + 1)).tolist()
-    rows = rows[:cuts[-1]]
-    own = states[rows]
-    error, down = np.empty((len(rows), shape.members), own.dtype), np.empty_like(own)
-    spans = [(c, x, y) for c, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
-    for c, x, y in spans:
-        np.matmul(own[x:y], w["by_word"][c], out=error[x:y])
-        error[x:y] += w["word_bias"][c]
+    rows, spans = _by_class(classes, shape)
     if spans:
+        words = np.concatenate([w["by_word"], w["word_bias"][:, None]], axis=1)
+        own = states[rows]
+        error, down = room.of("word_error", dtype, len(rows), shape.members), room.of("word_down", dtype, len(rows), n)
+        for c, x, y in spans:
+            np.matmul(own[x:y], words[c], out=error[x:y])
         _softmax(error)
         error[np.arange(len(rows)), flat_tokens[rows] % shape.members] -= 1
         error *= -weight[rows][:, None]
-    for c, x, y in spans:
-        g["by_word"][c], g["word_bias"][c] = own[x:y].T @ error[x:y], error[x:y].sum(0)
-        np.matmul(error[x:y], w["by_word"][c].T, out=down[x:y])
-    to_state[rows] += down
-    to_state = to_state.reshape(steps, lanes, -1)
+        for c, x, y in spans:
+            by_word = own[x:y].T @ error[x:y]
+            g["by_word"][c], g["word_bias"][c] = by_word[:-1], by_word[-1]
+            np.matmul(error[x:y], w["by_word"][c].T, out=down[x:y])
+        to_state[rows] += down
+    to_state = to_state.reshape(steps, lanes, n)
     down = np.zeros_like(h)
     z, r = gates[..., :n], gates[..., n:]
     # Derivatives of the new state by what goes into the gates and into tanh; the way back multiplies them.
-    by_row = np.empty((steps, lanes, 3 * n), h.dtype)
+    by_row = room.of("by_row", dtype, steps, lanes, 3 * n)
     by_row[..., :n] = (before - fresh) * z * (1 - z)
     by_row[..., 2 * n:] = (1 - z) * (1 - fresh * fresh)
     by_row[..., n:2 * n] = by_row[..., 2 * n:] * kept_fresh * r * (1 - r)
-    by_kept = by_row.copy()
+    by_kept = room.of("by_kept", dtype, steps, lanes, 3 * n)
+    by_kept[...] = by_row
     by_kept[..., 2 * n:] *= r
-    back, keep_t = np.empty((lanes, 3, n), h.dtype), np.ascontiguousarray(w["keep"].T)
-    downs = np.empty((steps, lanes, n), h.dtype)
+    back, keep_t = room.of("back", dtype, lanes, 3, n), np.ascontiguousarray(w["keep"].T)
+    downs = room.of("downs", dtype, steps, lanes, n)
     for t in range(steps - 1, -1, -1):
         downs[t] = down
         np.multiply(by_kept[t].reshape(lanes, 3, n), down[:, None, :], out=back)
@@ -208,12 +255,13 @@ def _gradients(w: Weights, tokens: np.ndarray, valid: np.ndarray, h: np.ndarray,
         down += back.reshape(lanes, 3 * n) @ keep_t
         down += to_state[t]
     by_kept.reshape(steps, lanes, 3, n)[...] *= downs[:, :, None, :]
-    g["keep"] = states.T @ by_kept.reshape(-1, 3 * n)
-    taken = by_row
-    taken.reshape(steps, lanes, 3, n)[...] *= downs[:, :, None, :]
-    order = np.argsort(flat_tokens, kind="stable")
-    used, first = np.unique(flat_tokens[order], return_index=True)
-    g["take"][used] = np.add.reduceat(taken.reshape(-1, 3 * n)[order], first, axis=0)
+    g["keep"][:] = before.reshape(-1, n).T @ by_kept.reshape(-1, 3 * n)
+    by_row.reshape(steps, lanes, 3, n)[...] *= downs[:, :, None, :]
+    order = np.argsort(flat_tokens.astype(np.int32), kind="stable")
+    ordered = flat_tokens[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    dealt = np.take(by_row.reshape(-1, 3 * n), order, axis=0, out=room.of("taken", dtype, count, 3 * n), mode="clip")
+    g["take"][ordered[first]] = np.add.reduceat(dealt, first, axis=0)
     return g, h
 
 
@@ -222,7 +270,7 @@ def train(w: Weights, blocks: Sequence[np.ndarray], shape: Shape, window: int =
     values = flat(w, shape)
     w = _views(values, shape)
     mean, square, step = np.zeros_like(values), np.zeros_like(values), 0
-    part, root = np.empty_like(values), np.empty_like(values)
+    part, root, room = np.empty_like(values), np.empty_like(values), _Room()
     for at in range(0, len(blocks), lanes):
         some = blocks[at:at + lanes]
         length = max(len(b) for b in some)
@@ -232,8 +280,8 @@ def train(w: Weights, blocks: Sequence[np.ndarray], shape: Shape, window: int =
             tokens[:len(b), k], valid[:len(b), k] = b, True
         h = np.zeros((len(some), shape.hidden), np.float32)
         for t in range(0, length, window):
-            gradients, h = _gradients(w, tokens[t:t + window], valid[t:t + window], h, shape)
-            g, step = flat(gradients, shape), step + 1
+            _, h = _gradients(w, tokens[t:t + window], valid[t:t + window], h, shape, room)
+            g, step = room.of("gradients", values.dtype, len(values)), step + 1
             mean += np.multiply(np.subtract(g, mean, out=part), np.float32(0.1), out=part)
             np.multiply(g, g, out=part)
             square += np.multiply(np.subtract(part, square, out=part), np.float32(0.01), out=part)
