@@ -44,6 +44,20 @@ def test_lines(docs_of):
     assert clean_lines(docs_of([rows[-2]]), loose).first().n_lost_words == found[50].n_lost_words
 
 
+def test_scripts_and_long_lines(docs_of):
+    hindi = "\n".join(f"यह वाक्य संख्या {i} यहाँ समाप्त होता है।" for i in range(30))
+    chinese = "\n".join(f"这 是 第 {i} 个 句子。" for i in range(30))
+    unmarked = "\n".join(f"यह पंक्ति संख्या {i}" for i in range(30))
+    one_line = " ".join(f"w{i}" for i in range(250)) + " read more " + " ".join(f"v{i}" for i in range(250)) + "."
+    notice = PROSE * 2 + "Read more about this and that on our pages.\n"
+    rows = [(1, hindi), (2, chinese), (3, unmarked), (4, one_line), (5, notice.replace("plain", "other", 1))]
+    found = {r.doc_id: r for r in clean_lines(docs_of(rows)).collect()}
+    check(found.values())
+    assert [found[i].n_lost_words for i in (1, 2, 4)] == [0, 0, 0] and all(found[i].kept for i in (1, 2, 4))
+    assert found[3].n_lost_words == found[3].n_words and not found[3].kept
+    assert found[5].n_lost_words == 9
+
+
 def test_edges(docs_of, edge_rows):
     df = docs_of([*edge_rows, (21, "a\na\n\n b\na"), (22, "\n\n"), (23, "x\x0by\x0cz #")], kept="old", Clean_Text="old")
     rows = clean_lines(df).collect()

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
@@ -21,6 +22,8 @@ BOILERPLATE = (
 )
 SYMBOLS = "#*$%&|<>"
 _SENTENCE_MARKS = ".!?:;"
+#: Marks of other scripts: whatever Unicode says ends a sentence, and wide forms of the marks above.
+_OTHER_MARKS = "".join(c for c in map(chr, range(0x80, 0x20000)) if regex.match(r"\p{Sentence_Terminal}", c)) + "\uff1a\uff1b\u061b"
 
 
 @dataclass(frozen=True)
@@ -35,6 +38,8 @@ class LineRules:
     stutter_share: float = 0.3
     #: Punctuation: lines without a sentence mark need so many words.
     bare_words: int = 12
+    #: Boilerplate: a line with a phrase fails if it has no more than so many words to each phrase in it.
+    words_per_phrase: int = 30
     #: A document goes if it loses more than this share of its words.
     lost_share: float = 0.5
 
@@ -84,6 +89,11 @@ def judge(texts: Texts, rules: LineRules) -> dict[str, np.ndarray]:
         hashes = texts.word_hashes
         same[1:] = (hashes[1:] == hashes[:-1]) & (line_of_word[1:] == line_of_word[:-1])
     stutter = np.bincount(line_of_word, same, n_lines)
+    if n_lines:
+        line_array = pa.LargeStringArray.from_buffers(n_lines, pa.py_buffer(begins.astype(np.int64)), pa.py_buffer(data))
+        bare = np.flatnonzero((marks == 0) & (words > 0) & (words < rules.bare_words) & (texts.counts(data >= 0x80, begins) > 0))
+        found = pc.match_substring_regex(line_array.take(pa.array(bare)), f"[{_OTHER_MARKS}]")
+        marks[bare] += found.to_numpy(zero_copy_only=False)
     fails = (
         (symbols > rules.symbols_per_word * words)
         | ((words >= 3) & (uppers > rules.upper_share * letters))
@@ -91,10 +101,9 @@ def judge(texts: Texts, rules: LineRules) -> dict[str, np.ndarray]:
         | ((marks == 0) & (words < rules.bare_words))
     )
     if n_lines:
-        line_array = pa.LargeStringArray.from_buffers(n_lines, pa.py_buffer(begins.astype(np.int64)), pa.py_buffer(data))
-        notice = pc.match_substring_regex(line_array, "|".join(p.replace("(", r"\(").replace(")", r"\)")
-                                                               for p in BOILERPLATE), ignore_case=True)
-        fails |= notice.to_numpy(zero_copy_only=False)
+        pattern = "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)
+        phrases = pc.count_substring_regex(line_array, pattern, ignore_case=True).to_numpy(zero_copy_only=False)
+        fails |= (phrases > 0) & (words <= rules.words_per_phrase * phrases)
     fails &= words > 0
 
     content_ends = begins[1:] - (data[begins[1:] - 1] == 0x0A) if n_lines else begins[1:]
@@ -146,8 +155,8 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), texts: bool = T
                 carry: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with line-cleaned text, counts and verdict per document; one row in, one row out.
 
-    A line (split at ``\\n``) with a word fails for navigation marks, shouting, stuttering, missing sentence marks or a
-    phrase of ``BOILERPLATE``. ``clean_text`` keeps the other lines; ``n_lost_words`` counts the words lost. The base rule fails
+    A line (split at ``\\n``) with a word fails for navigation marks, shouting, stuttering, missing sentence marks (of any
+    script) or phrases of ``BOILERPLATE`` that are a fair share of it (one to ``rules.words_per_phrase`` words). ``clean_text`` keeps the other lines; ``n_lost_words`` counts the words lost. The base rule fails
     documents of under 20 words, or with over 30 % of their words in 8-word windows that occur twice in the document;
     ``kept`` is false for these and for documents that lose more than ``rules.lost_share`` of their words. Null and empty texts
     count 0 throughout and fail. Input columns named like results are replaced; ``texts=False`` leaves ``clean_text`` out, ``carry`` names the input columns returned (all).
