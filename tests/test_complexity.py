@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows_of
 from tremorline.functions.python_source import mean_complexity
-from tremorline.operators.complexity import complexity_features
+from tremorline.operators.complexity import complexity_features, file_complexity
 
 CASES = [
     ("def f(x):\n    if x:\n        pass\n    if x:\n        pass\n", 3.0),
@@ -39,3 +40,10 @@ def test_complexity_features(spark):
     got = rows_of(complexity_features(files, sources), "file_path", "cyclomatic_complexity", "complexity_rank",
                   "is_high_complexity")
     assert got == [("a.py", 12.0, 3, 1), ("bad.py", 0.0, 1, 0), ("c.js", 0.0, 1, 0), ("gone.py", 0.0, 1, 0)]
+
+
+def test_texts_of_one_file_are_parsed_once_and_by_many_tasks(spark):
+    sources = spark.createDataFrame([("r", f"{n}.py", "def f():\n    pass\n") for n in range(50)], "repo string, file_path string, source string")
+    measured = file_complexity(sources.coalesce(1))
+    assert measured.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert measured._jdf.queryExecution().executedPlan().toString().count("mean_complexity_udf") == 1
