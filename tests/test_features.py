@@ -258,3 +258,14 @@ def test_churn_threshold_from_a_sketch(spark):
         assert abs(below - 0.75) < 0.01
     shares = {r.repo: r.n for r in hot.groupBy("repo").agg(F.count("*").alias("n")).collect()}
     assert abs(shares["a"] / 5000 - 0.25) < 0.01 and abs(shares["b"] / 15000 - 0.25) < 0.01
+
+
+def test_rows_are_not_gathered_by_repository(make_facts):
+    """A repository may own all rows: its bounds are sent to them, in place of all of them to one task."""
+    facts = make_facts([("r", f"c{n}", "2024-01-01 00:00:00", "a", "m", f"f{n % 5}") for n in range(20)])
+    for frame in (H.anchor_to_ref(facts), H.enough_history(facts, 5)):
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    churn = A.churn_features(facts)
+    assert "SortMergeJoin" not in churn._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in C.high_churn_files(churn)._jdf.queryExecution().sparkPlan().toString()
