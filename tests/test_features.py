@@ -269,3 +269,19 @@ def test_rows_are_not_gathered_by_repository(make_facts):
     churn = A.churn_features(facts)
     assert "SortMergeJoin" not in churn._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" not in C.high_churn_files(churn)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_pairs_carry_numbers_and_ties_stay_in_path_order(spark, make_facts):
+    """One commit of nine files ties all partners of a file: the first of them by path are checked and averaged."""
+    paths = ["b/z.py", "b/10.py", "b/9.py", "B.py", "a.py", "\u00e9.py", "a b.py", "a/b.py", "_.py"]
+    facts = make_facts([("r", "c1", "2024-01-01 00:00:00", "a", "m", p, 1000 if p == "a.py" else 1, 0) for p in paths])
+    touches = H.file_touches(facts)
+    numbers = {r.file_path: r.file_no for r in C.file_numbers(touches).collect()}
+    assert sorted(numbers, key=numbers.get) == sorted(paths, key=lambda p: p.encode())
+    churn = A.churn_features(facts).withColumn("total_lines_changed", F.when(F.col("file_path") == "a.py", 1000).otherwise(F.expr("0L")))
+    features = C.coupling_features(facts, churn)
+    hot = {r.file_path: r.coupled_high_churn for r in features.collect()}
+    assert hot.keys() == set(paths)
+    partners = C.top_partners(C.partner_edges(C.pairs_of(touches)), 3).collect()
+    by_path = {p: [r.partner for r in sorted(partners, key=lambda r: r.position) if r.file_path == p] for p in paths}
+    assert all(by_path[p] == sorted((q for q in paths if q != p), key=lambda q: q.encode())[:3] for p in paths)
