@@ -134,3 +134,40 @@ def test_every_block_trains_once_in_rounds(sample, monkeypatch):
 
 def test_rounds_grow_with_the_tokens():
     assert [lm._rounds(x) for x in (0, 1, 1.1, 3, 3.1, 6, 5050)] == [1, 1, 2, 2, 3, 3, 100]
+
+
+def test_logits_are_worked_on_in_pieces_and_without_their_maxima():
+    """A window's logits were held whole, and the largest of each row was looked for."""
+    shape, room = gru.Shape(), gru._Room()
+    random = np.random.default_rng(5)
+    weights = gru.start(np.full(shape.words, 3), np.full(shape.groups, 5), shape, 1)
+    tokens = random.integers(0, shape.words + shape.groups, (32, 64))
+    gru._gradients(weights, tokens, np.ones((32, 64), bool), np.zeros((64, shape.hidden), np.float32), shape, room)
+    assert max(len(held) for (name, _), held in room.held.items() if "error" in name) <= gru._ROWS * (shape.classes + shape.groups)
+    top = np.concatenate([weights["by_class"], weights["class_bias"][None]])
+    states = gru._with_one(random.uniform(-1, 1, (99, shape.hidden)).astype(np.float32), np.empty((99, shape.hidden + 1), np.float32))
+    plain, moved = states @ top, top.copy()
+    assert gru._shifted(moved) and (states @ moved <= 1e-4).all()
+    assert np.allclose(gru._log_of(states @ moved, np.arange(99) % 64, True), gru._log_of(plain.copy(), np.arange(99) % 64, False), atol=1e-5)
+
+
+def test_wide_logits_keep_their_maxima():
+    shape = SMALL
+    weights = {k: v.astype(np.float64) for k, v in gru.start(np.ones(shape.words), np.ones(shape.groups), shape, 1).items()}
+    weights["by_class"] *= 5000
+    weights["by_word"] *= 5000
+    random = np.random.default_rng(2)
+    states, tokens = random.uniform(-1, 1, (60, shape.hidden)), random.integers(0, shape.words + shape.groups, 60)
+    top = np.concatenate([weights["by_class"], weights["class_bias"][None]])
+    assert not gru._shifted(top) and (top[-1] == weights["class_bias"]).all()
+    found = gru.log_probabilities(weights, states, tokens, shape)
+
+    def log_of(logits, at):
+        return logits[at] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+
+    for state, token, log in zip(states, tokens, found):
+        c = token // shape.members if token < shape.words else token - shape.words + shape.classes
+        expected = log_of(state @ weights["by_class"] + weights["class_bias"], c)
+        if token < shape.words:
+            expected += log_of(state @ weights["by_word"][c] + weights["word_bias"][c], token % shape.members)
+        assert np.isfinite(log) and abs(log - expected) < 1e-8 * max(1, abs(expected))

@@ -1,7 +1,8 @@
 """A gated recurrent network over token numbers with a class-factored softmax, in numpy."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +40,7 @@ def flat(weights: Weights, shape: Shape) -> np.ndarray:
 def _views(values: np.ndarray, shape: Shape) -> Weights:
     out, at = {}, 0
     for name, size in shape.sizes.items():
-        n = int(np.prod(size))
+        n = math.prod(size)
         out[name] = values[at:at + n].reshape(size)
         at += n
     return out
@@ -72,24 +73,71 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _advance(w: Weights, tokens: np.ndarray, h: np.ndarray) -> np.ndarray:
-    n = h.shape[1]
-    taken, kept = w["take"][tokens], h @ w["keep"]
-    gates = _sigmoid(taken[:, :2 * n] + kept[:, :2 * n])
-    fresh = gates[:, n:] * kept[:, 2 * n:]
-    fresh += taken[:, 2 * n:]
+def _gate_weights(w: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weights of z, r and the new state, each in one piece of memory: by token and by state."""
+    return [tuple(np.ascontiguousarray(part) for part in pair) for pair in zip(np.split(w["take"], 3, axis=1), np.split(w["keep"], 3, axis=1))]
+
+
+def _stepped(gates: list[tuple[np.ndarray, np.ndarray]], tokens: np.ndarray, h: np.ndarray) -> np.ndarray:
+    (z_take, z_keep), (r_take, r_keep), (take, keep) = gates
+    z, r = h @ z_keep, h @ r_keep
+    taken = z_take.take(tokens, axis=0)
+    z += taken
+    r += r_take.take(tokens, axis=0, out=taken, mode="clip")
+    fresh = h @ keep
+    fresh *= _sigmoid(r)
+    fresh += take.take(tokens, axis=0, out=taken, mode="clip")
     np.tanh(fresh, out=fresh)
-    out = h - fresh
-    out *= gates[:, :n]
+    out = np.subtract(h, fresh, out=taken)
+    out *= _sigmoid(z)
     out += fresh
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
-    return x
+def _advance(w: Weights, tokens: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return _stepped(_gate_weights(w), tokens, h)
+
+
+#: Rows whose logits are worked on at once, so that nearer caches hold them.
+_ROWS = 512
+
+
+def _grouped(spans: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Successive classes that have about so many rows together; a class stays whole."""
+    group: list[tuple[int, int, int]] = []
+    for span in spans:
+        if group and span[2] - group[0][1] > _ROWS:
+            yield group
+            group = []
+        group.append(span)
+    if group:
+        yield group
+
+
+#: Logits may lie so far below their bound before the largest of each row has to be looked for.
+_REACH = 60
+
+
+def _shifted(top: np.ndarray) -> bool:
+    """Lower the biases (last row) of each softmax so that no logit is above 0: a state lies within -1 and 1. False, and no change, where a row's
+    largest logit could then be too low for its exponential."""
+    reach = np.abs(top[..., :-1, :]).sum(-2)
+    high, low = (top[..., -1, :] + reach).max(-1), (top[..., -1, :] - reach).max(-1)
+    # Not a number is not below either.
+    fits = bool((high - low < _REACH).all())
+    if fits:
+        top[..., -1, :] -= high[..., None]
+    return fits
+
+
+def _errors(logits: np.ndarray, chosen: np.ndarray, weight: np.ndarray, shifted: bool) -> np.ndarray:
+    """Gradient by the logits of the weighted log of the softmax at the chosen column of each row; ``logits`` is used up."""
+    if not shifted:
+        logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= (-weight / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
+    logits[np.arange(len(chosen)), chosen] += weight
+    return logits
 
 
 class _Room:
@@ -99,7 +147,7 @@ class _Room:
         self.held: dict[tuple, np.ndarray] = {}
 
     def of(self, name: str, dtype: np.dtype, *size: int) -> np.ndarray:
-        n = int(np.prod(size))
+        n = math.prod(size)
         found = self.held.get((name, dtype))
         if found is None or len(found) < n:
             found = self.held[name, dtype] = np.empty(n, dtype)
@@ -124,11 +172,11 @@ def _by_class(classes: np.ndarray, shape: Shape) -> tuple[np.ndarray, list[tuple
     return rows[:cuts[-1]], [(c, x, y) for c, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
 
 
-def _log_of(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+def _log_of(logits: np.ndarray, chosen: np.ndarray, shifted: bool) -> np.ndarray:
     """Log of the softmax at the chosen column of each row; ``logits`` is used up."""
-    top = logits.max(1)
-    own = logits[np.arange(len(chosen)), chosen] - top
-    logits -= top[:, None]
+    if not shifted:
+        logits -= logits.max(1, keepdims=True)
+    own = logits[np.arange(len(chosen)), chosen]
     np.exp(logits, out=logits)
     return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
@@ -138,21 +186,24 @@ def log_probabilities(w: Weights, states: np.ndarray, tokens: np.ndarray, shape:
     out = np.empty(len(tokens), states.dtype)
     top = np.concatenate([w["by_class"], w["class_bias"][None]])
     words = np.concatenate([w["by_word"], w["word_bias"][:, None]], axis=1)
+    top_shifted, words_shifted = _shifted(top), _shifted(words)
     room = _Room()
     for a in range(0, len(tokens), at_once):
         some = tokens[a:a + at_once]
         given = _with_one(states[a:a + at_once], room.of("given", states.dtype, len(some), shape.hidden + 1))
-        classes = _classes(some, shape)
-        logits = np.matmul(given, top, out=room.of("top", states.dtype, len(some), top.shape[1]))
-        logs = _log_of(logits, classes)
-        rows, spans = _by_class(classes, shape)
-        if spans:
-            own = given[rows]
-            logits = room.of("words", states.dtype, len(rows), shape.members)
-            for c, x, y in spans:
-                np.matmul(own[x:y], words[c], out=logits[x:y])
-            logs[rows] += _log_of(logits, some[rows] % shape.members)
-        out[a:a + at_once] = logs
+        classes, logs = _classes(some, shape), out[a:a + at_once]
+        for x in range(0, len(some), _ROWS):
+            rows = given[x:x + _ROWS]
+            logits = np.matmul(rows, top, out=room.of("top", states.dtype, len(rows), top.shape[1]))
+            logs[x:x + _ROWS] = _log_of(logits, classes[x:x + _ROWS], top_shifted)
+        single, spans = _by_class(classes, shape)
+        own, members = given[single], some[single] % shape.members
+        for group in _grouped(spans):
+            first, last = group[0][1], group[-1][2]
+            logits = room.of("words", states.dtype, last - first, shape.members)
+            for c, x, y in group:
+                np.matmul(own[x:y], words[c], out=logits[x - first:y - first])
+            logs[single[first:last]] += _log_of(logits, members[first:last], words_shifted)
     return out
 
 
@@ -163,7 +214,7 @@ def score_texts(w: Weights, tokens: np.ndarray, begins: np.ndarray, shape: Shape
     sizes, firsts = sizes[order], begins[:-1][order]
     totals = np.zeros(len(order))
     actives = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0)))).tolist()
-    h = np.zeros((len(order), shape.hidden), np.float32)
+    h, gates = np.zeros((len(order), shape.hidden), np.float32), _gate_weights(w)
     for at in range(0, int(sizes.max(initial=0)), window):
         active = actives[at]
         states, seen, owner = [], [], []
@@ -172,7 +223,7 @@ def score_texts(w: Weights, tokens: np.ndarray, begins: np.ndarray, shape: Shape
             states.append(h[:n])
             seen.append(now)
             owner.append(n)
-            h = _advance(w, now, h[:n])
+            h = _stepped(gates, now, h[:n])
         logs = log_probabilities(w, np.concatenate(states), np.concatenate(seen), shape)
         rows = np.concatenate([np.arange(n) for n in owner])
         totals[:active] += np.bincount(rows, logs, active)
@@ -188,87 +239,100 @@ def _gradients(w: Weights, tokens: np.ndarray, valid: np.ndarray, h: np.ndarray,
     """
     steps, lanes = tokens.shape
     n, dtype, room = shape.hidden, h.dtype, room or _Room()
-    taken = np.take(w["take"], tokens, axis=0, out=room.of("taken", dtype, steps, lanes, 3 * n), mode="clip")
+    rows = np.take(w["take"], tokens, axis=0, out=room.of("rows", dtype, steps, lanes, 3 * n), mode="clip")
+    # Texts run along the last axis, so that a gate of all texts is one piece of memory.
+    taken = room.of("taken", dtype, steps, 3 * n, lanes)
+    taken[...] = rows.transpose(0, 2, 1)
     # One array for all steps of what the way back needs; gates holds z and r, now the candidate state before and after r and tanh.
-    before, gates = room.of("before", dtype, steps, lanes, n), room.of("gates", dtype, steps, lanes, 2 * n)
-    kept_fresh, fresh = room.of("kept_fresh", dtype, steps, lanes, n), room.of("fresh", dtype, steps, lanes, n)
-    kept = room.of("kept", dtype, lanes, 3 * n)
+    before, gates = room.of("before", dtype, steps, n, lanes), room.of("gates", dtype, steps, 2 * n, lanes)
+    kept_fresh, fresh = room.of("kept_fresh", dtype, steps, n, lanes), room.of("fresh", dtype, steps, n, lanes)
+    kept, keep_t, state = room.of("kept", dtype, 3 * n, lanes), np.ascontiguousarray(w["keep"].T), h.T.copy()
     for t in range(steps):
-        before[t] = h
-        np.matmul(h, w["keep"], out=kept)
-        gate = np.add(taken[t, :, :2 * n], kept[:, :2 * n], out=gates[t])
-        _sigmoid(gate)
-        kept_fresh[t] = kept[:, 2 * n:]
-        now = np.multiply(gate[:, n:], kept_fresh[t], out=fresh[t])
-        now += taken[t, :, 2 * n:]
+        before[t] = state
+        np.matmul(keep_t, state, out=kept)
+        gate, from_rows = gates[t], taken[t]
+        _sigmoid(np.add(from_rows[:2 * n], kept[:2 * n], out=gate))
+        kept_fresh[t] = kept[2 * n:]
+        now = np.multiply(gate[n:], kept[2 * n:], out=fresh[t])
+        now += from_rows[2 * n:]
         np.tanh(now, out=now)
-        h = h - now
-        h *= gate[:, :n]
-        h += now
+        state -= now
+        state *= gate[:n]
+        state += now
     count = steps * lanes
-    states = _with_one(before.reshape(-1, n), room.of("states", dtype, count, n + 1))
+    states = room.of("states", dtype, count, n + 1)
+    states.reshape(steps, lanes, n + 1)[..., :n] = before.transpose(0, 2, 1)
+    states[:, n] = 1
     flat_tokens, weight = tokens.ravel(), valid.ravel().astype(dtype) / max(1, valid.sum())
-    values = room.of("gradients", np.dtype(np.float32), sum(int(np.prod(s)) for s in shape.sizes.values()))
+    values = room.of("gradients", np.dtype(np.float32), sum(map(math.prod, shape.sizes.values())))
     values[:] = 0
     g = _views(values, shape)
     classes = _classes(flat_tokens, shape)
     top = np.concatenate([w["by_class"], w["class_bias"][None]])
-    error = _softmax(np.matmul(states, top, out=room.of("error", dtype, count, top.shape[1])))
-    error[np.arange(len(classes)), classes] -= 1
-    error *= -weight[:, None]
-    by_top = states.T @ error
+    shifted = _shifted(top)
+    by_top, by_state = np.zeros_like(top), room.of("by_state", dtype, count, n)
+    for a in range(0, count, _ROWS):
+        own = states[a:a + _ROWS]
+        error = np.matmul(own, top, out=room.of("error", dtype, len(own), top.shape[1]))
+        _errors(error, classes[a:a + _ROWS], weight[a:a + _ROWS], shifted)
+        by_top += own.T @ error
+        np.matmul(error, w["by_class"].T, out=by_state[a:a + _ROWS])
     g["by_class"][:], g["class_bias"][:] = by_top[:-1], by_top[-1]
-    to_state = np.matmul(error, w["by_class"].T, out=room.of("to_state", dtype, count, n))
-    # The rows of single words, class by class; products are by class, the softmax is over all at once.
-    rows, spans = _by_class(classes, shape)
+    # The rows of single words, class by class; products are by class, the softmax is over some classes at once.
+    single, spans = _by_class(classes, shape)
     if spans:
         words = np.concatenate([w["by_word"], w["word_bias"][:, None]], axis=1)
-        own = states[rows]
-        error, down = room.of("word_error", dtype, len(rows), shape.members), room.of("word_down", dtype, len(rows), n)
-        for c, x, y in spans:
-            np.matmul(own[x:y], words[c], out=error[x:y])
-        _softmax(error)
-        error[np.arange(len(rows)), flat_tokens[rows] % shape.members] -= 1
-        error *= -weight[rows][:, None]
-        for c, x, y in spans:
-            by_word = own[x:y].T @ error[x:y]
-            g["by_word"][c], g["word_bias"][c] = by_word[:-1], by_word[-1]
-            np.matmul(error[x:y], w["by_word"][c].T, out=down[x:y])
-        to_state[rows] += down
-    to_state = to_state.reshape(steps, lanes, n)
-    down = np.zeros_like(h)
-    z, r = gates[..., :n], gates[..., n:]
+        shifted, by_words, words_t = _shifted(words), np.zeros_like(words), w["by_word"].transpose(0, 2, 1)
+        own, members, weight, down = states[single], flat_tokens[single] % shape.members, weight[single], room.of("word_down", dtype, len(single), n)
+        for group in _grouped(spans):
+            first, last = group[0][1], group[-1][2]
+            error = room.of("error", dtype, last - first, shape.members)
+            for c, x, y in group:
+                np.matmul(own[x:y], words[c], out=error[x - first:y - first])
+            _errors(error, members[first:last], weight[first:last], shifted)
+            for c, x, y in group:
+                part = error[x - first:y - first]
+                np.matmul(own[x:y].T, part, out=by_words[c])
+                np.matmul(part, words_t[c], out=down[x:y])
+        g["by_word"][:], g["word_bias"][:] = by_words[:, :n], by_words[:, n]
+        by_state[single] += down
+    to_state = room.of("to_state", dtype, steps, n, lanes)
+    to_state[...] = by_state.reshape(steps, lanes, n).transpose(0, 2, 1)
+    down = np.zeros_like(state)
+    z, r = gates[:, :n], gates[:, n:]
     # Derivatives of the new state by what goes into the gates and into tanh; the way back multiplies them.
-    by_row = room.of("by_row", dtype, steps, lanes, 3 * n)
-    by_row[..., :n] = (before - fresh) * z * (1 - z)
-    by_row[..., 2 * n:] = (1 - z) * (1 - fresh * fresh)
-    by_row[..., n:2 * n] = by_row[..., 2 * n:] * kept_fresh * r * (1 - r)
-    by_kept = room.of("by_kept", dtype, steps, lanes, 3 * n)
+    by_row = room.of("by_row", dtype, steps, 3 * n, lanes)
+    by_row[:, :n] = (before - fresh) * z * (1 - z)
+    by_row[:, 2 * n:] = (1 - z) * (1 - fresh * fresh)
+    by_row[:, n:2 * n] = by_row[:, 2 * n:] * kept_fresh * r * (1 - r)
+    by_kept = room.of("by_kept", dtype, steps, 3 * n, lanes)
     by_kept[...] = by_row
-    by_kept[..., 2 * n:] *= r
-    back, keep_t = room.of("back", dtype, lanes, 3, n), np.ascontiguousarray(w["keep"].T)
-    downs = room.of("downs", dtype, steps, lanes, n)
+    by_kept[:, 2 * n:] *= r
+    back, by_gate = room.of("back", dtype, 3, n, lanes), by_kept.reshape(steps, 3, n, lanes)
+    back_rows, downs = back.reshape(3 * n, lanes), room.of("downs", dtype, steps, n, lanes)
     for t in range(steps - 1, -1, -1):
         downs[t] = down
-        np.multiply(by_kept[t].reshape(lanes, 3, n), down[:, None, :], out=back)
+        np.multiply(by_gate[t], down, out=back)
         down *= z[t]
-        down += back.reshape(lanes, 3 * n) @ keep_t
+        down += np.matmul(w["keep"], back_rows)
         down += to_state[t]
-    by_kept.reshape(steps, lanes, 3, n)[...] *= downs[:, :, None, :]
-    g["keep"][:] = before.reshape(-1, n).T @ by_kept.reshape(-1, 3 * n)
-    by_row.reshape(steps, lanes, 3, n)[...] *= downs[:, :, None, :]
-    order = np.argsort(flat_tokens.astype(np.int32), kind="stable")
+    by_gate *= downs[:, None]
+    g["keep"][:] = np.matmul(before, by_kept.transpose(0, 2, 1)).sum(0)
+    by_row.reshape(steps, 3, n, lanes)[...] *= downs[:, None]
+    rows[...] = by_row.transpose(0, 2, 1)
+    order = np.argsort(flat_tokens.astype(np.int16 if shape.words + shape.groups < 1 << 15 else np.int32), kind="stable")
     ordered = flat_tokens[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    dealt = np.take(by_row.reshape(-1, 3 * n), order, axis=0, out=room.of("taken", dtype, count, 3 * n), mode="clip")
+    dealt = np.take(rows.reshape(-1, 3 * n), order, axis=0, out=room.of("taken", dtype, count, 3 * n), mode="clip")
     g["take"][ordered[first]] = np.add.reduceat(dealt, first, axis=0)
-    return g, h
+    return g, state.T
 
 
-def train(w: Weights, blocks: Sequence[np.ndarray], shape: Shape, window: int = 32, lanes: int = 64, rate: float = 0.01) -> Weights:
+def train(w: Weights, blocks: Sequence[np.ndarray], shape: Shape, window: int = 32, lanes: int = 64, rate: float = 0.01, piece: int = 16_384) -> Weights:
     """One pass over the blocks in their order (Adam); truncated backpropagation, the state carried over a block's windows."""
     values = flat(w, shape)
     w = _views(values, shape)
+    # The moments are kept as plain sums of what fades, so that their factors join those of the step.
     mean, square, step = np.zeros_like(values), np.zeros_like(values), 0
     part, root, room = np.empty_like(values), np.empty_like(values), _Room()
     for at in range(0, len(blocks), lanes):
@@ -282,11 +346,18 @@ def train(w: Weights, blocks: Sequence[np.ndarray], shape: Shape, window: int =
         for t in range(0, length, window):
             _, h = _gradients(w, tokens[t:t + window], valid[t:t + window], h, shape, room)
             g, step = room.of("gradients", values.dtype, len(values)), step + 1
-            mean += np.multiply(np.subtract(g, mean, out=part), np.float32(0.1), out=part)
-            np.multiply(g, g, out=part)
-            square += np.multiply(np.subtract(part, square, out=part), np.float32(0.01), out=part)
-            np.sqrt(np.multiply(square, np.float32(1 / (1 - 0.99**step)), out=root), out=root)
-            root += np.float32(1e-6)
-            np.multiply(mean, np.float32(rate / (1 - 0.9**step)), out=part)
-            values += np.divide(part, root, out=part)
+            scale = (0.01 / (1 - 0.99**step)) ** 0.5
+            # In pieces that caches hold.
+            for a in range(0, len(values), piece):
+                own = slice(a, a + piece)
+                gradient, first, second, some_part, some_root = g[own], mean[own], square[own], part[own], root[own]
+                first *= np.float32(0.9)
+                first += gradient
+                second *= np.float32(0.99)
+                second += np.multiply(gradient, gradient, out=some_part)
+                np.sqrt(second, out=some_root)
+                some_root += np.float32(1e-6 / scale)
+                np.divide(first, some_root, out=some_part)
+                some_part *= np.float32(rate * 0.1 / (1 - 0.9**step) / scale)
+                values[own] += some_part
     return w
