@@ -114,19 +114,19 @@ def _grouped(spans: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
         yield group
 
 
-#: Logits may lie so far below their bound before the largest of each row has to be looked for.
+#: The largest logits of rows may lie in a range so wide before each has to be looked for.
 _REACH = 60
 
 
 def _shifted(top: np.ndarray) -> bool:
-    """Lower the biases (last row) of each softmax so that no logit is above 0: a state lies within -1 and 1. False, and no change, where a row's
-    largest logit could then be too low for its exponential."""
+    """Move the biases (last row) of each softmax so that the largest logit of any row is near 0: a state lies within -1 and 1. False, and no
+    change, where its exponential could still be too large or too small."""
     reach = np.abs(top[..., :-1, :]).sum(-2)
     high, low = (top[..., -1, :] + reach).max(-1), (top[..., -1, :] - reach).max(-1)
     # Not a number is not below either.
     fits = bool((high - low < _REACH).all())
     if fits:
-        top[..., -1, :] -= high[..., None]
+        top[..., -1, :] -= (high[..., None] + low[..., None]) / 2
     return fits
 
 
