@@ -171,3 +171,28 @@ def test_wide_logits_keep_their_maxima():
         if token < shape.words:
             expected += log_of(state @ weights["by_word"][c] + weights["word_bias"][c], token % shape.members)
         assert np.isfinite(log) and abs(log - expected) < 1e-8 * max(1, abs(expected))
+
+
+def test_tokens_are_found_without_sorting_them(monkeypatch):
+    """Hashes that share their leading bits, hashes next to these, an empty table and no tokens."""
+    from types import SimpleNamespace
+
+    random = np.random.default_rng(8)
+    table = np.unique(np.concatenate([random.integers(0, 2**64, 500, np.uint64), np.uint64(5) + np.arange(0, 60, 3, dtype=np.uint64),
+                                      ~np.arange(7, dtype=np.uint64)]))
+    counts, numbers = random.integers(1, 99, len(table)), np.where(random.random(len(table)) < 0.5, np.arange(len(table)), -1)
+    hashes = np.concatenate([table, table + np.uint64(1), table - np.uint64(1), random.integers(0, 2**64, 300, np.uint64)])
+    random.shuffle(hashes)
+    tokens = SimpleNamespace(hashes=hashes, groups=random.integers(0, 32, len(hashes)))
+    model = lm.LanguageModel(LmRule(), table, counts, numbers, 1, 1, np.ones(32), np.ones(32), np.zeros(1))
+    monkeypatch.setattr(np, "unique", None)
+    at = {int(h): i for i, h in enumerate(table)}
+    found, times = model.find(tokens)
+    for h, group, number, c in zip(hashes.tolist(), tokens.groups, found, times):
+        i = at.get(h)
+        assert c == (-1 if i is None else counts[i])
+        assert number == (gru.Shape().words + group if i is None or numbers[i] < 0 else numbers[i])
+    none = SimpleNamespace(hashes=hashes[:0], groups=tokens.groups[:0])
+    assert [len(x) for x in model.find(none)] == [0, 0]
+    empty = lm.LanguageModel(LmRule(), table[:0], counts[:0], numbers[:0], 0, 0, np.ones(32), np.ones(32), np.zeros(1))
+    assert (empty.find(tokens)[1] == -1).all() and (empty.find(tokens)[0] >= gru.Shape().words).all()

@@ -4,6 +4,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -116,13 +117,30 @@ class LanguageModel:
     group_distinct: np.ndarray
     weights: np.ndarray
 
+    @cached_property
+    def _leads(self) -> tuple[np.uint64, np.ndarray]:
+        """How far a hash is shifted to its leading bits, some four values of these for each hash, and where the hashes of each value begin."""
+        bits = min(24, len(self.hashes).bit_length() + 1)
+        shift = np.uint64(64 - bits)
+        return shift, np.concatenate([[0], np.cumsum(np.bincount((self.hashes >> shift).astype(np.int64), minlength=1 << bits))])
+
     def find(self, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Network number and count of each token; count -1 where the table does not know it."""
-        unique, back = np.unique(tokens.hashes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == unique if len(self.hashes) else np.zeros(len(unique), bool)
-        counts = np.where(known, self.counts[at], -1)[back] if len(self.hashes) else np.full(len(back), -1)
-        number = np.where(known, self.numbers[at], -1)[back] if len(self.hashes) else np.full(len(back), -1)
+        hashes, known = tokens.hashes, np.zeros(len(tokens.hashes), bool)
+        at = np.zeros(len(hashes), np.int64)
+        if len(self.hashes):
+            shift, first = self._leads
+            lead = (hashes >> shift).astype(np.int64)
+            at = first[lead]
+            known = self.hashes.take(at, mode="clip") == hashes
+            rest = np.flatnonzero(~known)
+            while len(rest):
+                at[rest] += 1
+                rest = rest[at[rest] < first[lead[rest] + 1]]
+                hit = self.hashes[at[rest]] == hashes[rest]
+                known[rest[hit]] = True
+                rest = rest[~hit]
+        number, counts = (np.where(known, x.take(at, mode="clip") if len(x) else -1, -1) for x in (self.numbers, self.counts))
         return np.where(number >= 0, number, self.rule.shape.words + tokens.groups), counts
 
 
